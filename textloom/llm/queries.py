@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, simhash_dedup
+from textloom.llm import chat_format, exact_dedup, mixing, simhash_dedup
 
 QUERIES = {
+    "op1_chat_format": chat_format.op1_chat_format,
+    "op4_source_mix": mixing.op4_source_mix,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLE_SQL = {
+    "op1_chat_format": chat_format.ORACLE_SQL,
+    "op4_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
