@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, exact_dedup, mixing, simhash_dedup
+from textloom.llm import chat_format, exact_dedup, mixing, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op3_token_store": token_store.op3_token_store,
     "op4_source_mix": mixing.op4_source_mix,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
