@@ -1,8 +1,8 @@
 """SimHash near-duplicates: segment popcounts, a grid range join under a Manhattan bound, exact verification.
 
-A fingerprint is embedded as the bit counts of 16 segments of 4 bits. Two fingerprints that differ in d bits lie at a
+A fingerprint is embedded as the bit counts of 32 segments of 2 bits. Two fingerprints that differ in d bits lie at a
 Manhattan distance of d at most, so a pair within 2 bits agrees on all but 2 of these coordinates. The grid takes the
-coordinates in 8 axes of two; a cell is a choice of 6 axes and their values, so each pair within the bound shares one of
+coordinates in 8 axes of four; a cell is a choice of 6 axes and their values, so each pair within the bound shares one of
 the 28 cells of each of its members. Fingerprints that have company in a cell are candidates. They are verified exactly
 and without listing pairs: two fingerprints differ in 2 bits at most if and only if some centre lies within 1 bit of both,
 so each candidate goes to its 65 centres and is linked to the least member there. Groups of any size stay linear.
@@ -58,13 +58,16 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 def grid_cells(prints: DataFrame) -> DataFrame:
     """(cell, print): the 28 cells of each fingerprint."""
-    axes = [F.bit_count(F.shiftrightunsigned("print", 8 * a).bitwiseAND(15)).cast("long") * 5 + F.bit_count(F.shiftrightunsigned("print", 8 * a + 4).bitwiseAND(15)) for a in range(8)]
-    coordinates = prints.select("print", *(x.alias(f"a{k}") for k, x in enumerate(axes)))
+    def axis(a: int):
+        counts = [F.bit_count(F.shiftrightunsigned("print", 8 * a + 2 * k).bitwiseAND(3)).cast("long") * 3**k for k in range(4)]
+        return counts[0] + counts[1] + counts[2] + counts[3]
+
+    coordinates = prints.select("print", *(axis(a).alias(f"a{a}") for a in range(8)))
 
     def cell(number: int, chosen: tuple[int, ...]):
         value = F.lit(number).cast("long")
         for a in chosen:
-            value = value * 25 + F.col(f"a{a}")
+            value = value * 81 + F.col(f"a{a}")
         return value
 
     return coordinates.select("print", F.explode(F.array(*(cell(k, c) for k, c in enumerate(combinations(range(8), 6))))).alias("cell"))
