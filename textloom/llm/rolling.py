@@ -44,8 +44,9 @@ class Rolling:
         return mixed((self.sums[start + length] - self.sums[start]) * self.down[start])
 
 
-def window_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that share a minimizer: (first window, windows, hash of the minimizer, hash of the run).
+def window_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows that share a minimizer: (first window, windows, minimizer's offset, its hash,
+    hash of the run).
 
     A window's minimizer is its leftmost gram with the least hash, so equal windows have equal minimizers at the same
     offset. The hash of a run covers its bytes, its length and the minimizer's offset. ``data`` has at most 2**20 windows.
@@ -53,7 +54,7 @@ def window_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, n
     n = len(data) - window + 1
     if n <= 0:
         none = np.empty(0, dtype=np.int64)
-        return none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     rolling = Rolling(data)
     grams = rolling.all_of(gram)
     width = window - gram + 1
@@ -69,4 +70,4 @@ def window_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, n
     count = np.diff(np.append(first, n))
     at = least[first].astype(np.int64)
     run = mixed(rolling.at(first, count + window - 1) ^ mixed((at - first).astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64)))
-    return first, count, grams[at], run
+    return first, count, at - first, grams[at], run
