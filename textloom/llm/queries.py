@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, exact_dedup, mixing, simhash_dedup, token_store, toxicity
+from textloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, repeat_removal, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_token_store": token_store.op3_token_store,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_repeat_removal": repeat_removal.op5_repeat_removal,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -15,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -13,13 +13,16 @@ seeks to it and decompresses only that frame. Integers are little-endian.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -42,25 +45,62 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
     A tokenizer that drops white space and never looks across it gives a text the ids of its pieces between spaces and
-    line ends, one after another. Pieces recur, so their ids are remembered, up to ``remembered`` of them.
+    line ends, one after another. Pieces recur, so their ids are remembered, up to ``remembered`` of them. In a text of
+    Latin-1 letters, which has one form under NFC, pieces are lower-cased and full stops and commas that end a word are
+    pieces of their own; any other text is cut at white space only.
     """
 
-    def __init__(self, path: str, end_id: int, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core; threads would only contend
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end, self.remembered, self.seen = np.uint32(end_id).tobytes(), remembered, {}
+        self.remembered, self.seen = remembered, {}
+        # Only a tokenizer whose normalizer lower-cases takes the first way.
+        self.lower = self.tokenizer.encode("ABC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
 
-    def __call__(self, text: str) -> bytes:
-        """u32 ids of the text and the end id."""
-        pieces = re.split("[ \n\r\t]+", text)
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """u32 ids of each text."""
         seen = self.seen
         if len(seen) > self.remembered:
             seen.clear()
-        missing = [p for p in set(pieces) if p not in seen]
-        for piece, found in zip(missing, self.tokenizer.encode_batch(missing, add_special_tokens=False) if missing else (), strict=True):
-            seen[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join(map(seen.__getitem__, pieces)) + self.end
+        pieces = [self.pieces(t) for t in texts]
+        missing = set().union(*pieces).difference(seen)
+        words = [p for p in missing if p.isalpha()]
+        # Letters between spaces are one word each, so many are encoded at once and told apart by their word's number.
+        found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+        ids, number = np.array(found.ids, dtype="<u4"), np.array(found.word_ids, dtype=np.int64)
+        ends = np.append(np.flatnonzero(np.diff(number)) + 1, len(ids)) if len(ids) else np.empty(0, dtype=np.int64)
+        if len(ends) == len(words):
+            plain, start = ids.tobytes(), 0
+            for word, end in zip(words, (ends * 4).tolist(), strict=True):
+                seen[word] = plain[start:end]
+                start = end
+            missing = missing.difference(words)
+        rest = list(missing)
+        for piece, one in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else (), strict=True):
+            seen[piece] = np.array(one.ids, dtype="<u4").tobytes()
+        return [b"".join(map(seen.__getitem__, p)) for p in pieces]
+
+    def pieces(self, text: str) -> list[str]:
+        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split(" ")
+        if not self.lower or "<|" in text or _MARKS_TOGETHER.search(text):
+            return text.split(" ")
+        return text.lower().replace(". ", " . ").replace(", ", " , ").split(" ")
+
+
+#: A mark before a full stop or comma that ends a piece: the two can be one token, so the text is not cut there.
+_MARKS_TOGETHER = re.compile(r"(?:[^\w\s]|_)[.,] ")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks that follow each other share it."""
+    return Encoder(path)
 
 
 class ShardWriter:
@@ -116,6 +156,13 @@ class ShardWriter:
         return rows
 
 
+def slices(texts: pa.Array, most: int = 2_000_000) -> list[tuple[int, int]]:
+    """Ranges of rows that hold about ``most`` bytes of text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)] if len(texts) else []
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 2, frame_bytes: int = 1 << 20) -> DataFrame:
     """Writes ids of every whole text of ``documents`` (doc_id, text) to ``folder``, in ascending doc_id order.
 
@@ -132,7 +179,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, context, writer = None, TaskContext.get(), None
+        context, writer, end = TaskContext.get(), None, np.uint32(end_id).tobytes()
         names = [x.split()[0] for x in WRITTEN.split(", ")]
 
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +187,14 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str | None = None
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if n == "file" else pa.int32() if n in ("part", "frame") else pa.int64()) for x, n in zip(zip(*rows, strict=True), names, strict=True)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            for first, last in slices(batch["text"]):
                 if writer is None:
-                    encode = Encoder(path, end_id)
+                    encode = encoder(path)
                     width = 2 if max(encode.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
                     writer = ShardWriter(folder, context.partitionId(), context.taskAttemptId(), width, frame_bytes)
-                yield from out(writer.add(doc_id, encode(text.as_py())))
+                some = batch.slice(first, last - first)
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), encode(some["text"].to_pylist()), strict=True):
+                    yield from out(writer.add(doc_id, ids + end))
         if writer:
             yield from out(writer.close())
 
