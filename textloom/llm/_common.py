@@ -65,3 +65,9 @@ def text_of(column: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def hashed_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, k1, k2): a document is known by 128 bits of hash over doc_id and text; equal rows are one document."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", "doc_id"))

@@ -16,17 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import SPACES, Scratch, read, text_of
+from textloom.llm._common import SPACES, Scratch, hashed_documents, read
 
 LEAST_WORDS = 5
 
 
-def _documents(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, k1, k2): a document is known by 128 bits of hash over doc_id and text; equal rows are one document."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return docs.withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", "doc_id"))
-
-
 def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, f"{SPACES}+", " "))
 
@@ -41,7 +35,7 @@ def _half(words: Column, least: Column, front: bool) -> Column:
 
 def line_places(documents: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, no, h1, h2, halves) for each line that isn't blank; h1, h2 hash the line, halves its halves."""
-    lines = _documents(documents).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", _normal(F.col("line"))).filter("line <> ''")
+    lines = hashed_documents(documents).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", _normal(F.col("line"))).filter("line <> ''")
     words = F.split("line", " ")
     n = F.size(words)
     halves = F.when(n >= LEAST_WORDS, F.array(_half(words, n, True), _half(words, n, False), _half(words, n - 1, True), _half(words, n - 1, False)))
@@ -54,7 +48,7 @@ def near_lines(documents: DataFrame, first: DataFrame, scratch: Scratch) -> Data
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
     possible = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
     places = first.join(possible, ["h1", "h2"], "left_semi").groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("place", "h1", "h2")).alias("at"))
-    docs = _documents(documents).select("k1", "k2", "text")
+    docs = hashed_documents(documents).select("k1", "k2", "text")
     lines = docs.join(places, ["k1", "k2"]).select("k1", "k2", F.explode("at").alias("at"), F.split("text", "\n").alias("lines"))
     lines = scratch.table(lines.select("k1", "k2", "at.place", "at.h1", "at.h2", F.split(_normal(F.get("lines", F.col("at.place.no"))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "lines")
 
@@ -125,7 +119,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") != "").alias("n_lines"), F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "near").alias("n_near"),
         F.sort_array(F.collect_list(F.when(F.col("kind") != "first", F.col("no")))).alias("dropped"),
     )
-    every = _documents(documents).select("doc_id", "k1", "k2").distinct()
+    every = hashed_documents(documents).select("doc_id", "k1", "k2").distinct()
     zero = F.lit(0).cast("long")
     return every.join(kinds, ["k1", "k2"], "left").select("doc_id", "k1", "k2", *(F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_exact", "n_near")), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
@@ -133,7 +127,7 @@ def dedup_lines(documents: DataFrame) -> DataFrame:
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, text) of each document with the lines that ``dedup_lines`` drops left out."""
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i.cast("int")))
-    return _documents(documents).dropDuplicates(["k1", "k2"]).join(dedup_lines(documents).drop("doc_id"), ["k1", "k2"]).select("doc_id", F.array_join(kept, "\n").alias("text"))
+    return hashed_documents(documents).dropDuplicates(["k1", "k2"]).join(dedup_lines(documents).drop("doc_id"), ["k1", "k2"]).select("doc_id", F.array_join(kept, "\n").alias("text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, repeat_removal, simhash_dedup, token_store, toxicity
+from textloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_repeat_removal": repeat_removal.op5_repeat_removal,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_toxicity": toxicity.op7_toxicity,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
