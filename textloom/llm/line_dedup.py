@@ -6,8 +6,8 @@ length must lose the word at the same place, and a line can meet a longer one on
 a comparison of the words verifies the edit distance. Of a group that shares a key only the earliest line is compared with
 the rest, which is enough to find for each line whether an earlier one is near it, so groups of any size stay linear.
 
-Variants are emitted only for lines that can have a neighbour: one edit leaves the first or the second half of a line as it
-is, so a line near another shares the hash of a half with it. Hashes of words are combined by exclusive or over running
+Variants are emitted only for lines that can have a neighbour: one edit leaves the words of one half of a line as they are,
+so a line near another shares the hash of a half's words with it. Hashes of words are combined by exclusive or over running
 windows, so a line with n words costs n rows, however long it is.
 """
 
@@ -21,58 +21,83 @@ from textloom.llm._common import SPACES, Scratch, hashed_documents, read
 LEAST_WORDS = 5
 
 
-def _normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, f"{SPACES}+", " "))
+def _words(line: Column) -> Column:
+    """Words of a line; the regular expression runs only where more than single blanks part them."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\r\x0b\x0c":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.split(F.trim(F.when(odd, F.regexp_replace(line, f"{SPACES}+", " ")).otherwise(line)), " ", -1)
 
 
-def _half(words: Column, least: Column, front: bool) -> Column:
-    """Hash of the half of a line that survives an edit in the other half, for a pair whose shorter line has ``least`` words."""
-    first = F.floor(least / 2).cast("int")
-    size = first if front else least - first
-    start = F.lit(1) if front else F.size(words) - size + 1
-    return F.xxhash64(least, F.lit(front), F.array_join(F.slice(words, start, size), " "))
+def _half_size(n: Column) -> Column:
+    """How many words of a half are hashed: the largest of 2, 3, 4, 6, 8, 12 and so on that is half of ``n`` at most."""
+    power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(4)).cast("double") + 0.5)) - 1).cast("int")  # of two, half of n at most
+    return F.when((power >= 4) & (power / 2 * 3 <= n / 2), (power / 2 * 3).cast("int")).otherwise(power)
 
 
 def line_places(documents: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, no, h1, h2, halves) for each line that isn't blank; h1, h2 hash the line, halves its halves."""
-    lines = hashed_documents(documents).select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", _normal(F.col("line"))).filter("line <> ''")
-    words = F.split("line", " ")
-    n = F.size(words)
-    halves = F.when(n >= LEAST_WORDS, F.array(_half(words, n, True), _half(words, n, False), _half(words, n - 1, True), _half(words, n - 1, False)))
-    return lines.select("doc_id", "k1", "k2", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("2"), "line").alias("h2"), halves.alias("halves"))
+    """(doc_id, k1, no, h1, h2, front, back, front2, back2) for each line that isn't blank.
+
+    h1 and h2 hash the words. front and back hash as many words from either end as fit into a half; where a line with a word
+    less has smaller halves, front2 and back2 hash those.
+    """
+    lines = hashed_documents(documents).select("doc_id", "k1", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    words = lines.select("doc_id", "k1", "no", F.explode(F.array(_words(F.col("line")))).alias("words")).filter("words[0] <> '' OR size(words) > 1")
+    hashes = words.select("doc_id", "k1", "no", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
+    n = F.size("w")
+    size, less = _half_size(n), _half_size(n - 1)
+    enough = n >= LEAST_WORDS
+    changes = enough & (size != less)
+
+    def half(k: Column, front: bool) -> Column:
+        return F.xxhash64(k, F.lit(front), F.slice("w", F.lit(1) if front else n - k + 1, k))
+
+    return hashes.select(
+        "doc_id", "k1", "no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(2), "w").alias("h2"), F.when(enough, half(size, True)).alias("front"), F.when(enough, half(size, False)).alias("back"),
+        F.when(changes, half(less, True)).alias("front2"), F.when(changes, half(less, False)).alias("back2"),
+    )
 
 
 def near_lines(documents: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
-    """(h1, h2) of the lines of ``first`` (h1, h2, place, halves) that are near a line with an earlier place."""
-    halves = first.filter("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("half"))
+    """(h1, h2) of the lines of ``first`` that are near a line with an earlier place."""
+    halves = first.select("h1", "h2", F.explode(F.array("front", "back", "front2", "back2")).alias("half")).filter("half IS NOT NULL")
     shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
     possible = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    places = first.join(possible, ["h1", "h2"], "left_semi").groupBy("place.k1", "place.k2").agg(F.collect_list(F.struct("place", "h1", "h2")).alias("at"))
-    docs = hashed_documents(documents).select("k1", "k2", "text")
-    lines = docs.join(places, ["k1", "k2"]).select("k1", "k2", F.explode("at").alias("at"), F.split("text", "\n").alias("lines"))
-    lines = scratch.table(lines.select("k1", "k2", "at.place", "at.h1", "at.h2", F.split(_normal(F.get("lines", F.col("at.place.no"))), " ").alias("words")).dropDuplicates(["h1", "h2"]), "lines")
+    at = first.select("h1", "h2", "place").join(possible, ["h1", "h2"], "left_semi").groupBy(F.col("place.k1").alias("of_k1"), F.col("place.doc_id").alias("of_doc")).agg(F.collect_list(F.struct("place", "h1", "h2")).alias("at"))
+    docs = hashed_documents(documents).select("doc_id", "k1", "text")
+    found = docs.join(at, (F.col("k1") == F.col("of_k1")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines"))
+    found = found.select("at.place", "at.h1", "at.h2", _words(F.get("lines", F.col("at.place.no"))).alias("words"))
+    lines = scratch.table(found.withColumn("line", F.monotonically_increasing_id()), "lines")
 
-    word = lines.select("place", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    word = lines.select("line", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     hashes = [F.xxhash64(F.lit(seed), F.col("word"), at).alias(name) for seed, at, name in ((1, F.col("i"), "a1"), (2, F.col("i"), "a2"), (1, F.col("i") - 1, "b1"), (2, F.col("i") - 1, "b2"))]
-    before = Window.partitionBy("place").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    after = Window.partitionBy("place").orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("line").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("line")
     none = F.lit(0).cast("long")
-    variants = word.select("place", "n", "i", *hashes).select(
-        "place", (F.col("n") - 1).alias("size"), "i",
-        *(F.coalesce(F.bit_xor(f"a{k}").over(before), none).bitwiseXOR(F.coalesce(F.bit_xor(f"b{k}").over(after), none)).alias(f"v{k}") for k in (1, 2)),
-    )
-    entire = word.select("place", "n", *hashes[:2]).groupBy("place", F.col("n").alias("size")).agg(F.lit(-1).alias("i"), F.expr("bit_xor(a1)").alias("v1"), F.expr("bit_xor(a2)").alias("v2"))
+
+    def variant(k: int) -> Column:
+        """Words before i at their places, those after it a place earlier."""
+        after = F.bit_xor(f"b{k}").over(whole).bitwiseXOR(F.bit_xor(f"b{k}").over(upto))
+        return F.coalesce(F.bit_xor(f"a{k}").over(before), none).bitwiseXOR(after)
+
+    variants = word.select("line", "n", "i", *hashes).select("line", (F.col("n") - 1).alias("size"), "i", variant(1).alias("v1"), variant(2).alias("v2"))
+    entire = word.select("line", "n", *hashes[:2]).groupBy("line", F.col("n").alias("size")).agg(F.lit(-1).alias("i"), F.expr("bit_xor(a1)").alias("v1"), F.expr("bit_xor(a2)").alias("v2"))
     keyed = scratch.table(variants.unionByName(entire), "variants")
+    met = keyed.groupBy("v1", "v2").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("v1", "v2")
+    together = keyed.join(met, ["v1", "v2"], "left_semi").join(lines.select("line", "place"), "line").drop("line")
+    together = scratch.table(together, "together")
+    scratch.drop("variants")
 
     # Lines of equal length, without the word at the same place.
     key = ["v1", "v2", "size", "i"]
-    replaced = keyed.filter("i >= 0").groupBy(*key).agg(F.min("place").alias("other"), F.max("place").alias("high")).filter("other <> high").drop("high")
-    links = keyed.join(replaced, key).filter("other < place").select("place", "other")
+    replaced = together.filter("i >= 0").groupBy(*key).agg(F.min("place").alias("other"))
+    links = together.join(replaced, key).filter("other < place").select("place", "other")
     # A line and one with a word more.
     key = ["v1", "v2", "size"]
-    met = keyed.groupBy(*key).agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer")).filter("shorter IS NOT NULL AND longer IS NOT NULL")
+    met = together.groupBy(*key).agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer")).filter("shorter IS NOT NULL AND longer IS NOT NULL")
     other = F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("shorter"))
-    links = links.union(keyed.join(met, key).withColumn("other", other).filter("other < place").select("place", "other")).distinct()
+    links = links.union(together.join(met, key).withColumn("other", other).filter("other < place").select("place", "other")).distinct()
 
     # Verification: the words themselves.
     mine = lines.select("place", "h1", "h2", "words")
@@ -92,7 +117,7 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 
 def line_decisions(documents: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, no, kind) for each line that isn't blank: ``first``, ``exact`` or ``near``.
+    """(doc_id, k1, no, kind) for each line that isn't blank: ``first``, ``exact`` or ``near``.
 
     Lines are in the order of doc_id (null first), document and line number. A line is exact if an earlier line has the same
     words, and near if its words are within one word of an earlier line's, be that kept or not; lines of fewer than five
@@ -100,34 +125,42 @@ def line_decisions(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession)
     lines = scratch.table(line_places(documents), "places")
-    place = F.struct("doc_id", "k1", "k2", "no")
-    first = scratch.table(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.first("halves").alias("halves")), "first")
+    place = F.struct("doc_id", "k1", "no")
+    halves = [F.max(c).alias(c) for c in ("front", "back", "front2", "back2")]
+    first = scratch.table(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *halves), "first")
     near = near_lines(documents, first, scratch).withColumn("near", F.lit(True))
-    known = first.select("h1", "h2", F.col("place").alias("earliest")).join(near, ["h1", "h2"], "left")
+    # Only lines that recur or are near another need to be told of it.
+    known = first.select("h1", "h2", "n", F.col("place").alias("earliest")).join(near, ["h1", "h2"], "left").filter("n > 1 OR near")
     kind = F.when(F.col("near"), "near").when(place > F.col("earliest"), "exact").otherwise("first")
-    return lines.join(known, ["h1", "h2"]).select("doc_id", "k1", "k2", "no", kind.alias("kind"))
+    return lines.select("doc_id", "k1", "no", "h1", "h2").join(known, ["h1", "h2"], "left").select("doc_id", "k1", "no", kind.alias("kind"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, n_lines, n_exact, n_near, dropped) for each document of ``documents`` (doc_id, text).
+    """(doc_id, k1, n_lines, n_exact, n_near, dropped) for each document of ``documents`` (doc_id, text).
 
     dropped lists the numbers, from 0, of the lines that go. Blank lines always stay and aren't counted. Null texts count
     as empty and have no lines. Rows that are equal in doc_id and text are one document; other columns are ignored. An
     empty table gives an empty result.
     """
-    kinds = line_decisions(documents).groupBy("k1", "k2").agg(
-        F.count_if(F.col("kind") != "").alias("n_lines"), F.count_if(F.col("kind") == "exact").alias("n_exact"), F.count_if(F.col("kind") == "near").alias("n_near"),
-        F.sort_array(F.collect_list(F.when(F.col("kind") != "first", F.col("no")))).alias("dropped"),
+    rows = line_decisions(documents)
+    kinds = rows.groupBy(F.col("doc_id").alias("of_doc"), F.col("k1").alias("of_k1")).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") != "first", F.col("no")))).alias("gone"),
     )
-    every = hashed_documents(documents).select("doc_id", "k1", "k2").distinct()
+    copies = hashed_documents(documents).groupBy("doc_id", "k1").agg(F.count("*").alias("copies"))
     zero = F.lit(0).cast("long")
-    return every.join(kinds, ["k1", "k2"], "left").select("doc_id", "k1", "k2", *(F.coalesce(c, zero).alias(c) for c in ("n_lines", "n_exact", "n_near")), F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    # Rows that repeat brought each of their lines as often; they are one document.
+    joined = copies.join(kinds, (F.col("k1") == F.col("of_k1")) & F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
+    counts = [F.coalesce((F.col(c) / F.col("copies")).cast("long"), zero).alias(f"n_{c}") for c in ("lines", "exact", "near")]
+    return joined.select("doc_id", "k1", *counts, F.coalesce(F.array_distinct("gone"), F.array().cast("array<int>")).alias("dropped"))
 
 
 def without_repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, text) of each document with the lines that ``dedup_lines`` drops left out."""
     kept = F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("dropped", i.cast("int")))
-    return hashed_documents(documents).dropDuplicates(["k1", "k2"]).join(dedup_lines(documents).drop("doc_id"), ["k1", "k2"]).select("doc_id", F.array_join(kept, "\n").alias("text"))
+    gone = dedup_lines(documents).select(F.col("doc_id").alias("of_doc"), F.col("k1").alias("of_k1"), "dropped")
+    docs = hashed_documents(documents).dropDuplicates(["doc_id", "k1"])
+    return docs.join(gone, (F.col("k1") == F.col("of_k1")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("doc_id", F.array_join(kept, "\n").alias("text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
