@@ -50,7 +50,7 @@ class Encoder:
     pieces of their own; any other text is cut at white space only.
     """
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core; threads would only contend
         from tokenizers import Tokenizer
 
@@ -94,7 +94,7 @@ class Encoder:
 
 
 #: A mark before a full stop or comma that ends a piece: the two can be one token, so the text is not cut there.
-_MARKS_TOGETHER = re.compile(r"(?:[^\w\s]|_)[.,] ")
+_MARKS_TOGETHER = re.compile(r"(?:[^\w ]|_)[.,] ")
 
 
 @lru_cache(maxsize=2)
@@ -285,7 +285,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = frames.repartition(max(1, min(10_000, manifest.count() // 4)), "file", "offset")
+    spread = frames.repartition(max(1, min(10_000, manifest.count() // 16)), "file", "offset")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
