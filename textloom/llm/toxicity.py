@@ -92,7 +92,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: floa
     return ToxicityModel(bits, index, live[index].astype(np.float32), bias)
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, bits: int = 20, most_rows: int = 16_000, epochs: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1) -> ToxicityModel:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, bits: int = 20, most_rows: int = 16_000, epochs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> ToxicityModel:
     """Model learnt from ``labels`` (doc_id, toxic) of ``documents`` (doc_id, text).
 
     Learns from ``most_rows`` labelled documents at most, those with the smallest digests of doc_id: a bound on the
