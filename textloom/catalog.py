@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import label_queries, message_queries, split_queries, text_queries  # noqa: F401  they register themselves
+from textloom.plans import message_queries, source_queries, split_queries, text_queries  # noqa: F401  they register themselves
 from textloom.plans.views import ORACLE, QUERIES
 
 
