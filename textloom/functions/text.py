@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters that look alike and what they stand for.
 CONFUSABLE_FROM, CONFUSABLE_TO = "аеорсхАЕОРСХ", "aeopcxAEOPCX"
@@ -16,7 +17,7 @@ MAX_LENGTH = 4096
 INPUT_BYTES, HEAD_BYTES, TAIL_BYTES = 512, 384, 128
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC, for which Spark has no function; Arrow batches, ASCII passes through."""
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))

@@ -19,7 +19,8 @@ def read_messages_jsonl(spark: SparkSession, path: str | list[str], strict: bool
     Rows carry ``_file`` so that "first" can mean file order.
     """
     schema = T.StructType([*MESSAGE.fields, T.StructField(BAD, T.StringType())])
-    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path).withColumn("_file", F.col("_metadata.file_path"))
+    lines = spark.read.text(path).filter(F.trim("value") != "").withColumn("_file", F.col("_metadata.file_path"))
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}).alias("r"), "_file").select("r.*", "_file")
     columns = [F.coalesce(f.name, F.lit("")).alias(f.name) if f.dataType == T.StringType() and f.name != "parent_id" else F.coalesce(f.name, F.lit(False)).alias(f.name) if f.dataType == T.BooleanType() else F.col(f.name) for f in MESSAGE.fields]
     checked = F.when(F.col(BAD).isNotNull(), F.raise_error(F.concat(F.lit("bad line in "), F.col("_file"), F.lit(": "), F.col(BAD)))) if strict else F.col(BAD)
     out = rows.select(*columns, checked.cast("string").alias(BAD), "_file")
@@ -57,11 +58,12 @@ def read_annotation_csv(spark: SparkSession, path: str | list[str], encoding: st
 
 def best_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "GBK", "GB18030")) -> str:
     """The first encoding under which the text has the fewest replacement characters."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK and its kin are Java charsets
     counts = []
     for name in encodings:
         lines = spark.read.option("encoding", name).option("lineSep", "\n").csv(path, sep="\x01", quote="")
         text = F.concat_ws("", *lines.columns) if lines.columns else F.lit("")
-        counts.append(lines.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit("�"))), F.lit(0)).alias("n")).first()["n"])
+        counts.append(lines.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit("\ufffd"))), F.lit(0)).alias("n")).first()["n"])
     return encodings[counts.index(min(counts))]
 
 
