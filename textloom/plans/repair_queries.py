@@ -53,3 +53,20 @@ FLAGS = {
 @query("qa_flags_en", " UNION ALL ".join(f"SELECT '{n}' AS flag, count(*) AS n FROM {ROWS} WHERE {p} HAVING count(*) > 0" for n, p in FLAGS.items()), "messages")
 def qa_flags_en(spark, d):
     return audits.flag_counts(audits.flags(rows(spark, d), repair.flags_en(F.col("t"), F.col("label"))))
+
+
+HARD, PROMO2, PRIZE2 = like(repair.EN2_HARD_PRIZE), like(repair.EN2_PROMO), like(repair.EN2_PRIZE)
+LEFT = "spam AND label = 'NEEDS_REVIEW'"
+SECOND = [
+    ("NOT spam AND label IN ('AD', 'FRAUD', 'HARASS')", "NEEDS_REVIEW", "ham-not-four-class"), (f"label = 'FRAUD' AND {PROMO2} AND NOT {HARD}", "AD", "commercial-promo-not-fraud"),
+    (f"label = 'FRAUD' AND {like(repair.EN2_TONE_OR_QUIZ)} AND NOT {like(repair.EN2_STATEMENT)}", "AD", "ringtone-quiz-auction-ad"),
+    (f"{LEFT} AND (contains(t, 'secret admirer') OR {like(repair.EN2_ADULT)} OR {like('xxxmobilemovieclub|live sex')})", "HARASS", "spam-adult-dating"),
+    (f"{LEFT} AND {PRIZE2} AND {PROMO2} AND NOT {HARD} AND {like(repair.EN2_TONE)}", "AD", "spam-review-to-ad"), (f"{LEFT} AND ({HARD} OR {PRIZE2})", "FRAUD", "spam-review-to-fraud"),
+    (f"{LEFT} AND ({PROMO2} OR contains(t, 'barbie'))", "AD", "spam-review-to-ad"), (LEFT, "AD", "spam-review-default-ad"),
+]
+
+
+@query("repair_en_v2", "SELECT msg_id, CASE " + " ".join(f"WHEN {p} THEN '{x}'" for p, x, _ in SECOND) + " END AS label, CASE " + " ".join(f"WHEN {p} THEN '{r}'" for p, _, r in SECOND) + f" ELSE '' END AS reason FROM {ROWS}", "messages")
+def repair_en_v2(spark, d):
+    decided = repair.repair_en_second(F.col("t"), F.col("label"), F.col("spam"))
+    return rows(spark, d).select("msg_id", decided.alias("d")).select("msg_id", "d.label", "d.reason")
