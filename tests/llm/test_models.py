@@ -136,6 +136,21 @@ def test_paraphrase_and_answer(spark):
     assert decontamination.find_leaks(frame, wrong).count() == 0
 
 
+def test_items_that_many_documents_leak(spark):
+    random.seed(21)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(6000)]
+    for part in (0.1, 0.2, 0.33):
+        items = [(k, " ".join(random.sample(words[:2000], (6, 10, 15, 40)[k % 4]))) for k in range(24)]
+        rows = []
+        for i in range(300):
+            around = random.choices(words[2000:], k=128)
+            leaked = items[i % 24][1] if i < 24 else items[i % 4][1] if random.random() < 4 * part else ""
+            rows.append((i, " ".join([*around[:64], *leaked.split(), *around[64:]])))
+        wanted = {(d, k) for d, t in rows for k, x in items if f" {x} " in t}
+        got = decontamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark(spark, items)).collect()
+        assert {(r.doc_id, r.item_id) for r in got if r.kind == "verbatim"} == wanted
+
+
 def test_leaks_odd(spark, odd_documents, no_documents):
     items = benchmark(spark, [(1, None), (None, "a b"), (2, ""), (3, "日本語 テキスト 😀 é"), (3, "日本語 テキスト 😀 é"), (4, "...")])
     got = decontamination.find_leaks(odd_documents, items).collect()
