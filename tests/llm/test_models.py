@@ -151,6 +151,23 @@ def test_items_that_many_documents_leak(spark):
         assert {(r.doc_id, r.item_id) for r in got if r.kind == "verbatim"} == wanted
 
 
+def test_repeated_items_and_blocks(spark):
+    random.seed(22)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    items = [(k, " ".join(random.sample(words, 20))) for k in range(30)]
+    items += [(40 + k, items[1][1]) for k in range(2)]  # one text three times
+    items += [(50 + k, " ".join([*random.sample(words, 2), *items[2][1].split(), *random.sample(words, 2)])) for k in range(9)]  # one within nine others
+    rows = [(i, " ".join([*random.sample(words, 60), *items[i % len(items)][1].split(), *random.sample(words, 60)])) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = {(d, k) for d, t in rows for k, x in items if f" {x} " in t}
+    every = []
+    for size in (256, 7, 1000):
+        got = decontamination.find_leaks(frame, benchmark(spark, items), block_passages=size).collect()
+        assert {(r.doc_id, r.item_id) for r in got} >= wanted
+        every.append(sorted((r.doc_id, r.item_id, r.lcs, r.answer, r.kind) for r in got))  # the cosine is that of a block's projection
+    assert every[0] == every[1] == every[2]
+
+
 def test_leaks_odd(spark, odd_documents, no_documents):
     items = benchmark(spark, [(1, None), (None, "a b"), (2, ""), (3, "日本語 テキスト 😀 é"), (3, "日本語 テキスト 😀 é"), (4, "...")])
     got = decontamination.find_leaks(odd_documents, items).collect()
