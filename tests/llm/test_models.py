@@ -105,6 +105,28 @@ def test_terms_that_disclose(spark):
     assert "[EMAIL]" in clean[0] and "Zebulon" not in clean[0] and clean[100] == texts[100]
 
 
+def named_terms(spark, rows, **options):
+    """{term: actions} of the terms found in ``rows`` of (doc_id, text)."""
+    texts, got = dict(rows), defaultdict(set)
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect():
+        for s in r.spans or ():
+            if s.kind == 4:
+                got[texts[r.doc_id][s.start : s.end]].add(s.action)
+    return got
+
+
+def test_terms_at_the_least_support(spark):
+    def letters(i):
+        return "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    rows = [(3 * i + j, f"name{letters(i)} tail{letters(3 * i + j)} at u{i}@example.org") for i in range(400) for j in range(3)]
+    assert {f"name{letters(i)}" for i in range(400)} <= set(named_terms(spark, rows))
+    # Repeated rows count alike everywhere: the term is only with the entity, so its share is one.
+    rows = [(j, f"zebulon tail{letters(j)} at z.q@example.org") for j in range(3) for _ in range(3)]
+    rows += [(100 + j, f"other tail{letters(100 + j)}") for j in range(900)]
+    assert named_terms(spark, rows)["zebulon"] == {"remove"}
+
+
 def benchmark(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 

@@ -94,9 +94,11 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, least_l
     masked = F.col("text")
     for pattern in PATTERNS.values():
         masked = F.regexp_replace(masked, pattern, " ")
-    pairs = marked.join(protected, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "same", "entities", F.explode(_terms(masked, least_letters)).alias("term"))
-    pairs = scratch.table(pairs.select("k1", "k2", "same", "term", F.explode("entities").alias("e")).select("k1", "k2", "same", "term", "e.*"), "pairs")
-    both = pairs.groupBy("entity", "n_entity", "term").agg(F.count("*").alias("both"), F.approx_count_distinct("same", 0.1).alias("texts"))
+    pairs = marked.join(protected, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("same").alias("same"), F.first("entities").alias("entities"), F.count("*").alias("times"))
+    pairs = pairs.select("k1", "k2", "same", "times", "entities", F.explode(_terms(masked, least_letters)).alias("term"))
+    pairs = scratch.table(pairs.select("k1", "k2", "same", "times", "term", F.explode("entities").alias("e")).select("k1", "k2", "same", "times", "term", "e.*"), "pairs")
+    by_text = pairs.groupBy("entity", "n_entity", "term", "same").agg(F.sum("times").alias("both"))
+    both = by_text.groupBy("entity", "n_entity", "term").agg(F.sum("both").alias("both"), F.count("*").alias("texts"))
     both = scratch.table(both.filter(F.col("both") >= support).filter(F.col("texts") >= support), "both")
     # Document frequency of every term over the whole corpus: partial counts leave a row for each term and task.
     counts = docs.select(F.explode(_terms(F.col("text"), least_letters)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
