@@ -127,6 +127,13 @@ def test_terms_at_the_least_support(spark):
     assert named_terms(spark, rows)["zebulon"] == {"remove"}
 
 
+def test_short_terms_and_numbers(spark):
+    short = ["Li", "李明", "7b", "4711", "x"]
+    rows = [(i, f"common text {i % 5 + 90} number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(200)]
+    rows += [(300 + i, f"common {' , '.join(short)} {90 + i} at w.l@example.org") for i in range(5)]
+    assert set(short) == set(named_terms(spark, rows, least_letters=1)) - {"at"}
+
+
 def benchmark(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 

@@ -22,7 +22,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = (*PATTERNS, "term")
-LETTERS = r"\p{L}+"
+LETTERS = r"[\p{L}\p{N}]+"
 
 
 def placed(docs: DataFrame, pattern: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -72,8 +72,8 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _terms(text: Column, least_letters: int) -> Column:
-    """Hashes of the distinct lower-cased words of letters."""
-    words = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: F.length(w) >= least_letters)
+    """Hashes of the distinct lower-cased words of letters and digits."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= least_letters)
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -91,11 +91,17 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, scratch: Scratch, least_l
     known = texts.groupBy("entity").agg(F.count("*").alias("n_entity"), F.min("same").alias("low"), F.max("same").alias("high")).filter("low <> high AND n_entity >= %d" % support).select("entity", "n_entity")
     with_entity = scratch.table(held.join(known, "entity"), "held")
     protected = with_entity.groupBy("k1", "k2").agg(F.collect_set(F.struct("entity", "n_entity")).alias("entities"))
-    masked = F.col("text")
-    for pattern in PATTERNS.values():
-        masked = F.regexp_replace(masked, pattern, " ")
+    # Only base spans are cut out: what a pattern matches and its check refuses, as a short number, is a term.
+    cuts = base.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+
+    def cut(acc: Column, c: Column) -> Column:
+        before = F.substring("text", (acc["at"] + 1).cast("int"), F.greatest(c["start"] - acc["at"], F.lit(0)).cast("int"))
+        return F.struct(F.concat(acc["out"], before, F.lit(" ")).alias("out"), F.greatest(acc["at"], c["end"]).alias("at"))
+
+    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    masked = F.aggregate("cuts", begin, cut, lambda acc: F.concat(acc["out"], F.substring("text", (acc["at"] + 1).cast("int"), F.length("text"))))
     pairs = marked.join(protected, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("same").alias("same"), F.first("entities").alias("entities"), F.count("*").alias("times"))
-    pairs = pairs.select("k1", "k2", "same", "times", "entities", F.explode(_terms(masked, least_letters)).alias("term"))
+    pairs = pairs.join(cuts, ["k1", "k2"]).select("k1", "k2", "same", "times", "entities", F.explode(_terms(masked, least_letters)).alias("term"))
     pairs = scratch.table(pairs.select("k1", "k2", "same", "times", "term", F.explode("entities").alias("e")).select("k1", "k2", "same", "times", "term", "e.*"), "pairs")
     by_text = pairs.groupBy("entity", "n_entity", "term", "same").agg(F.sum("times").alias("both"))
     both = by_text.groupBy("entity", "n_entity", "term").agg(F.sum("both").alias("both"), F.count("*").alias("texts"))
@@ -113,7 +119,8 @@ def find_personal_data(documents: DataFrame, least_letters: int = 4, support: in
 
     kind numbers ``KINDS``; spans are in the order of kind and start, in code points, ends exclusive. Base spans have action
     ``replace``; terms have ``generalise`` or ``remove``, and never overlap a base span. Base spans of different kinds may
-    overlap. Null texts count as empty. Rows equal in doc_id and text are one document; as co-occurrences they count as
+    overlap. Terms are words of letters and digits; shorter ones than ``least_letters`` are not counted, 1 counts them all, as
+    the query does. Null texts count as empty. Rows equal in doc_id and text are one document; as co-occurrences they count as
     often as they come. An empty table gives an empty result; other columns are ignored.
     """
     scratch = Scratch(documents.sparkSession)
@@ -153,7 +160,7 @@ def sanitised(documents: DataFrame, **options) -> DataFrame:
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_personal_data(read(spark, sf_dir, "documents"))
+    found = find_personal_data(read(spark, sf_dir, "documents"), least_letters=1)
     spans = F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint,action:string>>"))
     found = found.withColumn("spans", spans).withColumn("base", F.filter("spans", lambda s: s["kind"] < 4))
     names = F.array(*(F.lit(k) for k in KINDS))
