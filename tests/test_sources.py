@@ -104,3 +104,14 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, folder):
         assert spark.read.parquet(str(folder / "raw")).count() == 40
     batch = {(r.message_ref, r.action) for r in intake.classify_messages(frame).select("message_ref", "action").collect()}
     assert {(r.message_ref, r.action) for r in spark.read.parquet(str(folder / "store")).collect()} == batch
+
+
+def test_streamed_parts_that_straddle_an_hour(spark, tmp_path):
+    schema = "message_ref string, part_no int, part_count int, address string, ts timestamp, body string, subscription int"
+    parts = [("m", 1, 2, "a", "2024-01-01 09:59:50", "one ", 1), ("m", 2, 2, "a", "2024-01-01 10:00:10", "two", 1), ("late", 1, 1, "a", "2024-01-02 10:00:00", "x", 1)]
+    for part in parts:
+        row = spark.createDataFrame([part], schema.replace("timestamp", "string"))
+        row.withColumn("ts", row["ts"].cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = intake.assemble_parts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream.writeStream.format("memory").queryName("straddling").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.message_ref, r.body) for r in spark.table("straddling").collect()] == [("m", "one two")]

@@ -13,12 +13,13 @@ from textloom.sources.writers import upsert_table
 def assemble_parts(parts: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
     """Messages from parts (message_ref, part_no, part_count, address, ts, body, subscription).
 
-    Bodies are joined in part order; address and time are those of the first part. A message whose parts are not all there
-    when the watermark passes it is not emitted.
+    Bodies are joined in part order; address and time are those of the first part. On a stream, parts of a
+    message belong together if each follows another within ``watermark``; a message whose parts are not all there when the
+    watermark passes them is not emitted.
     """
     if watermark and parts.isStreaming:
         parts = parts.withWatermark("ts", watermark)
-        keys = [F.window("ts", watermark), "message_ref"]
+        keys = [F.session_window("ts", watermark), "message_ref"]
     else:
         keys = ["message_ref"]
     held = parts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("part_no", "address", "ts", "body", "subscription"))).alias("parts"), F.max("part_count").alias("part_count"))
