@@ -13,10 +13,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor reach.
+    """Folder that the driver and every executor reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    On a cluster this is ``spark.checkpoint.dir``. Where that is unset (tests, one machine) a new folder under the
-    system's temporary folder is set once for the session.
+    A session on one machine (master ``local``) that sets neither gets a new folder once. On a cluster that is an error,
+    since executors would not see a folder of the driver.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -24,10 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     own = spark.sparkContext.getCheckpointDir()
     if own:
         return own.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
     import tempfile
 
-    folder = "file://" + tempfile.mkdtemp(prefix="textloom-")
-    spark.sparkContext.setCheckpointDir(folder)
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -36,7 +37,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """Parquet tables in the shared folder that cut lineage; a lost executor rereads them instead of recomputing."""
+    """Parquet tables in the shared folder that cut lineage; a lost executor rereads them instead of recomputing.
+
+    Operators take one as ``scratch``. The tables that their result still reads stay until its owner calls ``close``.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -58,6 +62,33 @@ class Scratch:
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def close(self) -> None:
+        """Delete every table left; results that read them can't be used any more."""
+        self.drop(*list(self.paths))
+
+
+def numbered(documents: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
+    """``documents`` written with a unique number for each row, and the name of that column, which clashes with none."""
+    column = "row"
+    while column in {c.lower() for c in documents.columns}:
+        column = "_" + column
+    return scratch.table(documents.withColumn(column, F.monotonically_increasing_id()), name), column
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the one row of ``groups`` that has their ``keys``; column ``count`` is dropped.
+
+    ``count`` says how many rows a group has. Groups with over a thousandth of all rows counted are a thousand at most,
+    so they are broadcast, and their rows stay where they are; only rows of smaller groups are shuffled to meet theirs.
+    Both tables are read twice and should be written ones.
+    """
+    total = groups.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot, rest = groups.filter(F.col(count) * 1000 > total).drop(count), groups.filter(F.col(count) * 1000 <= total).drop(count)
+    there = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return there.unionByName(others)
+
+
 def text_of(column: str = "text") -> Column:
     """The text as a string, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -1,8 +1,8 @@
 """Exact deduplication by content-defined chunk recipes.
 
-Every text becomes a recipe: the ordered list of the identifiers of its content-defined chunks. Texts are then compared
-by recipe, so a long text is read once where it lies and only a few bytes for each chunk are shuffled. An identifier is
-the 128-bit digest of the chunk with its length; groups are verified by the SHA-256 of the whole normalised text.
+Every text is cut into content-defined chunks where it lies. Distinct chunks, known by a 64-bit hash and a length and
+verified by their SHA-256, are numbered in a table. A text's recipe is the ordered list of its chunks' numbers, and texts are
+compared by recipe: a few bytes for each chunk are shuffled, the texts themselves never.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import Scratch, read, text_of
+from textloom.llm._common import Scratch, read, text_of, with_groups
 
 WHITE = b" \t\n\x0b\x0c\r"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -44,46 +44,59 @@ def chunk_ends(data: bytes, bits: int = 11, least: int = 256, most: int = 16_384
     return ends
 
 
-def recipe(data: bytes) -> bytes:
-    """Ordered identifiers of the chunks: 16 bytes of digest and 4 of length each."""
-    out, start = [], 0
-    for end in chunk_ends(data):
-        out.append(xxhash.xxh3_128_digest(data[start:end]) + (end - start).to_bytes(4, "little"))
-        start = end
-    return b"".join(out)
-
-
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        normal = [t.translate(None, WHITE) for t in batch["text"].cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["n_chars"], pa.array([recipe(t) for t in normal], pa.binary()), pa.array([hashlib.sha256(t).digest() for t in normal], pa.binary())],
-            names=["doc_id", "n_chars", "recipe", "sha"],
-        )
-
-
-def text_recipes(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, recipe, sha) for each row. Null text counts as empty; other columns are ignored."""
+        ends, hashes, sizes, checks, whole = [0], [], [], [], []
+        for text in batch["text"].cast(pa.binary()).to_pylist():
+            normal, start = text.translate(None, WHITE), 0
+            for end in chunk_ends(normal):
+                chunk = normal[start:end]
+                hashes.append(xxhash.xxh3_64_intdigest(chunk))
+                sizes.append(end - start)
+                checks.append(hashlib.sha256(chunk).digest())
+                start = end
+            ends.append(len(sizes))
+            whole.append(hashlib.sha256(normal).digest())
+        found = pa.StructArray.from_arrays([pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(checks, pa.binary())], names=["hash", "bytes", "check"])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_chars"], pa.array(whole, pa.binary()), lists], names=["doc_id", "n_chars", "sha", "chunks"])
+
+
+def chunked_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, sha, chunks) for each row; chunks lists (hash, bytes, check) of the text without white space, in order."""
     rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).withColumn("n_chars", F.char_length("text"))
-    return rows.mapInArrow(_recipes, "doc_id long, n_chars int, recipe binary, sha binary")
+    return rows.mapInArrow(_chunks, "doc_id long, n_chars int, sha binary, chunks array<struct<hash:bigint,bytes:int,check:binary>>")
 
 
-def exact_dedup(documents: DataFrame) -> DataFrame:
+def text_recipes(documents: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, doc_id, n_chars, sha, recipe) for each row of ``documents``; equal recipes are equal texts without white space."""
+    # A written table fixes the row numbers and spares a second pass over the texts.
+    rows = scratch.table(chunked_texts(documents).withColumn("row", F.monotonically_increasing_id()), "chunked")
+    uses = rows.select("row", F.posexplode("chunks").alias("at", "chunk")).select("row", "at", "chunk.*")
+    key = ["hash", "bytes", "check"]
+    # Map-side combine leaves a row for each chunk and task, however often a chunk is used.
+    table = scratch.table(uses.groupBy(*key).agg(F.count("*").alias("uses")).withColumn("number", F.monotonically_increasing_id()), "chunk_table")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "number")))
+    recipes = with_groups(uses, table, key, "uses").groupBy("row").agg(F.transform(ordered, lambda c: c["number"]).alias("recipe"))
+    none = F.array().cast("array<bigint>")
+    out = rows.select("row", "doc_id", "n_chars", "sha").join(recipes, "row", "left").withColumn("recipe", F.coalesce("recipe", none))
+    return scratch.table(out, "recipes")
+
+
+def exact_dedup(documents: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``documents`` (doc_id, text): which row of its group of equal texts stays.
 
     Texts are equal if they are identical without white space. The row with the most code points stays, then the
-    smallest doc_id (null last), then one of the rows that still tie. Null and empty texts are one group. An empty
-    table gives an empty result. Columns of other names are ignored.
+    smallest doc_id (null last), then one of the rows that still tie. Null and empty texts are one group, with an empty
+    recipe. An empty table gives an empty result. Columns of other names are ignored.
     """
-    scratch = Scratch(documents.sparkSession)
-    # A written table fixes the row numbers and spares a second pass over the texts.
-    rows = scratch.table(text_recipes(documents).withColumn("row", F.monotonically_increasing_id()), "recipes")
+    scratch = scratch or Scratch(documents.sparkSession)
+    rows = text_recipes(documents, scratch)
+    scratch.drop("chunked", "chunk_table")
     order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
-    # Partial aggregation leaves a row for each group and task, however large the group.
-    groups = rows.groupBy("recipe", "sha").agg(F.count("*").alias("group_size"), F.min(order).alias("first"))
-    # The recipe is long for long texts; the verified digest carries the group to its rows.
-    repeated = groups.filter("group_size > 1").select(F.col("sha").alias("same_sha"), F.col("recipe").alias("same"), "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
-    joined = rows.join(repeated, (F.col("sha") == F.col("same_sha")) & (F.col("recipe") == F.col("same")), "left")
+    groups = rows.groupBy("recipe").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    groups = groups.select("recipe", "n", F.col("n").alias("group_size"), F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    joined = with_groups(rows, scratch.table(groups, "groups"), ["recipe"], "n", "left")
     alone = F.col("keep_row").isNull()
     return joined.select(
         "doc_id",
