@@ -7,9 +7,10 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from textloom.llm import components, exact_dedup, line_dedup, repeat_removal, simhash_dedup
-from textloom.llm._common import Scratch, read
+from textloom.llm._common import Scratch, read, with_groups
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,6 +50,25 @@ def test_chunks_depend_on_content_only():
     assert exact_dedup.chunk_ends(b"") == [] and exact_dedup.chunk_ends(b"a" * 100) == [100]
 
 
+def test_groups_that_hold_most_rows(spark):
+    """Rows of large groups stay where they are; the result is that of a plain join."""
+    scratch = Scratch(spark)
+    rows = scratch.table(spark.range(3000).selectExpr("id AS row", "CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k"), "rows")
+    groups = scratch.table(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("row").alias("first")).filter("k % 2 = 1"), "groups")
+    for how in ("inner", "left"):
+        expected = rows.join(groups.drop("n"), "k", how).select("k", "row", "first").collect()
+        got = with_groups(rows, groups, ["k"], "n", how)
+        assert sorted(map(str, got.select("k", "row", "first").collect())) == sorted(map(str, expected))
+    assert with_groups(rows, groups.limit(0), ["k"], "n", "left").count() == 3000
+    scratch.close()
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(5, "one two three four"), (5, "one two three four"), (None, "one two three four"), (None, "other words here now"), (6, None), (7, "")]
+    kept = simhash_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == [(0, "other words here now"), (5, "one two three four"), (6, "")]
+
+
 def brute_print(text):
     words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -95,7 +115,8 @@ def test_simhash_odd(odd_documents, no_documents):
     assert kept.columns == odd_documents.columns and {r.doc_id for r in kept.collect()} >= {1, 3, None}
 
 
-def test_links_find_every_close_pair(spark):
+@pytest.mark.parametrize("small_cell", [64, 2])
+def test_links_find_every_close_pair(spark, small_cell):
     random.seed(7)
     prints = [random.getrandbits(64) for _ in range(30)]
     for p in prints[:15]:
@@ -105,7 +126,7 @@ def test_links_find_every_close_pair(spark):
     signed = {p - (1 << 64) if p >> 63 else p: p for p in prints}
     frame = spark.createDataFrame([(s,) for s in signed], "print long")
     scratch = Scratch(spark)
-    found = dict(tuple(r) for r in components.connected_components(simhash_dedup.fingerprint_links(frame, scratch), scratch).collect())
+    found = dict(tuple(r) for r in components.connected_components(simhash_dedup.fingerprint_links(frame, scratch, small_cell), scratch).collect())
     got = defaultdict(set)
     for s in signed:
         got[found.get(s, s)].add(s)
@@ -153,13 +174,15 @@ def test_repeat_removal_data(spark, data):
     assert got == expected
 
 
-def test_repeat_removal_slices(spark, monkeypatch):
-    """Texts beyond a slice give what one slice gives."""
+def test_repeat_removal_slices(spark):
+    """Texts longer than a slice: the borders of slices make no difference."""
     random.seed(5)
-    body = bytes(random.randrange(97, 105) for _ in range(6000)).decode()
-    frame = spark.createDataFrame([(1, body), (2, "q" + body[1000:4000] + "z" * 500), (3, body[:100])], "doc_id long, text string")
-    whole = sorted(map(tuple, repeat_removal.remove_repeats(frame).collect()))
-    assert whole[0][2] == 3000
+    body = bytes(random.randrange(97, 105) for _ in range(repeat_removal.SLICE + 50_000)).decode()
+    at = repeat_removal.SLICE
+    texts = [body, "q" + body[at - 700 : at + 800] + "z" * 300, body[at - 390 : at + 10], body[:100], body[at - 1000 : at - 601]]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeat_removal.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_removal([t.encode() for t in texts], 400)))
+    assert got[0][1] == got[1][1] == 1500 and got[2][1] == 400 and got[4][1] == 0
 
 
 def test_repeat_removal_odd(odd_documents, no_documents):

@@ -12,7 +12,8 @@ Burrows-Wheeler transform, is in the README: the longest document sets the numbe
    neighbouring windows have 385 bytes in common, and only where these occur in two contents are the windows compared.
 
 Every step is an aggregation by hash or a join with one row for each key on one side; no pairs are listed, so groups of any
-size stay linear. Hashes have 64 bits; windows are compared within one minimizer only, where both hashes must agree.
+size stay linear, and a minimizer that very many documents share stays where its rows are. Windows are compared within one
+minimizer only, so 128 bits decide: the hash of the minimizer's bytes and that of the window or run.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import Scratch, read, text_of
+from textloom.llm._common import Scratch, read, text_of, with_groups
 from textloom.llm.rolling import Rolling, mixed, window_runs
 
 SLICE = 1 << 19
@@ -88,8 +89,9 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, window: int = 400, gr
     docs = _keyed(documents)
     runs = scratch.table(docs.mapInArrow(_runs_of(window, gram), "doc_id long, k long, lo int, n int, at int, anchor long, run long"), "runs")
     anchors = runs.groupBy("anchor").agg(F.count("*").alias("rows"), F.min("run").alias("low"), F.max("run").alias("high")).filter("rows > 1")
-    repeated = scratch.table(runs.join(anchors.select("anchor", (F.col("low") == F.col("high")).alias("alike")), "anchor"), "repeated")
-    scratch.drop("runs")
+    anchors = scratch.table(anchors.select("anchor", "rows", (F.col("low") == F.col("high")).alias("alike")), "anchors")
+    repeated = scratch.table(with_groups(runs, anchors, ["anchor"], "rows"), "repeated")
+    scratch.drop("runs", "anchors")
 
     several = repeated.filter("not alike")
     place = F.struct("doc_id", "k", "lo", "n", "at")
@@ -97,16 +99,18 @@ def repeated_spans(documents: DataFrame, scratch: Scratch, window: int = 400, gr
     looked_at = contents.groupBy(F.col("one.doc_id").alias("of_doc"), F.col("one.k").alias("of_k")).agg(F.collect_list(F.struct("one.lo", "one.n", "one.at", "anchor", "run")).alias("runs"))
     at_text = docs.join(looked_at, _same_document(docs, looked_at)).select("text", "runs")
     blocks = scratch.table(at_text.mapInArrow(_blocks_of(window), "anchor long, run long, core long, first int, keys array<long>"), "blocks")
-    shared = blocks.groupBy("core").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low <> high").select("core")
-    windows = scratch.table(blocks.join(shared, "core", "left_semi").select("anchor", "run", "first", F.posexplode("keys").alias("step", "key")), "windows")
-    scratch.drop("blocks")
-    found = windows.groupBy("key").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low <> high").select("key")
-    starts = windows.join(found, "key", "left_semi").groupBy("anchor", "run").agg(F.collect_set(F.col("first") + F.col("step")).alias("starts"))
+    shared = blocks.groupBy("anchor", "core").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    shared = scratch.table(shared.select("anchor", "core", "rows"), "shared")
+    windows = scratch.table(with_groups(blocks, shared, ["anchor", "core"], "rows").select("anchor", "run", "first", F.posexplode("keys").alias("step", "key")), "windows")
+    scratch.drop("blocks", "shared")
+    found = windows.groupBy("anchor", "key").agg(F.min("run").alias("low"), F.max("run").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+    found = scratch.table(found.select("anchor", "key", "rows"), "found")
+    starts = with_groups(windows, found, ["anchor", "key"], "rows").groupBy("anchor", "run").agg(F.collect_set(F.col("first") + F.col("step")).alias("starts"))
 
     # A content's starts are bounded by the windows of one run, and a document's spans by its length.
     by_window = contents.filter("rows = 1").join(starts, ["anchor", "run"]).select("one.doc_id", "one.k", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + window).alias("e"))).alias("spans"))
-    copies = contents.filter("rows > 1").select("anchor", "run")
-    entire = repeated.filter("alike").unionByName(several.join(copies, ["anchor", "run"], "left_semi"), allowMissingColumns=True)
+    copies = scratch.table(contents.filter("rows > 1").select("anchor", "run", "rows"), "copies")
+    entire = repeated.filter("alike").drop("alike").unionByName(with_groups(several.drop("alike"), copies, ["anchor", "run"], "rows").select("anchor", *(c for c in several.columns if c not in ("anchor", "alike"))))
     entire = entire.select("doc_id", "k", F.array(F.struct(F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + window).alias("e"))).alias("spans"))
     return entire.unionByName(by_window).groupBy(F.col("doc_id").alias("of_doc"), F.col("k").alias("of_k")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -137,7 +141,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(documents: DataFrame, window: int = 400, gram: int = 200) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = 400, gram: int = 200, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``documents`` (doc_id, text).
 
     Bytes of the UTF-8 text that lie in a ``window``-byte string which also starts elsewhere, in the same document or
@@ -145,9 +149,9 @@ def remove_repeats(documents: DataFrame, window: int = 400, gram: int = 200) ->
     left, which may cut a character. Null texts count as empty. Repeated rows are copies of each other, so both lose their
     windows. Texts shorter than ``window`` keep all. An empty table gives an empty result; other columns are ignored.
     """
-    scratch = Scratch(documents.sparkSession)
+    scratch = scratch or Scratch(documents.sparkSession)
     spans = scratch.table(repeated_spans(documents, scratch, window, gram), "spans")
-    scratch.drop("repeated", "contents", "windows")
+    scratch.drop("repeated", "contents", "windows", "found", "copies")
     docs = _keyed(documents)
     joined = docs.join(spans, _same_document(docs, spans), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
