@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.schema import LABELS, NEEDS_REVIEW
@@ -19,14 +19,27 @@ def flags(rows: DataFrame, checks: Mapping[str, Column]) -> DataFrame:
     return rows.withColumn("flags", F.array_compact(F.array(*(F.when(c, n) for n, c in checks.items()))))
 
 
+def each_flag(flagged: DataFrame, *keep: str) -> DataFrame:
+    """A row for each flag. The outer form keeps the optimizer from a filter on ``flags``, which would repeat every check in it."""
+    return flagged.select(*keep, F.explode_outer("flags").alias("flag")).filter("flag IS NOT NULL")
+
+
 def flag_counts(flagged: DataFrame, *by: str) -> DataFrame:
-    return flagged.filter(F.size("flags") > 0).select(*by, F.explode("flags").alias("flag")).groupBy(*by, "flag").agg(F.count("*").alias("n"))
+    return each_flag(flagged, *by).groupBy(*by, "flag").agg(F.count("*").alias("n"))
+
+
+def flag_samples(flagged: DataFrame, key: str, most: int) -> DataFrame:
+    """(flag, n, samples): how many rows have each flag, and the least ``most`` keys among them, joined by commas."""
+    rows = each_flag(flagged, key)
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy("flag").orderBy(key))).filter(F.col("_rank") <= most)
+    samples = ranked.groupBy("flag").agg(F.array_join(F.array_sort(F.collect_list(key)).cast("array<string>"), ",").alias("samples"))
+    return rows.groupBy("flag").agg(F.count("*").alias("n")).join(samples, "flag")
 
 
 def verdicts(flagged: DataFrame, by: str, critical: tuple[str, ...]) -> DataFrame:
-    """(by, n, critical, warnings, status): FAIL with a critical flag, WARN with another, else PASS."""
-    bad = F.size(F.array_intersect("flags", F.array(*(F.lit(c) for c in critical)))) > 0
-    out = flagged.groupBy(by).agg(F.count("*").alias("n"), F.count_if(bad).alias("critical"), F.count_if(~bad & (F.size("flags") > 0)).alias("warnings"))
+    """(by, n, critical, warnings, status): how often ``critical`` and other flags come; FAIL with a critical one, WARN with another, else PASS."""
+    bad = F.size(F.array_intersect("flags", F.array(*(F.lit(c) for c in critical))))
+    out = flagged.groupBy(by).agg(F.count("*").alias("n"), F.sum(bad).alias("critical"), F.sum(F.size("flags") - bad).alias("warnings"))
     return out.withColumn("status", F.when(F.col("critical") > 0, "FAIL").when(F.col("warnings") > 0, "WARN").otherwise("PASS"))
 
 

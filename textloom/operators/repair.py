@@ -1,4 +1,4 @@
-"""Label repair and contradiction flags for English packs: label in, label out."""
+"""Label repair for English packs: label in, label out."""
 
 from __future__ import annotations
 
@@ -20,12 +20,6 @@ EN_PROMO = r"(ringtone|discount vouchers?|discount code|voucher holder|savamob|s
 EN_ADULT_BRAND = "xxxmobilemovieclub|live sex video"
 EN_PERSONAL = r"\b(lol|haha|love you|dinner)\b"
 
-# Words that contradict a label.
-EN_FLAG_FRAUD = ("you have won", "you've won", "winner!!", "prize reward", "claim code", "to claim call", "to claim txt", "jackpot", "guaranteed £", r"guaranteed \$", "bonus prize", "unredeemed bonus", "account statement.{0,80}claim", "won a guaranteed", "awarded .{0,30}prize", "cash prize", "£900 prize", "£1000 prize", "£2000")
-EN_FLAG_TXN = ("transaction id", "account has been refilled", "prepaid account balance", "verification code", "one-time password", r"\botp\b", "out for delivery", "tracking number", "booking confirmed", "has been credited", "has been debited")
-EN_FLAG_AD = ("ringtone", "subscription", "% off", "discount", "reply stop", "txt stop", "free msg", "freemsg", "will be charged", "std txt rate")
-EN_FLAG_HARASS = ("xxx", "sexy", "horny", "get laid", "dogging", "hardcore", "secret admirer", "meet someone sexy", "naked")
-
 
 def repair_en(text: Column, label: Column, spam: Column, personal_ids: Column | None = None) -> Column:
     """struct(label, reason): the new label, or a null label where nothing changes.
@@ -100,23 +94,3 @@ def repair_en_second(text: Column, label: Column, spam: Column) -> Column:
         ("", ""),
     )
     return F.struct(F.nullif(decided["label"], F.lit("")).alias("label"), decided["reason"].alias("reason"))
-
-
-def flags_en(text: Column, label: Column) -> dict[str, Column]:
-    """Contradictions between a label and the words of its text."""
-    t = F.lower(text)
-
-    def hit(patterns: tuple[str, ...]) -> Column:
-        return t.rlike("|".join(f"(?:{p})" for p in patterns))
-
-    fraud, txn, ad, harass = hit(EN_FLAG_FRAUD), hit(EN_FLAG_TXN), hit(EN_FLAG_AD), hit(EN_FLAG_HARASS)
-    return {
-        "fraud_words_not_fraud": fraud & (label != "FRAUD"),
-        "fraud_without_words": (label == "FRAUD") & ~fraud,
-        "txn_words_not_transaction": txn & ~fraud & (label != "TRANSACTION"),
-        "transaction_without_words": (label == "TRANSACTION") & ~txn,
-        "ad_words_not_ad": ad & ~fraud & (label != "AD"),
-        "ad_without_words": (label == "AD") & ~ad,
-        "harass_words_not_harass": harass & ~fraud & (label != "HARASS"),
-        "harass_without_words": (label == "HARASS") & ~harass,
-    }

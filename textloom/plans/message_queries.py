@@ -244,32 +244,6 @@ def pack_pools(spark, d):
     return view(spark, d, "labelled").groupBy("language", "source").agg(F.count_if(~review).alias("trainable"), F.count_if(review).alias("review"))
 
 
-CHECKS = {"code_as_ad": ("label = 'AD'", "verification code|code [0-9]{4,}"), "link_not_fraud": ("label NOT IN ('FRAUD', 'AD')", "https?://|bit\\.ly"), "offer_not_ad": ("label <> 'AD'", "special offer"), "debt_not_harass": ("label <> 'HARASS'", "pay me back"), "payment_not_transaction": ("label <> 'TRANSACTION'", "payment received|order +confirmed")}
-FLAGGED = "(SELECT *, list_filter([" + ", ".join(f"CASE WHEN {a} AND regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, (a, p) in CHECKS.items()) + "], lambda x: x IS NOT NULL) AS flags FROM packs)"
-
-
-def flagged(spark, d):
-    rows = view(spark, d, "packs")
-    return A.flags(rows, {n: F.expr(a) & F.lower("text").rlike(p) for n, (a, p) in CHECKS.items()})
-
-
-@query("qa_flags", f"SELECT pack, flag, count(*) AS n FROM (SELECT pack, unnest(flags) AS flag FROM {FLAGGED}) GROUP BY ALL", "packs")
-def qa_flags(spark, d):
-    return A.flag_counts(flagged(spark, d), "pack")
-
-
-@query("qa_flags_multi", f"SELECT pack, count(*) AS n, count(*) FILTER (list_has_any(flags, ['code_as_ad', 'link_not_fraud'])) AS critical, count(*) FILTER (len(flags) > 0 AND NOT list_has_any(flags, ['code_as_ad', 'link_not_fraud'])) AS warnings, CASE WHEN count(*) FILTER (list_has_any(flags, ['code_as_ad', 'link_not_fraud'])) > 0 THEN 'FAIL' WHEN count(*) FILTER (len(flags) > 0) > 0 THEN 'WARN' ELSE 'PASS' END AS status FROM {FLAGGED} GROUP BY pack", "packs")
-def qa_flags_multi(spark, d):
-    return A.verdicts(flagged(spark, d), "pack", ("code_as_ad", "link_not_fraud"))
-
-
-@query("post_repair_audit", f"SELECT flag, count(*) AS n FROM (SELECT unnest(flags) AS flag FROM (SELECT text, list_filter([" + ", ".join(f"CASE WHEN {a} AND regexp_matches(lower(text), '{p}') THEN '{n}' END" for n, (a, p) in CHECKS.items()) + "], lambda x: x IS NOT NULL) AS flags FROM (SELECT p.text, coalesce(m.new, p.label) AS label FROM packs p LEFT JOIN (SELECT id, arg_max(new, priority * 1000000000000 + seq) AS new FROM corrections WHERE new <> 'SPAM' GROUP BY id) m ON p.id = m.id))) GROUP BY flag", "packs", "corrections")
-def post_repair_audit(spark, d):
-    packs = view(spark, d, "packs")
-    fixed = L.apply_corrections(packs, L.merge_corrections(view(spark, d, "corrections")))
-    return A.flag_counts(A.flags(fixed, {n: F.expr(a) & F.lower("text").rlike(p) for n, (a, p) in CHECKS.items()}))
-
-
 @query("template_label_conflicts", "SELECT template_group AS key, count(*) AS n, count(DISTINCT label) AS n_labels FROM packs GROUP BY template_group HAVING count(DISTINCT label) > 1", "packs")
 def template_label_conflicts(spark, d):
     return A.conflicts(view(spark, d, "packs"), F.col("template_group"))

@@ -1,10 +1,10 @@
-"""Queries over label repair and contradiction flags."""
+"""Queries over the repair of English labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.operators import audits, repair
+from textloom.operators import repair
 from textloom.plans.text_queries import probe_rows, probes
 from textloom.plans.views import query
 
@@ -38,23 +38,6 @@ def repair_en_v1(spark, d):
     return rows(spark, d).select("msg_id", decided.alias("d")).select("msg_id", "d.label", "d.reason")
 
 
-def hit(patterns) -> str:
-    return "regexp_matches(t, '" + "|".join(f"(?:{p})" for p in patterns).replace("'", "''") + "')"
-
-
-F_, T_, A_, H_ = (hit(p) for p in (repair.EN_FLAG_FRAUD, repair.EN_FLAG_TXN, repair.EN_FLAG_AD, repair.EN_FLAG_HARASS))
-FLAGS = {
-    "fraud_words_not_fraud": f"{F_} AND label <> 'FRAUD'", "fraud_without_words": f"label = 'FRAUD' AND NOT {F_}", "txn_words_not_transaction": f"{T_} AND NOT {F_} AND label <> 'TRANSACTION'",
-    "transaction_without_words": f"label = 'TRANSACTION' AND NOT {T_}", "ad_words_not_ad": f"{A_} AND NOT {F_} AND label <> 'AD'", "ad_without_words": f"label = 'AD' AND NOT {A_}",
-    "harass_words_not_harass": f"{H_} AND NOT {F_} AND label <> 'HARASS'", "harass_without_words": f"label = 'HARASS' AND NOT {H_}",
-}
-
-
-@query("qa_flags_en", " UNION ALL ".join(f"SELECT '{n}' AS flag, count(*) AS n FROM {ROWS} WHERE {p} HAVING count(*) > 0" for n, p in FLAGS.items()), "messages")
-def qa_flags_en(spark, d):
-    return audits.flag_counts(audits.flags(rows(spark, d), repair.flags_en(F.col("t"), F.col("label"))))
-
-
 HARD, PROMO2, PRIZE2 = like(repair.EN2_HARD_PRIZE), like(repair.EN2_PROMO), like(repair.EN2_PRIZE)
 LEFT = "spam AND label = 'NEEDS_REVIEW'"
 SECOND = [
