@@ -2,10 +2,11 @@
 
 A source's target is spent in complete epochs first. What is left buys a weighted sample without replacement: each
 document draws the exponential key -ln(u) / quality, documents are taken in the order of their keys, and the prefix sum of
-their sizes stops at the budget. u comes from a digest of seed and doc_id, so reruns agree whatever the partitioning.
+their sizes stops at the budget. u comes from a digest of seed, doc_id and text, so reruns agree whatever the partitioning.
 
-The prefix sum is made in two levels. Keys are cut into order-preserving buckets of about ``bucket_rows`` rows; bucket
-totals give each bucket's offset, and only the one bucket of a source in which its budget ends is sorted row by row.
+The prefix sum is made in levels. A source's rows are cut into ranges at quantiles of their keys, the sums of the ranges tell
+in which one the budget ends, and only that one is cut again, until it has ``bucket_rows`` rows at most. Only these are sorted.
+Where all keys of a range are equal (rows that repeat) it is cut by row number, so no source and no tie passes one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import WORDS, Scratch, read, text_of
+from textloom.llm._common import WORDS, Scratch, numbered, read, text_of, with_groups
 
 SEED = "mix-1"
 
@@ -44,47 +45,101 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 
 def sampling_key(seed: str, quality: Column) -> Column:
-    """-ln(u) / quality with u from the first 52 bits of md5(seed:doc_id)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    """-ln(u) / quality with u from the first 52 bits of md5(seed:doc_id:md5(text)); null ids and texts count as empty."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text_of())))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(u) / quality
 
 
-def mix_sources(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: str = SEED, bucket_rows: int = 10_000) -> DataFrame:
+def boundaries(rows: DataFrame, targets: DataFrame, scratch: Scratch, bucket_rows: int, ranges: int = 32) -> DataFrame:
+    """(of_source, low, high, low_row, high_row, left): for each source with a budget the range of keys in which it ends.
+
+    Rows with low < key <= high, and if low = high those with low_row < row <= high_row, are in the range; ``left`` is what
+    the rows before it leave of the budget. The range has ``bucket_rows`` rows at most. ``targets`` has one row for each source.
+    """
+    state = targets.filter("budget > 0").select("of_source", F.lit(-1.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(-1).cast("long").alias("low_row"), F.lit((1 << 63) - 1).alias("high_row"), F.col("budget").alias("left"), F.col("n_rows").alias("n"))
+    state, level = scratch.table(state, "range0"), 0
+    while state.filter(F.col("n") > bucket_rows).limit(1).count():
+        # The many rows of a source meet its one row: sources with many rows are broadcast, a thousand at most.
+        wide = scratch.table(state.filter(F.col("n") > bucket_rows), "wide")
+        live = with_groups(rows, wide, ["of_source"], "n").filter(in_range())
+        live = scratch.table(live.select("of_source", "low", "high", "low_row", "high_row", "left", "key", "row", "size"), f"live{level}")
+        cuts = live.groupBy("of_source").agg(
+            (F.min("key") == F.max("key")).alias("tied"), F.min("key").alias("only"), F.count("*").alias("held"),
+            F.percentile_approx("key", [k / ranges for k in range(1, ranges)], 1000).alias("keys"), F.percentile_approx("row", [k / ranges for k in range(1, ranges)], 1000).alias("rows"),
+        )
+        cuts = scratch.table(cuts, "cuts")
+        cut = with_groups(live, cuts, ["of_source"], "held")
+        # Keys equal to a cut are a range of their own, so a range of unequal keys always gets smaller.
+        by_key = F.size(F.filter("keys", lambda x: x < F.col("key"))) + F.size(F.filter("keys", lambda x: x <= F.col("key")))
+        at = F.when(F.col("tied"), F.size(F.filter("rows", lambda x: x < F.col("row")))).otherwise(by_key)
+        sums = cut.withColumn("at", at).groupBy("of_source", "at").agg(F.sum("size").alias("held_size"), F.count("*").alias("n"), F.max("key").alias("key"), F.max("row").alias("row"), F.first("tied").alias("tied"), F.first("only").alias("only"), *(F.first(c).alias(c) for c in ("low", "high", "low_row", "high_row", "left")))
+        # A row for each range: at most 2 * ``ranges`` for each source.
+        order = Window.partitionBy("of_source").orderBy("at")
+        sums = sums.withColumn("before", F.coalesce(F.sum("held_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("key_before", F.lag("key").over(order)).withColumn("row_before", F.lag("row").over(order))
+        ends = sums.filter("before < left AND before + held_size >= left")
+        low = F.when(F.col("tied"), F.col("only")).otherwise(F.coalesce("key_before", "low"))
+        high = F.when(F.col("tied"), F.col("only")).otherwise(F.col("key"))
+        low_row = F.when(F.col("tied"), F.coalesce("row_before", "low_row")).otherwise(F.col("low_row"))
+        high_row = F.when(F.col("tied"), F.col("row")).otherwise(F.col("high_row"))
+        after = ends.select("of_source", low.alias("low"), high.alias("high"), low_row.alias("low_row"), high_row.alias("high_row"), (F.col("left") - F.col("before")).alias("left"), "n")
+        level += 1
+        state = scratch.table(state.filter(F.col("n") <= bucket_rows).unionByName(after), f"range{level}")
+        scratch.drop(f"range{level - 1}", f"live{level - 1}", "cuts", "wide")
+    return state.drop("n")
+
+
+def in_range() -> Column:
+    tied = F.col("low") == F.col("high")
+    return F.when(tied, (F.col("key") == F.col("low")) & (F.col("row") > F.col("low_row")) & (F.col("row") <= F.col("high_row"))).otherwise((F.col("key") > F.col("low")) & (F.col("key") <= F.col("high")))
+
+
+def before_range() -> Column:
+    return F.when(F.col("low") == F.col("high"), (F.col("key") < F.col("low")) | (F.col("key") == F.col("low")) & (F.col("row") <= F.col("low_row"))).otherwise(F.col("key") <= F.col("low"))
+
+
+def mix_sources(documents: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, share: float = 1.0, seed: str = SEED, bucket_rows: int = 10_000, scratch: Scratch | None = None, keep: str | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, epochs, taken) for each row of ``documents`` (doc_id, source, text).
 
     size is the number of words; null text has none. ``quality`` (doc_id, weight) gives positive weights; a document
     without one weighs 1, and of several the largest holds. epochs is the number of complete passes over the row's source
     and taken the words that the mix takes of the row in all; the last document of a sample is taken in part, so that a
-    source's words meet its target to within one. Null sources are one source, the last. Rows of one doc_id draw the
-    same key and follow each other by size. An empty table gives an empty result; sources without words take none.
+    source's words meet its target to within one. Null sources are one source, the last. Rows equal in doc_id and text
+    draw the same key; which of them is taken doesn't matter. An empty table gives an empty result; sources without words
+    take none. ``keep`` names a column to carry along.
     """
-    scratch = Scratch(documents.sparkSession)
-    rows = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.regexp_count(text_of(), F.lit(WORDS)).cast("long").alias("size"))
+    scratch = scratch or Scratch(documents.sparkSession)
+    carried = [F.col(keep).alias("carried")] if keep else []
+    rows = documents.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text"), *carried).withColumn("size", F.regexp_count(text_of(), F.lit(WORDS)).cast("long"))
+    rows = rows.withColumn("draw", sampling_key(seed, F.lit(1.0))).drop("text")
     if quality is not None:
         best = quality.filter("weight > 0").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("weight").cast("double")).alias("quality"))
-        rows = rows.join(best, "doc_id", "left")
+        rows = scratch.table(rows, "drawn")
+        groups = scratch.table(rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).join(best, "doc_id"), "weighted")
+        # Rows without an id have no weight and would all meet in one task.
+        rows = with_groups(rows.filter("doc_id IS NOT NULL"), groups, ["doc_id"], "n", "left").unionByName(rows.filter("doc_id IS NULL"), allowMissingColumns=True)
     else:
         rows = rows.withColumn("quality", F.lit(1.0))
-    rows = scratch.table(rows.withColumn("key", sampling_key(seed, F.coalesce("quality", F.lit(1.0)))).drop("quality"), "sizes")
+    # A source has a name of its own in joins: null is one of them.
+    named = F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source")))
+    rows = rows.withColumn("key", F.col("draw") / F.coalesce("quality", F.lit(1.0))).drop("quality", "draw")
+    rows = scratch.table(rows.withColumn("of_source", named).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    scratch.drop("drawn", "weighted")
     sizes = rows.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most, share)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     budget = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
-    targets = targets.withColumn("epochs", epochs).withColumn("budget", budget).withColumn("buckets", F.ceil(F.col("n_rows") / bucket_rows))
-    targets = scratch.table(targets, "targets").withColumnRenamed("source", "of_source")
-    placed = rows.join(targets, rows["source"].eqNullSafe(targets["of_source"])).withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("buckets")), F.col("buckets") - 1))
-    totals = placed.groupBy(F.col("source").alias("of"), F.col("bucket").alias("at")).agg(F.sum("size").alias("bucket_size"))
-    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = scratch.table(totals.withColumn("offset", F.coalesce(F.sum("bucket_size").over(before), F.lit(0))), "offsets")
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("at")))
-    ends_here = (F.col("offset") < F.col("budget")) & (F.col("offset") + F.col("bucket_size") > F.col("budget"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").isNull(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
-    sampled = F.when(F.col("offset") < F.col("budget"), F.col("size")).otherwise(0)
-    partly = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("start")))
-    decided = placed.filter(~ends_here).withColumn("sampled", sampled).unionByName(placed.filter(ends_here).withColumn("start", start).withColumn("sampled", partly).drop("start"))
-    return decided.select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("sampled")).cast("long").alias("taken"))
+    targets = scratch.table(targets.withColumn("epochs", epochs).withColumn("budget", budget).withColumn("of_source", named).drop("source"), "targets")
+    ends = boundaries(rows, targets, scratch, bucket_rows)
+    plan = scratch.table(targets.join(ends, "of_source", "left"), "plan")
+    placed = with_groups(rows, plan, ["of_source"], "n_rows")
+    ends_here = (F.col("budget") > 0) & F.coalesce(in_range(), F.lit(False))
+    # What stands before the range is taken; in the range, of ``bucket_rows`` rows at most, the prefix sum decides.
+    sampled = F.when((F.col("budget") > 0) & F.coalesce(before_range(), F.lit(False)), F.col("size")).otherwise(0)
+    within = Window.partitionBy("of_source").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    partly = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.coalesce(F.sum("size").over(within), F.lit(0))))
+    decided = placed.filter(~ends_here).withColumn("sampled", sampled).unionByName(placed.filter(ends_here).withColumn("sampled", partly))
+    return decided.select("doc_id", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("sampled")).cast("long").alias("taken"), *(["carried"] if keep else []))
 
 
 def label_quality(labels: DataFrame) -> DataFrame:
@@ -92,17 +147,18 @@ def label_quality(labels: DataFrame) -> DataFrame:
     return labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
 
 
-def mixed_documents(documents: DataFrame, quality: DataFrame | None = None, **options) -> DataFrame:
-    """``documents`` as often as the mix takes them, columns unchanged.
+def mixed_documents(documents: DataFrame, quality: DataFrame | None = None, scratch: Scratch | None = None, **options) -> DataFrame:
+    """``documents`` as often as the mix takes them, columns unchanged, whatever their names.
 
-    A row comes once for each complete epoch and once more if half of it or more is in the sample. Rows with a null doc_id
-    come once. Of rows that share a doc_id the most generous decision holds for all.
+    A row comes once for each complete epoch and once more if half of it or more is in the sample; so a row without words
+    comes once more as well. Each row is decided for itself, with or without a doc_id. An empty table gives an empty result.
     """
-    mix = mix_sources(documents, quality, **options)
+    scratch = scratch or Scratch(documents.sparkSession)
+    rows, row = numbered(documents, scratch, "numbered")
+    mix = mix_sources(rows, quality, scratch=scratch, keep=row, **options)
     half = F.when(2 * (F.col("taken") - F.col("epochs") * F.col("size")) >= F.col("size"), 1).otherwise(0)
-    copies = mix.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_mixed")).agg(F.max(F.col("epochs") + half).alias("_copies"))
-    joined = documents.join(copies, documents["doc_id"] == copies["_mixed"], "left").filter("_copies IS NULL OR _copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.coalesce(F.col("_copies"), F.lit(1)).cast("int")))).select(*documents.columns)
+    copies = mix.select(F.col("carried").alias(row), F.explode(F.array_repeat(F.lit(0), (F.col("epochs") + half).cast("int"))))
+    return rows.join(copies.select(row), row).select(*documents.columns)
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +168,7 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = rf"""
 WITH q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
 d AS (SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '{WORDS}'))::BIGINT AS size,
-    -ln((('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / coalesce(q.w, 1.0::DOUBLE) AS key
+    -ln((('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '') || ':' || md5(coalesce(d.text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) / coalesce(q.w, 1.0::DOUBLE) AS key
   FROM documents d LEFT JOIN q USING (doc_id)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS weight FROM d GROUP BY source),
 r AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / weight::DOUBLE AS ratio FROM s),
