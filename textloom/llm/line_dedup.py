@@ -4,7 +4,8 @@ Lines within one word of each other (one word replaced, inserted or left out) sh
 or the line without one of its words. Variants are emitted as hashed keys and joined on equality. Two lines of equal
 length must lose the word at the same place, and a line can meet a longer one only where it lost nothing itself; that and
 a comparison of the words verifies the edit distance. Of a group that shares a key only the earliest line is compared with
-the rest, which is enough to find for each line whether an earlier one is near it, so groups of any size stay linear.
+the rest, which is enough to find for each line whether an earlier one is near it, so groups of any size stay linear. Lines
+of a group that holds very many stay where they are, and the group's earliest is sent to them.
 
 Variants are emitted only for lines that can have a neighbour: one edit leaves the words of one half of a line as they are,
 so a line near another shares the hash of a half's words with it. Hashes of words are combined by exclusive or over running
@@ -16,9 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textloom.llm._common import SPACES, Scratch, hashed_documents, read
-
-LEAST_WORDS = 5
+from textloom.llm._common import SPACES, Scratch, hashed_documents, read, with_groups
 
 
 def _words(line: Column) -> Column:
@@ -30,12 +29,12 @@ def _words(line: Column) -> Column:
 
 
 def _half_size(n: Column) -> Column:
-    """How many words of a half are hashed: the largest of 2, 3, 4, 6, 8, 12 and so on that is half of ``n`` at most."""
-    power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(4)).cast("double") + 0.5)) - 1).cast("int")  # of two, half of n at most
+    """How many words of a half are hashed: the largest of 1, 2, 3, 4, 6, 8, 12 and so on that is half of ``n`` at most."""
+    power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(n, F.lit(2)).cast("double") + 0.5)) - 1).cast("int")  # of two, half of n at most
     return F.when((power >= 4) & (power / 2 * 3 <= n / 2), (power / 2 * 3).cast("int")).otherwise(power)
 
 
-def line_places(documents: DataFrame) -> DataFrame:
+def line_places(documents: DataFrame, least_words: int) -> DataFrame:
     """(doc_id, k1, no, h1, h2, front, back, front2, back2) for each line that isn't blank.
 
     h1 and h2 hash the words. front and back hash as many words from either end as fit into a half; where a line with a word
@@ -46,7 +45,7 @@ def line_places(documents: DataFrame) -> DataFrame:
     hashes = words.select("doc_id", "k1", "no", F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("w"))
     n = F.size("w")
     size, less = _half_size(n), _half_size(n - 1)
-    enough = n >= LEAST_WORDS
+    enough = n >= least_words
     changes = enough & (size != less)
 
     def half(k: Column, front: bool) -> Column:
@@ -61,8 +60,8 @@ def line_places(documents: DataFrame) -> DataFrame:
 def near_lines(documents: DataFrame, first: DataFrame, scratch: Scratch) -> DataFrame:
     """(h1, h2) of the lines of ``first`` that are near a line with an earlier place."""
     halves = first.select("h1", "h2", F.explode(F.array("front", "back", "front2", "back2")).alias("half")).filter("half IS NOT NULL")
-    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low <> high").select("half")
-    possible = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
+    shared = halves.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.count("*").alias("n")).filter("low <> high").select("half", "n")
+    possible = with_groups(halves, scratch.table(shared, "halves"), ["half"], "n").select("h1", "h2").distinct()
     at = first.select("h1", "h2", "place").join(possible, ["h1", "h2"], "left_semi").groupBy(F.col("place.k1").alias("of_k1"), F.col("place.doc_id").alias("of_doc")).agg(F.collect_list(F.struct("place", "h1", "h2")).alias("at"))
     docs = hashed_documents(documents).select("doc_id", "k1", "text")
     found = docs.join(at, (F.col("k1") == F.col("of_k1")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select(F.explode("at").alias("at"), F.split("text", "\n").alias("lines"))
@@ -84,25 +83,26 @@ def near_lines(documents: DataFrame, first: DataFrame, scratch: Scratch) -> Data
     variants = word.select("line", "n", "i", *hashes).select("line", (F.col("n") - 1).alias("size"), "i", variant(1).alias("v1"), variant(2).alias("v2"))
     entire = word.select("line", "n", *hashes[:2]).groupBy("line", F.col("n").alias("size")).agg(F.lit(-1).alias("i"), F.expr("bit_xor(a1)").alias("v1"), F.expr("bit_xor(a2)").alias("v2"))
     keyed = scratch.table(variants.unionByName(entire), "variants")
-    met = keyed.groupBy("v1", "v2").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("v1", "v2")
-    together = keyed.join(met, ["v1", "v2"], "left_semi").join(lines.select("line", "place"), "line").drop("line")
+    met = keyed.groupBy("v1", "v2").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.count("*").alias("n")).filter("low <> high").select("v1", "v2", "n")
+    together = with_groups(keyed, scratch.table(met, "met"), ["v1", "v2"], "n").join(lines.select("line", "place"), "line").drop("line")
     together = scratch.table(together, "together")
-    scratch.drop("variants")
+    scratch.drop("variants", "met", "halves")
 
     # Lines of equal length, without the word at the same place.
     key = ["v1", "v2", "size", "i"]
-    replaced = together.filter("i >= 0").groupBy(*key).agg(F.min("place").alias("other"))
-    links = together.join(replaced, key).filter("other < place").select("place", "other")
+    replaced = scratch.table(together.filter("i >= 0").groupBy(*key).agg(F.min("place").alias("other"), F.count("*").alias("n")).filter("n > 1"), "replaced")
+    links = with_groups(together, replaced, key, "n").filter("other < place").select("place", "other")
     # A line and one with a word more.
     key = ["v1", "v2", "size"]
-    met = together.groupBy(*key).agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer")).filter("shorter IS NOT NULL AND longer IS NOT NULL")
+    met = together.groupBy(*key).agg(F.min(F.when(F.col("i") < 0, F.col("place"))).alias("shorter"), F.min(F.when(F.col("i") >= 0, F.col("place"))).alias("longer"), F.count("*").alias("n")).filter("shorter IS NOT NULL AND longer IS NOT NULL")
     other = F.when(F.col("i") < 0, F.col("longer")).otherwise(F.col("shorter"))
-    links = links.union(together.join(met, key).withColumn("other", other).filter("other < place").select("place", "other")).distinct()
+    links = links.union(with_groups(together, scratch.table(met, "lengths"), key, "n").withColumn("other", other).filter("other < place").select("place", "other")).distinct()
+    links = scratch.table(links, "links")
 
     # Verification: the words themselves.
     mine = lines.select("place", "h1", "h2", "words")
-    theirs = lines.select(F.col("place").alias("other"), F.col("words").alias("others"))
-    return links.join(mine, "place").join(theirs, "other").filter(within_one_word(F.col("words"), F.col("others"))).select("h1", "h2").distinct()
+    theirs = links.groupBy("other").agg(F.count("*").alias("n")).join(lines.select(F.col("place").alias("other"), F.col("words").alias("others")), "other")
+    return with_groups(links, scratch.table(theirs, "theirs"), ["other"], "n").join(mine, "place").filter(within_one_word(F.col("words"), F.col("others"))).select("h1", "h2").distinct()
 
 
 def within_one_word(a: Column, b: Column) -> Column:
@@ -116,33 +116,37 @@ def within_one_word(a: Column, b: Column) -> Column:
     return F.when(n == m, from_front <= 1).otherwise((F.abs(n - m) == 1) & rest_equal)
 
 
-def line_decisions(documents: DataFrame) -> DataFrame:
+def line_decisions(documents: DataFrame, least_words: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, k1, no, kind) for each line that isn't blank: ``first``, ``exact`` or ``near``.
 
     Lines are in the order of doc_id (null first), document and line number. A line is exact if an earlier line has the same
-    words, and near if its words are within one word of an earlier line's, be that kept or not; lines of fewer than five
-    words are compared exactly only. White space between words doesn't matter.
+    words, and near if its words are within one word of an earlier line's, be that kept or not. White space between words
+    doesn't matter. Lines of fewer than ``least_words`` words are compared exactly only: one word of four is a quarter of a
+    line. 2 is the least, since single words would all be near each other.
     """
-    scratch = Scratch(documents.sparkSession)
-    lines = scratch.table(line_places(documents), "places")
+    if least_words < 2:
+        raise ValueError("near lines have two words at least")
+    scratch = scratch or Scratch(documents.sparkSession)
+    lines = scratch.table(line_places(documents, least_words), "places")
     place = F.struct("doc_id", "k1", "no")
     halves = [F.max(c).alias(c) for c in ("front", "back", "front2", "back2")]
     first = scratch.table(lines.groupBy("h1", "h2").agg(F.min(place).alias("place"), F.count("*").alias("n"), *halves), "first")
     near = near_lines(documents, first, scratch).withColumn("near", F.lit(True))
     # Only lines that recur or are near another need to be told of it.
-    known = first.select("h1", "h2", "n", F.col("place").alias("earliest")).join(near, ["h1", "h2"], "left").filter("n > 1 OR near")
+    known = scratch.table(first.select("h1", "h2", "n", F.col("place").alias("earliest")).join(near, ["h1", "h2"], "left").filter("n > 1 OR near"), "known")
+    scratch.drop("lines", "together", "replaced", "lengths", "links", "theirs", "first")
     kind = F.when(F.col("near"), "near").when(place > F.col("earliest"), "exact").otherwise("first")
-    return lines.select("doc_id", "k1", "no", "h1", "h2").join(known, ["h1", "h2"], "left").select("doc_id", "k1", "no", kind.alias("kind"))
+    return with_groups(lines.select("doc_id", "k1", "no", "h1", "h2"), known, ["h1", "h2"], "n", "left").select("doc_id", "k1", "no", kind.alias("kind"))
 
 
-def dedup_lines(documents: DataFrame) -> DataFrame:
+def dedup_lines(documents: DataFrame, least_words: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, k1, n_lines, n_exact, n_near, dropped) for each document of ``documents`` (doc_id, text).
 
     dropped lists the numbers, from 0, of the lines that go. Blank lines always stay and aren't counted. Null texts count
     as empty and have no lines. Rows that are equal in doc_id and text are one document; other columns are ignored. An
-    empty table gives an empty result.
+    empty table gives an empty result. ``least_words`` is that of ``line_decisions``.
     """
-    rows = line_decisions(documents)
+    rows = line_decisions(documents, least_words, scratch)
     kinds = rows.groupBy(F.col("doc_id").alias("of_doc"), F.col("k1").alias("of_k1")).agg(
         F.count("*").alias("lines"), F.count_if(F.col("kind") == "exact").alias("exact"), F.count_if(F.col("kind") == "near").alias("near"),
         F.array_sort(F.collect_list(F.when(F.col("kind") != "first", F.col("no")))).alias("gone"),
