@@ -47,7 +47,8 @@ class Encoder:
     A tokenizer that drops white space and never looks across it gives a text the ids of its pieces between spaces and
     line ends, one after another. Pieces recur, so their ids are remembered, up to ``remembered`` of them. In a text of
     Latin-1 letters, which has one form under NFC, pieces are lower-cased and full stops and commas that end a word are
-    pieces of their own; any other text is cut at white space only.
+    pieces of their own; any other text is cut at white space only. A tokenizer that does not treat ``PROBES`` so is given
+    every text whole.
     """
 
     def __init__(self, path: str, remembered: int = 1_200_000):
@@ -58,9 +59,17 @@ class Encoder:
         self.remembered, self.seen = remembered, {}
         # Only a tokenizer whose normalizer lower-cases takes the first way.
         self.lower = self.tokenizer.encode("ABC", add_special_tokens=False).ids == self.tokenizer.encode("abc", add_special_tokens=False).ids
+        self.whole = False
+        self.whole = any(x != self.ids(t) for t, x in zip(PROBES, self(list(PROBES)), strict=True))
+        self.seen.clear()
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """u32 ids of each text."""
+        if self.whole:
+            return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         seen = self.seen
         if len(seen) > self.remembered:
             seen.clear()
@@ -93,6 +102,14 @@ class Encoder:
         return text.lower().replace(". ", " . ").replace(", ", " , ").split(" ")
 
 
+#: Texts that tell whether ids of pieces are ids of texts: spaces of all kinds and lengths, marks at the ends of words, capitals,
+#: letters beyond ASCII and Latin-1, digits and what looks like a special token.
+PROBES = (
+    "one two", "one  two", " one two ", "one\ttwo\r\n three\n\n", "One, two. Three", "(one). 'two', three's \"four.\"", "one ,two .three", "1,000.50 , 3.14. 12", "ÉCOLE naïve. Straße, ÜBER",
+    "日本語 テキスト。 次", "привет, мир. Δέλτα", "a\xa0b\x85c", "<|endoftext|> <s> </s> [INST]", "e\u0301 \u212b ½", "don't stop. I'll, go.", "", " ", "\n",
+)
+
+
 #: A mark before a full stop or comma that ends a piece: the two can be one token, so the text is not cut there.
 _MARKS_TOGETHER = re.compile(r"(?:[^\w ]|_)[.,] ")
 
