@@ -67,11 +67,16 @@ class Scratch:
         self.drop(*list(self.paths))
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` doesn't have."""
+    while name in {c.lower() for c in rows.columns}:
+        name = "_" + name
+    return name
+
+
 def numbered(documents: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, str]:
     """``documents`` written with a unique number for each row, and the name of that column, which clashes with none."""
-    column = "row"
-    while column in {c.lower() for c in documents.columns}:
-        column = "_" + column
+    column = free_name(documents, "row")
     return scratch.table(documents.withColumn(column, F.monotonically_increasing_id()), name), column
 
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import read, text_of
+from textloom.llm._common import free_name, read, text_of
 
 _PAIR, _SKIP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -68,6 +68,16 @@ class Features:
         return np.unique((every * _PAIR) >> self.shift).astype(np.int32)
 
 
+class Scorer:
+    """Probability of label 1 of UTF-8 texts."""
+
+    def __init__(self, model: ToxicityModel):
+        self.make, self.weights, self.bias = Features(model.bits), model.dense(), model.bias
+
+    def __call__(self, text: bytes) -> float:
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, self.bias + float(self.weights[self.make(text)].sum())))))
+
+
 def ftrl(rows: list[tuple[np.ndarray, int]], bits: int, alpha: float, beta: float, l1: float, l2: float, epochs: int) -> ToxicityModel:
     """FTRL-proximal over (features, label) rows in the given order.
 
@@ -97,7 +107,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, bits: int = 20, most_r
 
     Learns from ``most_rows`` labelled documents at most, those with the smallest digests of doc_id: a bound on the
     learning task, whatever the corpus. A document with several labels is toxic if one says so; null labels and ids are
-    ignored. Texts are turned to features on the executors, then one task learns from the bounded set.
+    ignored. Of rows that share a doc_id one text counts, that with the least features in byte order. Null texts count as
+    empty. Without labelled documents the model is a bias alone. Texts are turned to features on the executors, then one
+    task learns from the bounded set.
     """
     truth = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     # A cut by digest leaves a few more rows than are wanted, so that the ordered limit never sees the whole table.
@@ -138,10 +150,9 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, *keep: str) -> Da
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, weights, bias = Features(sent.value.bits), sent.value.dense(), sent.value.bias
+        of = Scorer(sent.value)
         for batch in batches:
-            sums = np.array([bias + float(weights[make(t)].sum()) for t in batch["text"].cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(1 / (1 + np.exp(-np.clip(sums, -35, 35))), pa.float64())], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([of(t) for t in batch["text"].cast(pa.binary()).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(score, "doc_id long, score double")
 
@@ -156,12 +167,21 @@ def learnt_model(documents: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def keep_clean(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``documents`` without those that score ``threshold`` or more; columns unchanged.
+    """``documents`` without those that score ``threshold`` or more; columns unchanged, whatever their names.
 
-    Rows with a null doc_id stay. Of rows that share a doc_id, all go if one is toxic.
+    Each row is judged by its own text, with or without a doc_id, and passes or not where it is: no shuffle. Null and empty
+    texts score by the bias. Repeated rows share their fate. An empty table gives an empty result.
     """
-    toxic = score_toxicity(documents, learnt_model(documents, labels)).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("_toxic")).distinct()
-    return documents.join(toxic, documents["doc_id"] == toxic["_toxic"], "left_anti")
+    sent = documents.sparkSession.sparkContext.broadcast(learnt_model(documents, labels))
+    judged = free_name(documents, "judged")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(sent.value)
+        for batch in batches:
+            kept = pa.array([score(t) < threshold for t in batch[judged].cast(pa.binary()).to_pylist()], pa.bool_())
+            yield batch.drop_columns([judged]).filter(kept)
+
+    return documents.withColumn(judged, text_of()).mapInArrow(clean, documents.schema)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
