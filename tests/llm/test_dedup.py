@@ -192,7 +192,7 @@ def test_repeat_removal_odd(odd_documents, no_documents):
     assert by_id[6].n_removed == by_id[6].n_bytes and by_id[3].n_bytes == 0
 
 
-def brute_lines(docs):
+def brute_lines(docs, least=5):
     seen, out = [], {}
     for d, text in sorted(docs):
         kinds = []
@@ -201,7 +201,7 @@ def brute_lines(docs):
             if not words:
                 continue
             exact = any(words == s for s in seen)
-            near = len(words) >= 5 and any(len(s) >= 5 and within(words, s) for s in seen if s != words)
+            near = len(words) >= least and any(len(s) >= least and within(words, s) for s in seen if s != words)
             kinds.append((no, "near" if near else "exact" if exact else "first"))
             seen.append(words)
         out[d] = kinds
@@ -218,10 +218,11 @@ def within(a, b):
     return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
 
 
-def test_lines_random(spark):
+@pytest.mark.parametrize("least", [5, 2])
+def test_lines_random(spark, least):
     random.seed(11)
     words = [f"w{i}" for i in range(6)]
-    bases = [[random.choice(words) for _ in range(random.randrange(3, 14))] for _ in range(25)]
+    bases = [[random.choice(words) for _ in range(random.randrange(1, 14))] for _ in range(25)]
     docs = []
     for d in range(40):
         lines = []
@@ -233,9 +234,9 @@ def test_lines_random(spark):
                 line[i : i + (kind > 0)] = [] if kind == 1 else [random.choice(words)]
             lines.append("  ".join(line) if random.random() < 0.2 else " ".join(line))
         docs.append((d, "\n".join([*lines, "", " \t"])))
-    expected = brute_lines(docs)
+    expected = brute_lines(docs, least)
     got = defaultdict(list)
-    for r in line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+    for r in line_dedup.line_decisions(spark.createDataFrame(docs, "doc_id long, text string"), least).collect():
         got[r.doc_id].append((r.no, r.kind))
     for d, kinds in expected.items():
         mine = dict(got[d])
@@ -244,6 +245,14 @@ def test_lines_random(spark):
             assert (mine[no] == "first") == (kind == "first"), (d, no, kind, mine[no])
 
 
+def test_a_template_line_that_very_many_share(spark):
+    docs = [(d, f"the same template with word{d} in it\nexactly this line is everywhere") for d in range(400)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id > 0, r.n_near, r.n_exact) for r in got} == {(False, 0, 0), (True, 1, 1)}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(spark.createDataFrame(docs[:1], "doc_id long, text string"), least_words=1)
+
+
 def test_lines_odd(odd_documents, no_documents):
     got = line_dedup.dedup_lines(odd_documents)
     assert got.count() == odd_documents.distinct().count()

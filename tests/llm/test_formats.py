@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -78,6 +78,17 @@ def test_encoder_equals_library(texts):
         assert np.frombuffer(ids, dtype="<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_get_whole_texts():
+    """A tokenizer whose pieces depend on white space is not cut at it."""
+    import public_tokenizers
+
+    encoder = token_store.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert encoder.whole and not token_store.encoder(token_store.tokenizer_path()).whole
+    texts = ["one two  three", " lead", "", "日本 語\n\n", "don't. stop"]
+    for text, ids in zip(texts, encoder(texts), strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_one_document_needs_one_frame(spark, data):
     folder = scratch_path(spark, "test")
     manifest = token_store.write_tokens(read(spark, data, "documents"), folder, frame_bytes=20_000).collect()
@@ -151,8 +162,24 @@ def test_quality_is_preferred(spark):
     assert good >= poor
 
 
+@pytest.mark.parametrize("quality", [0.001, 1.0, 100.0])
+def test_mix_of_ties_and_odd_weights(spark, quality):
+    """Repeated rows tie on their keys, a source holds most rows, and weights are far from one: totals stay exact."""
+    rows = [(7, "a b c", "s")] * 300 + [(None, "x y", "s")] * 100 + [(1000 + i, "w " * (i % 5), "s" if i % 3 else None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([(1000 + i, quality) for i in range(300)] + [(7, quality)], "doc_id long, weight double")
+    expected = Counter(map(tuple, mixing.mix_sources(frame, weights).collect()))
+    got = Counter(map(tuple, mixing.mix_sources(frame.repartition(5), weights, bucket_rows=7).collect()))
+    assert got == expected and sum(expected.values()) == 700
+    for name in ("s", None):
+        sizes = [len(t.split()) for _, t, x in rows if x == name]
+        mine = [r for r in expected.elements() if r[2] == sum(sizes)]
+        assert abs(sum(r[5] for r in mine) - mine[0][3]) <= 1 and all(r[5] <= 3 * r[1] for r in mine)
+
+
 def test_mix_odd(odd_documents, no_documents):
     assert mixing.mix_sources(odd_documents).count() == odd_documents.count()
     assert mixing.mix_sources(no_documents).count() == 0
     mixed = mixing.mixed_documents(odd_documents)
-    assert mixed.columns == odd_documents.columns and mixed.filter("doc_id IS NULL").count() == 2
+    assert mixed.columns == odd_documents.columns and {str(r) for r in mixed.collect()} <= {str(r) for r in odd_documents.collect()}
+    assert mixing.mixed_documents(no_documents).count() == 0
