@@ -1,10 +1,12 @@
 """Files and streams: round trips, gates, batch against stream."""
 
 import json
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.places import has_data
 from textloom.sources import readers, writers
 from textloom.streaming import intake
 
@@ -106,6 +108,27 @@ def test_stream_equals_batch_and_repeats_change_nothing(spark, folder):
     assert {(r.message_ref, r.action) for r in spark.read.parquet(str(folder / "store")).collect()} == batch
 
 
+def test_a_batch_that_failed_half_way_leaves_nothing_twice(spark, folder):
+    """Raw rows were written, results were not; the batch is repeated."""
+    rows = [(f"m{i}", "sender", "2024-01-01 00:00:00", f"Your OTP: {1000 + i}", None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "message_ref string, address string, ts string, body string, subscription string").withColumn("ts", F.col("ts").cast("timestamp"))
+    batch, raw, store = intake.with_deliver_key(frame), str(folder / "raw"), str(folder / "store")
+    intake.store_batch(raw, store)(batch, 3)
+    shutil.rmtree(store)
+    for _ in range(2):
+        intake.store_batch(raw, store)(batch, 3)
+        assert spark.read.parquet(raw).count() == 5 and spark.read.parquet(store).count() == 5
+    intake.store_batch(raw, store)(intake.with_deliver_key(frame.limit(2)), 4)
+    assert spark.read.parquet(raw).count() == 5
+
+
+def test_upsert_needs_no_checkpoint_folder(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert not has_data(spark, path)
+    writers.upsert_table(spark.createDataFrame([(1, "a", 1)], "k long, v string, at long"), path, "k", "at")
+    assert has_data(spark, path) and spark.read.parquet(path).first()["v"] == "a"
+
+
 def test_streamed_parts_that_straddle_an_hour(spark, tmp_path):
     schema = "message_ref string, part_no int, part_count int, address string, ts timestamp, body string, subscription int"
     parts = [("m", 1, 2, "a", "2024-01-01 09:59:50", "one ", 1), ("m", 2, 2, "a", "2024-01-01 10:00:10", "two", 1), ("late", 1, 1, "a", "2024-01-02 10:00:00", "x", 1)]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import candidate_queries, message_queries, pattern_queries, regional_queries, repair_queries, source_queries, split_queries, text_queries  # noqa: F401  they register themselves
+from textloom.plans import candidate_queries, file_queries, message_queries, pattern_queries, regional_queries, repair_queries, rule_queries, source_queries, split_queries, text_queries  # noqa: F401  they register themselves
 from textloom.plans.views import ORACLE, QUERIES
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,18 +30,20 @@ def map_confusables(text: Column) -> Column:
     return F.translate(text, CONFUSABLE_FROM, CONFUSABLE_TO)
 
 
-def normalize_text(text: Column, confusables: bool = False, compatibility: bool = True) -> Column:
-    """Null as empty, NFKC, no zero-width characters, one blank between words, at most 4096 code points.
+def normalize_text(text: Column, confusables: bool = False, compatibility: bool = True, most: int | None = MAX_LENGTH) -> Column:
+    """Null as empty, NFKC, no zero-width characters, one blank between words, at most ``most`` code points.
 
-    ``confusables`` is on when messages are classified and off when they are deduplicated.
+    ``confusables`` is on when messages are classified and off when they are deduplicated. Messages are cut at 4096 code
+    points; ``most=None`` takes texts whole, which long documents need. Only texts beyond ASCII go to Python for NFKC.
     """
     text = F.coalesce(text, F.lit(""))
     if compatibility:
-        text = nfkc(text)
+        text = F.coalesce(nfkc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
     text = F.regexp_replace(text, ZERO_WIDTH, "")
     if confusables:
         text = map_confusables(text)
-    return F.substring(F.trim(F.regexp_replace(text, r"(?U)\s+", " ")), 1, MAX_LENGTH)
+    text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
 def encode_bytes(text: Column) -> Column:
@@ -64,6 +66,17 @@ def byte_ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.concat(*(windows(k) for k in sizes))
 
 
+def ngram_rows(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(*keep, gram): a row for each window of 2 and 3 bytes, the same as ``byte_ngrams`` gives, all in generated code.
+
+    Positions are exploded first and cut out then, so no array of strings is built for a text.
+    """
+    raw = F.lower(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))).alias("_raw")
+    at = rows.select(*keep, raw).filter(F.length("_raw") >= 4).select(*keep, "_raw", F.explode(F.sequence(F.lit(1), F.length("_raw") - 3, F.lit(2))).alias("_at"))
+    three = F.when(F.col("_at") + 5 <= F.length("_raw"), F.substring("_raw", F.col("_at"), F.lit(6)))
+    return at.select(*keep, F.explode(F.array(F.substring("_raw", F.col("_at"), F.lit(4)), three)).alias("gram")).filter("gram IS NOT NULL")
+
+
 def _group(key: Column) -> Column:
     return F.left(F.sha1(key.cast("binary")), F.lit(12))
 

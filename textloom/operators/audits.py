@@ -60,18 +60,20 @@ def forced_rates(packs: DataFrame, spam: Column) -> DataFrame:
     return packs.agg(F.avg(F.when(spam, review.cast("double"))).alias("spam_in_review"), F.avg(F.when(~spam, (~review).cast("double"))).alias("ham_forced"))
 
 
-def content_manifest(rows: DataFrame, *columns: str, buckets: int = 256) -> DataFrame:
+def content_manifest(rows: DataFrame, *columns: str, digits: int = 4) -> DataFrame:
     """(split, n, content_hash): a hash of each split that neither order nor partitioning changes.
 
-    Rows are hashed, hashes sorted within the buckets of their first byte, and the buckets' hashes hashed in order. Within a
-    bucket equal rows count as often as they come.
+    Rows are hashed, hashes sorted within the buckets of their first ``digits`` hex digits, and the buckets' hashes hashed in
+    order, two digits at a time. Within a bucket equal rows count as often as they come. A bucket holds a share of
+    16**-digits of the distinct rows: 4 suits up to some 10**9 rows, 6 some 10**12. The hash depends on it.
     """
     digest = F.sha2(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
     hashed = rows.select("split", digest.alias("h"))
     counted = hashed.groupBy("split", "h").agg(F.count("*").alias("c"))
-    inner = counted.groupBy("split", F.substring("h", 1, 4).alias("b")).agg(F.sum("c").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("c").cast("string")))), ","), 256).alias("h"))
-    outer = inner.groupBy("split", F.substring("b", 1, 2).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))), ","), 256).alias("h"))
-    return outer.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))), ","), 256).alias("content_hash"))
+    level = counted.groupBy("split", F.substring("h", 1, digits).alias("b")).agg(F.sum("c").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "h", F.col("c").cast("string")))), ","), 256).alias("h"))
+    for left in range(digits - 2, 0, -2):
+        level = level.groupBy("split", F.substring("b", 1, left).alias("b")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))), ","), 256).alias("h"))
+    return level.groupBy("split").agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "b", "h"))), ","), 256).alias("content_hash"))
 
 
 def queue_view(store: DataFrame, messages: DataFrame, actions: tuple[str, ...]) -> DataFrame:

@@ -77,7 +77,8 @@ def sample_quota(rows: DataFrame, label: str, key: str, n: int, seed: int = 42)
     have = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     wanted = F.create_map(*(F.lit(x) for kv in quotas(have, n).items() for x in kv))
     drawn = rows.withColumn("_digest", order_digest(seed, F.col(key)))
-    picked = top_of_each(drawn, [label], [F.col("_digest")], F.coalesce(wanted[F.col(label)], F.lit(0))).drop("_rank")
+    most = max([1, *quotas(have, n).values()])  # a literal bound, so that each partition keeps its first rows only
+    picked = top_of_each(drawn, [label], [F.col("_digest")], most).filter(F.col("_rank") <= F.coalesce(wanted[F.col(label)], F.lit(0))).drop("_rank")
     rest = drawn.join(picked.select(key), key, "left_anti").select(*picked.columns)
     short = max(0, n - sum(min(have.get(x, 0), q) for x, q in quotas(have, n).items()))
     return picked.unionByName(rest.orderBy("_digest").limit(short)).drop("_digest")
@@ -91,12 +92,8 @@ def representative_sample(rows: DataFrame, order: str, n: int, text: str = "text
     return first.select(order, encode_bytes(F.col("_text")).alias("ids"))
 
 
-def train_ngram_logistic(rows: DataFrame, vocabulary: DataFrame, text: str = "text", label: str = "label", iterations: int = 100):
-    """Multinomial logistic regression over byte n-gram counts; returns (model, rows with ``features`` and ``label_index``).
-
-    Only trainable rows are used, so features and labels stay aligned.
-    """
-    from pyspark.ml.classification import LogisticRegression
+def ngram_table(rows: DataFrame, vocabulary: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+    """``rows`` that have a trainable label, with ``features`` (counts of the vocabulary's byte n-grams) and ``label_index``."""
     from pyspark.ml.feature import CountVectorizerModel
 
     from textloom.functions.text import byte_ngrams
@@ -106,6 +103,16 @@ def train_ngram_logistic(rows: DataFrame, vocabulary: DataFrame, text: str = "te
     words = [r["gram"] for r in vocabulary.toLocalIterator()]  # a fixed number of n-grams
     vectors = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="features").transform(known)
     at = F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col(label)).cast("double") - 1
-    table = vectors.withColumn("label_index", at).drop("_grams")
+    return vectors.withColumn("label_index", at).drop("_grams")
+
+
+def train_ngram_logistic(rows: DataFrame, vocabulary: DataFrame, text: str = "text", label: str = "label", iterations: int = 100):
+    """Multinomial logistic regression over byte n-gram counts; returns (model, the table it was fitted on).
+
+    Only trainable rows are used, so features and labels stay aligned.
+    """
+    from pyspark.ml.classification import LogisticRegression
+
+    table = ngram_table(rows, vocabulary, text, label)
     model = LogisticRegression(family="multinomial", regParam=0.0, maxIter=iterations, featuresCol="features", labelCol="label_index").fit(table)
     return model, table

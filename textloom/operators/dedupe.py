@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import normalize_text
+from textloom.functions.text import MAX_LENGTH, normalize_text
 
 
 def first_per(rows: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -18,13 +18,14 @@ def dedupe_exact(rows: DataFrame, text: str, *order: str) -> DataFrame:
     return first_per(rows, F.coalesce(F.col(text), F.lit("")), *order)
 
 
-def dedupe_normalized(rows: DataFrame, text: str, *order: str, compatibility: bool = True) -> DataFrame:
-    return first_per(rows, normalize_text(F.col(text), compatibility=compatibility), *order)
+def dedupe_normalized(rows: DataFrame, text: str, *order: str, compatibility: bool = True, most: int | None = MAX_LENGTH) -> DataFrame:
+    """The first row of each normalized text. Messages are compared by their first ``most`` code points; None compares whole texts."""
+    return first_per(rows, normalize_text(F.col(text), compatibility=compatibility, most=most), *order)
 
 
-def dedupe_two_stage(rows: DataFrame, text: str, *order: str, compatibility: bool = True) -> DataFrame:
+def dedupe_two_stage(rows: DataFrame, text: str, *order: str, compatibility: bool = True, most: int | None = MAX_LENGTH) -> DataFrame:
     """Exact, then normalized: equal texts are equal when normalized, so one shuffle gives the survivors of both."""
-    return dedupe_normalized(rows, text, *order, compatibility=compatibility)
+    return dedupe_normalized(rows, text, *order, compatibility=compatibility, most=most)
 
 
 def dedupe_counts(rows: DataFrame, text: str, compatibility: bool = True) -> DataFrame:
@@ -41,5 +42,10 @@ def last_per_id(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def drop_eval_overlap(evaluation: DataFrame, train: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """Evaluation rows whose text and id both are not in train: two hash anti joins in place of one with OR."""
-    return evaluation.join(train.select(key).distinct(), key, "left_anti").join(train.select(text).distinct(), text, "left_anti").select(*evaluation.columns)
+    """Evaluation rows whose text and id both are not in train: two hash anti joins in place of one with OR.
+
+    Texts meet by their digests, so no text is shuffled for another's sake. A null text is in nothing.
+    """
+    digest = F.sha2(F.col(text), 256).alias("_text")
+    left = evaluation.join(train.select(key).distinct(), key, "left_anti").withColumn("_text", digest)
+    return left.join(train.select(digest).distinct(), "_text", "left_anti").select(*evaluation.columns)

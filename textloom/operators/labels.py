@@ -79,7 +79,7 @@ def soft_labels(rows: DataFrame, logits: DataFrame, temperature: float = 2.0) ->
     return joined.withColumn("soft", F.transform(powers, lambda p: p / mass)).drop("logits")
 
 
-def annotation_to_message(rows: DataFrame, language: str = "en", source: str = "annotation") -> DataFrame:
+def annotation_to_message(rows: DataFrame, language: str = "en", source: str = "annotation", *keep: str) -> DataFrame:
     """Annotated rows as message records: a trainable label, a text and an id are needed; blanks fall back."""
 
     def given(column: str, default: Column) -> Column:
@@ -89,22 +89,50 @@ def annotation_to_message(rows: DataFrame, language: str = "en", source: str = "
     out = rows.select(
         F.trim(F.coalesce("id", F.lit(""))).alias("id"), F.trim(F.coalesce("text", F.lit(""))).alias("text"), label.alias("label"), given("language", F.lit(language)).alias("language"),
         given("source", F.lit(source)).alias("source"), F.concat(F.lit("snd-ann-"), F.trim(F.col("id"))).alias("sender_group"), given("template_group", F.concat(F.lit("tpl-"), F.trim(F.col("id")))).alias("template_group"),
-        F.array(given("annotator", F.lit("annotator"))).alias("annotator_ids"),
+        F.array(given("annotator", F.lit("annotator"))).alias("annotator_ids"), *keep,
     )
     return out.filter(F.col("label").isin(*LABELS) & (F.col("id") != "") & (F.col("text") != ""))
 
 
+def merge_packs(packs: Sequence[DataFrame], language: str = "en", source: str = "annotation") -> DataFrame:
+    """Message records of annotation packs (id, ..., seq) in one table: of an id the first in pack order, then ``seq``, wins.
+
+    Rows that no model can be trained on are left out. pack is the number of the pack that a record comes from.
+    """
+    every = None
+    for number, rows in enumerate(packs):
+        kept = annotation_to_message(rows, language, source, "seq").withColumn("pack", F.lit(number))
+        every = kept if every is None else every.unionByName(kept)
+    whole = F.struct(*every.columns)
+    return every.groupBy("id").agg(F.min_by(whole, F.struct("pack", "seq")).alias("_row")).select("_row.*")
+
+
+def merge_report(packs: Sequence[DataFrame], merged: DataFrame) -> DataFrame:
+    """(pack, n, kept, trainable): rows of each pack, those that the merge kept, and those that a model could be trained on."""
+    out = None
+    for number, rows in enumerate(packs):
+        counts = rows.agg(F.count("*").alias("n")).crossJoin(annotation_to_message(rows).agg(F.count("*").alias("trainable"))).withColumn("pack", F.lit(number))
+        out = counts if out is None else out.unionByName(counts)
+    return out.join(merged.groupBy("pack").agg(F.count("*").alias("kept")), "pack", "left").select("pack", "n", F.coalesce("kept", F.lit(0)).alias("kept"), "trainable")
+
+
 def validation_errors(rows: DataFrame) -> DataFrame:
-    """(id, error): what is wrong with each message record, and ``duplicate id`` for every row beyond an id's first."""
+    """(id, error): what is wrong with each message record, and ``duplicate id`` for every row beyond an id's first.
+
+    Errors name the offending value, a missing one as None.
+    """
 
     def bad(column: str, allowed: Sequence[str]) -> Column:
-        return F.when(~F.coalesce(F.col(column), F.lit("")).isin(*allowed), f"invalid {column}")
+        return F.when(~F.coalesce(F.col(column), F.lit("")).isin(*allowed), F.concat(F.lit(f"invalid {column}: "), F.coalesce(F.col(column), F.lit("None"))))
+
+    def required(column: str) -> Column:
+        return F.when(F.coalesce(F.col(column), F.lit("")) == "", f"{column} is required")
 
-    empty = [F.when(F.coalesce(F.col(c), F.lit("")) == "", f"missing {c}") for c in ("id", "text", "source", "source_license", "sender_group", "template_group")]
-    errors = F.array_compact(F.array(*empty, bad("label", LABELS), bad("language", LANGUAGES), bad("split", SPLITS)))
+    rest = (required(c) for c in ("source", "source_license", "sender_group", "template_group"))
+    errors = F.array_compact(F.array(required("id"), required("text"), bad("label", LABELS), bad("language", LANGUAGES), bad("split", SPLITS), *rest))
     each = rows.select("id", F.explode(errors).alias("error"))
-    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("_")).select("id", F.lit("duplicate id").alias("error"))
-    return each.union(again)
+    again = rows.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))).alias("_"))
+    return each.union(again.select("id", F.concat(F.lit("duplicate id: "), "id").alias("error")))
 
 
 def source_audit(sources: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def repair_en_second(text: Column, label: Column, spam: Column) -> Column:
     def found(pattern: str) -> Column:
         return text.rlike(f"(?is){pattern}")
 
-    hard, promo, fraud = found(EN2_HARD_PRIZE), found(EN2_PROMO), label == "FRAUD"
+    hard, promo, fraud = found(EN2_HARD_PRIZE), text.rlike(f"(?id){EN2_PROMO}"), label == "FRAUD"  # a dot of promotion ends at a line feed
     left, prize = spam & (label == NEEDS_REVIEW), hard | found(EN2_PRIZE)
     decided = cascade(
         [

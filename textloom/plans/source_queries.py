@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import synthesis
+from textloom.places import shared_folder
+from textloom.plans.message_queries import ROUTED
 from textloom.plans.views import query, view
 from textloom.sources import readers
 from textloom.streaming import intake
@@ -28,28 +30,54 @@ def read_weak_label_candidates(spark, d):
 
 
 @query("augment_train", """
-WITH a AS (SELECT id, text, conv AS u FROM (SELECT id, text, ('0x' || substr(md5('42:' || id), 1, 8))::BIGINT AS conv FROM labelled WHERE label <> 'NEEDS_REVIEW'))
-SELECT id || '-aug-1' AS id, id AS parent_id, substr(text, 1, u % length(text)) || chr(8203) || substr(text, u % length(text) + 1) AS text FROM a WHERE u % 2 = 0""", "labelled")
+WITH t AS (SELECT id, replace(text, ' ', '，') AS text, ('0x' || substr(md5('42:width:' || id), 1, 8))::BIGINT AS w, ('0x' || substr(md5('42:comma:' || id), 1, 8))::BIGINT AS c FROM labelled WHERE label <> 'NEEDS_REVIEW'),
+a AS (SELECT *, CASE WHEN w % 2 = 0 THEN substr(text, 1, (w // 2) % length(text)) || chr(8203 + (w % 3)::INT) || substr(text, (w // 2) % length(text) + 1) ELSE text END AS x FROM t),
+b AS (SELECT *, CASE WHEN c % 2 = 0 THEN replace(x, '，', ' ， ') ELSE x END AS y FROM a)
+SELECT id || '-aug-1' AS id, id AS parent_id, y AS text FROM b WHERE y <> text""", "labelled")
 def augment_train(spark, d):
-    rows = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'").select("id", "text")
+    rows = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'").select("id", F.replace("text", F.lit(" "), F.lit("，")).alias("text"))
     return synthesis.augment(rows, 42).filter("is_adversarial").select("id", "parent_id", "text")
 
 
+TEMPLATES = [("en", "TRANSACTION", "code {n}"), ("en", "AD", "offer {n}"), ("en", "FRAUD", "verify {n}"), ("zh", "TRANSACTION", "验证码 {n}"), ("hi", "HARASS", "pay me {n}"), ("id", "AD", "promo {n}")]
+
+
 @query("synthesize_messages", """
-SELECT t.k || '-' || n AS id, CASE t.k WHEN 0 THEN 'TRANSACTION' WHEN 1 THEN 'AD' WHEN 2 THEN 'HARASS' ELSE 'FRAUD' END AS label, 'snd-' || n % 5 AS sender_group, 'tpl-' || t.k AS template_group,
-  ['code ', 'offer ', 'pay me ', 'verify '][t.k + 1] || ((('0x' || substr(md5('42:' || t.k || ':' || n), 1, 8))::BIGINT) % 900000 + 100000) AS text
-FROM (SELECT unnest(range(0, 4)) AS k) t, (SELECT p_partkey AS n FROM part) p""")
+SELECT language || '-' || k || '-' || n AS id, language, label, 'snd-' || language || '-' || n % 5 AS sender_group, 'tpl-' || language || '-' || k AS template_group, said || ((('0x' || substr(md5('42:' || k || ':' || n), 1, 8))::BIGINT) % 900000 + 100000) AS text
+FROM (VALUES (0, 'en', 'TRANSACTION', 'code '), (1, 'en', 'AD', 'offer '), (2, 'en', 'FRAUD', 'verify '), (3, 'zh', 'TRANSACTION', '验证码 '), (4, 'hi', 'HARASS', 'pay me '), (5, 'id', 'AD', 'promo ')) t(k, language, label, said), (SELECT p_partkey AS n FROM part) p""")
 def synthesize_messages(spark, d):
-    templates = [("TRANSACTION", "code {n}"), ("AD", "offer {n}"), ("HARASS", "pay me {n}"), ("FRAUD", "verify {n}")]
-    return synthesis.synthesize(view(spark, d, "part").select(F.col("p_partkey").alias("n")), templates, 42)
+    return synthesis.synthesize(view(spark, d, "part").select(F.col("p_partkey").alias("n")), TEMPLATES, 42)
+
+
+def streamed(spark, frame, name: str):
+    """``frame`` written to files and read as a stream."""
+    folder = shared_folder(spark, name)
+    frame.write.parquet(folder)
+    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+
+
+def finished(spark, stream, name: str, mode: str = "append"):
+    """Runs a stream over all that is there, to files, and reads these."""
+    out = shared_folder(spark, name)
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_folder(spark, f"{name}-state")).trigger(availableNow=True)
+    writer.format("parquet").option("path", out).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+#: What comes a day after all else, so that the watermark passes every part before it and each is emitted.
+LAST = "2100-01-01"
 
 
 @query("stream_assemble_parts", "SELECT conv_id AS message_ref, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS body FROM conversations GROUP BY conv_id")
 def stream_assemble_parts(spark, d):
+    """Each conversation's turns as the parts of a message, half an hour apart, through a stream with a watermark."""
     parts = view(spark, d, "conversations")
     n = parts.groupBy("conv_id").agg(F.count("*").alias("part_count"))
-    rows = parts.join(n, "conv_id").select(F.col("conv_id").alias("message_ref"), F.col("turn").alias("part_no"), "part_count", F.col("role").alias("address"), F.lit(None).cast("timestamp").alias("ts"), F.col("text").alias("body"), F.lit(None).cast("string").alias("subscription"))
-    return intake.assemble_parts(rows).select("message_ref", F.sha2("body", 256).alias("body"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 1800)
+    rows = parts.join(n, "conv_id").select(F.col("conv_id").alias("message_ref"), F.col("turn").alias("part_no"), "part_count", F.col("role").alias("address"), at.alias("ts"), F.col("text").alias("body"), F.lit(None).cast("string").alias("subscription"))
+    later = rows.limit(1).withColumn("message_ref", F.lit(-1).cast("long")).withColumn("part_count", F.lit(2).cast("long")).withColumn("ts", F.lit(LAST).cast("timestamp"))
+    assembled = intake.assemble_parts(streamed(spark, rows.unionByName(later), "parts"))
+    return finished(spark, assembled, "messages").select("message_ref", F.sha2("body", 256).alias("body"))
 
 
 def deliveries(spark, d):
@@ -57,13 +85,29 @@ def deliveries(spark, d):
     return events.unionByName(events.filter("event_id % 10 = 0"))
 
 
-@query("stream_idempotent", "SELECT count(*) AS n, count(DISTINCT k) AS n_keys FROM (SELECT DISTINCT user_id::VARCHAR || '|' || (epoch_us(ts) // 1000)::VARCHAR || '|' || event_type || '|' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '' END AS k FROM events)")
+KEYS = "(SELECT DISTINCT user_id::VARCHAR || '|' || (epoch_us(ts) // 1000)::VARCHAR || '|' || event_type || '|' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '' END AS k FROM events)"
+
+
+@query("stream_idempotent", f"SELECT sha256(k) AS deliver_key FROM {KEYS}")
 def stream_idempotent(spark, d):
-    first = intake.first_deliveries(deliveries(spark, d))
-    return first.agg(F.count("*").alias("n"), F.count_distinct("deliver_key").alias("n_keys"))
+    """Deliveries of which every tenth comes twice, through a stream that drops repeats; event times lie within one watermark."""
+    first = intake.first_deliveries(streamed(spark, deliveries(spark, d), "deliveries"), "3650 days")
+    return finished(spark, first, "first").select("deliver_key")
 
 
 @query("stream_action_counts", "SELECT date_trunc('hour', ts) AS window_start, event_type AS action, count(*) AS n FROM events GROUP BY ALL")
 def stream_action_counts(spark, d):
     rows = view(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"))
-    return intake.action_counts(rows).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    later = rows.limit(1).withColumn("ts", F.lit(LAST).cast("timestamp"))
+    counted = finished(spark, intake.action_counts(streamed(spark, rows.unionByName(later), "actions")), "counts")
+    return counted.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_classify", f"SELECT sha256(msg_id || '|' || (epoch_us(ts) // 1000) || '|' || body || '|') AS deliver_key, category, action, reason FROM (WITH {ROUTED} SELECT m.msg_id, m.ts, m.body, c.category, c.action, c.reason FROM c JOIN messages m ON c.msg_id = m.msg_id)", "messages")
+def stream_classify(spark, d):
+    """Messages, every seventh delivered twice, through the intake: each is stored once. The store is the result."""
+    rows = view(spark, d, "messages").select(F.col("msg_id").cast("string").alias("message_ref"), F.col("msg_id").cast("string").alias("address"), F.col("ts").cast("timestamp").alias("ts"), "body", F.lit(None).cast("string").alias("subscription"))
+    twice = rows.unionByName(rows.filter("CAST(message_ref AS BIGINT) % 7 = 0"))
+    raw, store = shared_folder(spark, "raw"), shared_folder(spark, "store")
+    intake.stream_classify(streamed(spark, twice, "intake"), raw, store, shared_folder(spark, "intake-state")).awaitTermination()
+    return spark.read.parquet(store).select("deliver_key", "category", "action", "reason")

@@ -155,20 +155,32 @@ def annotation_to_message(spark, d):
     return out.withColumn("annotator", F.get("annotator_ids", F.lit(0))).drop("annotator_ids")
 
 
-@query("merge_annotation_packs", f"""
-WITH k AS (SELECT id, language, upper(label) IN {IN_LABELS} AND text <> '' AS kept FROM annotations)
-SELECT language, count(*) AS n, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS skipped FROM k GROUP BY language""", "annotations")
+#: Two packs that share ids: the first has every third row as advertising, the second all rows.
+PACKS = "(SELECT 0 AS pack, id, 'AD' AS label, text, CAST(id AS BIGINT) AS seq FROM annotations WHERE CAST(id AS BIGINT) % 3 = 0 UNION ALL SELECT 1, id, upper(label), text, CAST(id AS BIGINT) FROM annotations)"
+MERGED_PACKS = f"(SELECT id, arg_min(label, pack) AS label, min(pack) AS pack FROM {PACKS} WHERE label IN {IN_LABELS} AND trim(text) <> '' GROUP BY id)"
+
+
+def two_packs(spark, d):
+    rows = view(spark, d, "annotations").withColumn("seq", F.col("id").cast("long"))
+    return [rows.filter("seq % 3 = 0").withColumn("label", F.lit("ad")), rows]
+
+
+@query("merge_annotation_packs", f"SELECT id, label, pack FROM {MERGED_PACKS}", "annotations")
 def merge_annotation_packs(spark, d):
-    rows = view(spark, d, "annotations")
-    kept = L.annotation_to_message(rows).select("id", F.lit(True).alias("kept"))
-    return rows.select("id", "language").join(kept, "id", "left").groupBy("language").agg(F.count("*").alias("n"), F.count_if(F.col("kept")).alias("kept"), F.count_if(F.col("kept").isNull()).alias("skipped"))
+    return L.merge_packs(two_packs(spark, d)).select("id", "label", "pack")
+
+
+@query("merge_report", f"SELECT p.pack, count(*) AS n, count(*) FILTER (p.label IN {IN_LABELS} AND trim(p.text) <> '') AS trainable, count(m.id) AS kept FROM {PACKS} p LEFT JOIN {MERGED_PACKS} m ON p.id = m.id AND p.pack = m.pack GROUP BY p.pack", "annotations")
+def merge_report(spark, d):
+    packs = two_packs(spark, d)
+    return L.merge_report(packs, L.merge_packs(packs))
 
 
 @query("validate_messages", f"""
-SELECT id, e AS error FROM (SELECT id, unnest([CASE WHEN text = '' THEN 'missing text' END, 'missing source_license', CASE WHEN template_group = '' THEN 'missing template_group' END,
-  CASE WHEN label NOT IN {IN_LABELS} THEN 'invalid label' END, CASE WHEN split NOT IN ('train', 'validation', 'test') THEN 'invalid split' END]) AS e
+SELECT id, e AS error FROM (SELECT id, unnest([CASE WHEN text = '' THEN 'text is required' END, 'source_license is required', CASE WHEN template_group = '' THEN 'template_group is required' END,
+  CASE WHEN label NOT IN {IN_LABELS} THEN 'invalid label: ' || label END, CASE WHEN split NOT IN ('train', 'validation', 'test') THEN 'invalid split: ' || split END]) AS e
 FROM (SELECT a.id, a.text, a.label, a.template_group, s.split FROM annotations a JOIN splits s ON a.id = s.id)) WHERE e IS NOT NULL
-UNION ALL SELECT id, 'duplicate id' FROM (SELECT id, row_number() OVER (PARTITION BY id) AS k FROM splits) WHERE k > 1""", "annotations", "splits")
+UNION ALL SELECT id, 'duplicate id: ' || id FROM (SELECT id, row_number() OVER (PARTITION BY id) AS k FROM splits) WHERE k > 1""", "annotations", "splits")
 def validate_messages(spark, d):
     rows = view(spark, d, "annotations").join(view(spark, d, "splits").select("id", "split", "sender_group"), "id").withColumn("source_license", F.lit(""))
     return L.validation_errors(rows)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators.audits import upsert
 from textloom.operators.splits import leakage_audit
+from textloom.places import delete, has_data, shared_folder
 from textloom.schema import ANNOTATION_FIELDS, MESSAGE
 
 
@@ -15,9 +16,9 @@ def write_messages_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_annotation_csv(rows: DataFrame, path: str) -> None:
-    """The fixed fields, missing ones empty."""
+    """The fixed fields, missing ones empty; blanks at the ends of a text stay."""
     columns = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ANNOTATION_FIELDS]
-    rows.select(*columns).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    rows.select(*columns).write.option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_splits_gated(rows: DataFrame, path: str) -> DataFrame:
@@ -30,16 +31,19 @@ def write_splits_gated(rows: DataFrame, path: str) -> DataFrame:
 
 
 def upsert_table(changes: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
-    """Insert-or-replace into a Parquet table partitioned by ``_bucket``: only buckets with changes are rewritten."""
+    """Insert-or-replace into a Parquet table partitioned by ``_bucket``: only buckets with changes are rewritten.
+
+    A table keeps the number of buckets that it was begun with; a few thousand rows a bucket and upsert suit.
+    """
     spark = changes.sparkSession
     marked = changes.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    try:
+    if has_data(spark, path):
         touched = marked.select("_bucket").distinct()  # at most ``buckets`` rows
-        stored = spark.read.parquet(path)
-        old = stored.join(F.broadcast(touched), "_bucket", "left_semi").select(*marked.columns)
-        new = upsert(old, marked, key, order).checkpoint()  # what is read is about to be replaced
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        new = upsert(marked.limit(0), marked, key, order)
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi").select(*marked.columns)
+    else:
+        old = marked.limit(0)
+    # What is read is about to be replaced, so the new rows are written beside it first.
+    staged = shared_folder(spark, "upsert")
+    upsert(old, marked, key, order).write.parquet(staged)
+    spark.read.schema(marked.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    delete(spark, staged)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import deliver_key
 from textloom.operators.classify import classify_messages
+from textloom.places import has_data
 from textloom.sources.writers import upsert_table
 
 
@@ -41,22 +42,23 @@ def first_deliveries(messages: DataFrame, watermark: str = "1 hour") -> DataFram
 def store_batch(raw_path: str, store_path: str):
     """foreachBatch: raw messages are stored first, then results; a delivery that the store knows is left alone.
 
-    A batch that is repeated after a failure finds its deliveries in the store's keys and changes nothing.
+    Raw rows go to a partition of their own for each batch, which a repeated batch replaces, so a failure between the two
+    writes leaves nothing twice. A batch that was finished finds its deliveries in the store and changes nothing.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["deliver_key"])
-        try:
+        if has_data(spark, store_path):
             fresh = fresh.join(spark.read.parquet(store_path).select("deliver_key"), "deliver_key", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         fresh = fresh.persist()
-        fresh.write.mode("append").parquet(raw_path)
-        results = classify_messages(fresh).select("deliver_key", "message_ref", "ts", "category", "action", "confidence", "reason", F.to_json("rule_ids").alias("rule_ids"))
-        upsert_table(results, store_path, "deliver_key", "ts")
-        fresh.unpersist()
+        try:
+            rows = fresh.withColumn("_batch", F.lit(number))
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(raw_path)
+            results = classify_messages(fresh).select("deliver_key", "message_ref", "ts", "category", "action", "confidence", "reason", F.to_json("rule_ids").alias("rule_ids"))
+            upsert_table(results, store_path, "deliver_key", "ts")
+        finally:
+            fresh.unpersist()
 
     return run
 
