@@ -53,9 +53,15 @@ SELECT msg_id AS message_uri, 'k' || CAST(msg_id AS STRING) AS deliver_key, CASE
 }
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores, dealt over all of them; others stay as they are, without a shuffle."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     needs, sql = VIEWS[name]
     frames = {n: view(spark, sf_dir, n) for n in needs}
     for n in needs:
