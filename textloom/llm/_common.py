@@ -100,7 +100,9 @@ def text_of(column: str = "text") -> Column:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A given table. One in fewer pieces than there are cores is dealt over all of them; others are read as they lie."""
+    rows, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def hashed_documents(documents: DataFrame) -> DataFrame:

@@ -144,7 +144,8 @@ def read_back(segments: DataFrame, template: ChatTemplate = INSTRUCT) -> DataFra
     """Digests of each conversation, from its segments alone, as ``format_chats`` lays them.
 
     Each turn's formatted text is parsed again; conversations are streamed in order with running digests. ``valid`` is
-    whether the machine found nothing amiss.
+    whether the machine found nothing amiss. Turns without a conv_id are one conversation; null roles and texts were formatted
+    as empty. An empty table gives an empty result.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
