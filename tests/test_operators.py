@@ -87,7 +87,7 @@ def messages(spark, *rows):
 
 def test_validation(spark):
     found = labels.validation_errors(messages(spark, message(), message(label="SPAM", id="2"), message(id="2", text=""))).collect()
-    assert sorted(map(tuple, found)) == [("2", "duplicate id"), ("2", "invalid label"), ("2", "missing text")]
+    assert sorted(map(tuple, found)) == [("2", "duplicate id: 2"), ("2", "invalid label: SPAM"), ("2", "text is required")]
 
 
 def test_leakage(spark):
