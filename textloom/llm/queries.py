@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, decontamination, exact_dedup, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
+from textloom.llm import chat_format, decontamination, exact_dedup, importance, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_importance_resample": importance.op11_importance_resample,
 }
 
 ORACLE_SQL = {
@@ -22,4 +23,5 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.ORACLE_SQL,
     "op4_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_importance_resample": importance.ORACLE_SQL,
 }
