@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, decontamination, exact_dedup, importance, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
+from textloom.llm import chat_format, chat_repair, decontamination, exact_dedup, importance, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_importance_resample": importance.op11_importance_resample,
+    "op12_chat_repair": chat_repair.op12_chat_repair,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_source_mix": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_importance_resample": importance.ORACLE_SQL,
+    "op12_chat_repair": chat_repair.ORACLE_SQL,
 }
