@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from textloom.llm import components, exact_dedup, line_dedup, repeat_removal, simhash_dedup
+from textloom.llm import components, exact_dedup, line_dedup, ngram_join, repeat_removal, simhash_dedup
 from textloom.llm._common import Scratch, read, with_groups
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -259,3 +259,72 @@ def test_lines_odd(odd_documents, no_documents):
     assert line_dedup.dedup_lines(no_documents).count() == 0
     texts = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(odd_documents).collect()}
     assert texts[5] == "   \n" and texts[1].startswith("Alpha")
+
+
+def brute_sets(rows, size=5):
+    out = []
+    for _, text in rows:
+        words = re.findall(WORD, (text or "").translate({k: k + 32 for k in range(65, 91)}))
+        out.append({" ".join(words[k : k + size]) for k in range(len(words) - size + 1)} if len(words) >= size else {" ".join(words)} if words else set())
+    return out
+
+
+def brute_jaccard(rows, size=5, percent=80):
+    """(doc_id, n_shingles, component_id) of each row over all pairs."""
+    sets = brute_sets(rows, size)
+    least = list(range(len(rows)))
+
+    def root(k):
+        while least[k] != k:
+            k = least[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                least[root(a)] = root(b)
+    smallest = defaultdict(list)
+    for k, (d, _) in enumerate(rows):
+        smallest[root(k)].append(d)
+    return [(d, len(sets[k]), min((x for x in smallest[root(k)] if x is not None), default=None)) for k, (d, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("name", ["odd_documents", "no_documents", "documents"])
+def test_ngram_join(spark, data, request, name):
+    frame = read(spark, data, "documents") if name == "documents" else request.getfixturevalue(name)
+    got = ngram_join.jaccard_components(frame)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_jaccard(pairs(frame)))
+
+
+@pytest.mark.parametrize(("size", "percent", "further"), [(5, 80, 0.5), (2, 50, 0.25), (1, 20, 1.0), (3, 95, 0.0)])
+def test_ngram_join_of_chains_and_hubs(spark, size, percent, further):
+    """Near copies in chains, about a hub, and texts that share a passage without being alike."""
+    rng = random.Random(size)
+    vocabulary = [f"w{k}" for k in range(60)]
+    texts = []
+    for family in range(8):
+        words = rng.choices(vocabulary, k=rng.choice([3, 5, 12, 40, 80]))
+        for copy in range(12):
+            if family % 2:
+                changed = words  # a chain: each differs from the one before
+            else:
+                changed = list(words)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                at = rng.randrange(len(changed))
+                changed[at : at + 1] = rng.choice([[], [rng.choice(vocabulary)], [changed[at], "New"]]) if len(changed) > 1 else ["new"]
+            texts.append(" ".join(changed))
+    passage = " ".join(rng.choices(vocabulary, k=30))
+    texts += [passage + " " + " ".join(rng.choices(vocabulary, k=15)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size, percent, further)
+    assert Counter(map(tuple, got.collect())) == Counter(brute_jaccard(rows, size, percent))
+
+
+def test_ngram_join_counts_hot_tokens_by_partial_sums(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, " ".join(["same"] * 5 + [f"x{rng.randrange(10)}" for _ in range(10)])) for k in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.hot_cells(ngram_join._shared(frame.select(F.lit(7).cast("long").alias("token"), F.col("doc_id").alias("set"), F.lit(1).alias("least")))) == [7]
+    monkeypatch.setattr(ngram_join, "hot_cells", lambda tokens: list(range(0, ngram_join.CELLS, 2)))
+    assert Counter(map(tuple, ngram_join.jaccard_components(frame).collect())) == Counter(brute_jaccard(rows))

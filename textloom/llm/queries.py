@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import chat_format, chat_repair, decontamination, exact_dedup, importance, line_dedup, mixing, pii, repeat_removal, simhash_dedup, token_store, toxicity
+from textloom.llm import chat_format, chat_repair, decontamination, exact_dedup, importance, line_dedup, mixing, ngram_join, pii, repeat_removal, simhash_dedup, token_store, toxicity
 
 QUERIES = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_importance_resample": importance.op11_importance_resample,
     "op12_chat_repair": chat_repair.op12_chat_repair,
+    "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_importance_resample": importance.ORACLE_SQL,
     "op12_chat_repair": chat_repair.ORACLE_SQL,
+    "op13_ngram_join": ngram_join.ORACLE_SQL,
 }
