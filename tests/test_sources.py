@@ -86,55 +86,3 @@ def test_json_tables(spark, folder):
     assert {(r.id, r.body, r.expected_category) for r in got} == {("eval-0", "a", None), ("q", "b", "AD"), ("eval-0", "c", None)}
     (folder / "s.json").write_text(json.dumps({"sources": [{"id": "x", "license": "MIT"}]}))
     assert readers.read_sources(spark, str(folder / "s.json")).first()["license"] == "MIT"
-
-
-def test_upsert(spark, folder):
-    path = str(folder / "store")
-    for n, rows in enumerate(([(1, "INBOX", 1), (2, "REVIEW", 1)], [(2, "INBOX", 2), (3, "SUSPECT", 1), (3, "REVIEW", 2)])):
-        writers.upsert_table(spark.createDataFrame(rows, "k long, action string, at long"), path, "k", "at", buckets=4)
-        assert spark.read.parquet(path).count() == (2, 3)[n]
-    assert {(r.k, r.action) for r in spark.read.parquet(path).collect()} == {(1, "INBOX"), (2, "INBOX"), (3, "REVIEW")}
-
-
-def test_stream_equals_batch_and_repeats_change_nothing(spark, folder):
-    rows = [(f"m{i}", "sender", f"2024-01-01 00:{i % 60:02d}:00", f"Your OTP: {1000 + i}" if i % 2 else "hello", None) for i in range(40)]
-    frame = spark.createDataFrame(rows, "message_ref string, address string, ts string, body string, subscription string").withColumn("ts", F.col("ts").cast("timestamp"))
-    frame.unionByName(frame.limit(10)).write.parquet(str(folder / "in"))
-    stream = spark.readStream.schema(frame.schema).parquet(str(folder / "in"))
-    for attempt in ("a", "b"):
-        intake.stream_classify(stream, str(folder / "raw"), str(folder / "store"), str(folder / f"checkpoint-{attempt}")).awaitTermination()
-        assert spark.read.parquet(str(folder / "raw")).count() == 40
-    batch = {(r.message_ref, r.action) for r in intake.classify_messages(frame).select("message_ref", "action").collect()}
-    assert {(r.message_ref, r.action) for r in spark.read.parquet(str(folder / "store")).collect()} == batch
-
-
-def test_a_batch_that_failed_half_way_leaves_nothing_twice(spark, folder):
-    """Raw rows were written, results were not; the batch is repeated."""
-    rows = [(f"m{i}", "sender", "2024-01-01 00:00:00", f"Your OTP: {1000 + i}", None) for i in range(5)]
-    frame = spark.createDataFrame(rows, "message_ref string, address string, ts string, body string, subscription string").withColumn("ts", F.col("ts").cast("timestamp"))
-    batch, raw, store = intake.with_deliver_key(frame), str(folder / "raw"), str(folder / "store")
-    intake.store_batch(raw, store)(batch, 3)
-    shutil.rmtree(store)
-    for _ in range(2):
-        intake.store_batch(raw, store)(batch, 3)
-        assert spark.read.parquet(raw).count() == 5 and spark.read.parquet(store).count() == 5
-    intake.store_batch(raw, store)(intake.with_deliver_key(frame.limit(2)), 4)
-    assert spark.read.parquet(raw).count() == 5
-
-
-def test_upsert_needs_no_checkpoint_folder(spark, tmp_path):
-    path = str(tmp_path / "store")
-    assert not has_data(spark, path)
-    writers.upsert_table(spark.createDataFrame([(1, "a", 1)], "k long, v string, at long"), path, "k", "at")
-    assert has_data(spark, path) and spark.read.parquet(path).first()["v"] == "a"
-
-
-def test_streamed_parts_that_straddle_an_hour(spark, tmp_path):
-    schema = "message_ref string, part_no int, part_count int, address string, ts timestamp, body string, subscription int"
-    parts = [("m", 1, 2, "a", "2024-01-01 09:59:50", "one ", 1), ("m", 2, 2, "a", "2024-01-01 10:00:10", "two", 1), ("late", 1, 1, "a", "2024-01-02 10:00:00", "x", 1)]
-    for part in parts:
-        row = spark.createDataFrame([part], schema.replace("timestamp", "string"))
-        row.withColumn("ts", row["ts"].cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = intake.assemble_parts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    stream.writeStream.format("memory").queryName("straddling").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination()
-    assert [(r.message_ref, r.body) for r in spark.table("straddling").collect()] == [("m", "one two")]

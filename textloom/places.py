@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -42,3 +43,46 @@ def rename_parts(spark: SparkSession, folder: str, suffix: str) -> None:
         name = f.getPath().getName()
         if name.startswith("part-"):
             files.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, name.split(".")[0] + suffix))
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    files, place = _file_system(spark, folder)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    files, place = _file_system(spark, path)
+    stream = files.open(place)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a small file whole, or not at all if one of that name is there; False then.
+
+    It is written beside its place and moved there without overwriting, which file systems of clusters do as one step. A
+    local one looks first, so there two writers must not meet.
+    """
+    jvm, configuration = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files, place = _file_system(spark, path)
+    beside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    stream = files.create(beside, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), configuration)
+    try:
+        context.rename(files.makeQualified(beside), files.makeQualified(place), options)
+    except Py4JJavaError as error:
+        files.delete(beside, False)
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True

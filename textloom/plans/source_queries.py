@@ -9,6 +9,7 @@ from textloom.places import shared_folder
 from textloom.plans.message_queries import ROUTED
 from textloom.plans.views import query, view
 from textloom.sources import readers
+from textloom.sources.versions import VersionedTable
 from textloom.streaming import intake
 
 
@@ -64,20 +65,46 @@ def finished(spark, stream, name: str, mode: str = "append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-#: What comes a day after all else, so that the watermark passes every part before it and each is emitted.
+#: What comes a day after all else, so that the watermark passes all before it.
 LAST = "2100-01-01"
 
 
-@query("stream_assemble_parts", "SELECT conv_id AS message_ref, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS body FROM conversations GROUP BY conv_id")
-def stream_assemble_parts(spark, d):
-    """Each conversation's turns as the parts of a message, half an hour apart, through a stream with a watermark."""
+def conversation_parts(spark, d):
+    """Each conversation's turns as the parts of a message, half an hour apart."""
     parts = view(spark, d, "conversations")
     n = parts.groupBy("conv_id").agg(F.count("*").alias("part_count"))
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 1800)
-    rows = parts.join(n, "conv_id").select(F.col("conv_id").alias("message_ref"), F.col("turn").alias("part_no"), "part_count", F.col("role").alias("address"), at.alias("ts"), F.col("text").alias("body"), F.lit(None).cast("string").alias("subscription"))
-    later = rows.limit(1).withColumn("message_ref", F.lit(-1).cast("long")).withColumn("part_count", F.lit(2).cast("long")).withColumn("ts", F.lit(LAST).cast("timestamp"))
-    assembled = intake.assemble_parts(streamed(spark, rows.unionByName(later), "parts"))
-    return finished(spark, assembled, "messages").select("message_ref", F.sha2("body", 256).alias("body"))
+    return parts.join(n, "conv_id").select(F.col("conv_id").cast("string").alias("message_ref"), F.col("turn").alias("part_no"), "part_count", F.col("role").alias("address"), at.alias("ts"), F.col("text").alias("body"), F.lit(None).cast("string").alias("subscription"))
+
+
+@query("assemble_parts", "SELECT conv_id AS message_ref, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS body FROM conversations GROUP BY conv_id")
+def assemble_parts(spark, d):
+    """Messages from a table of parts, every third of which comes twice."""
+    parts = conversation_parts(spark, d)
+    whole = intake.assemble_parts(parts.unionByName(parts.filter("part_no % 3 = 0")))
+    return whole.select(F.col("message_ref").cast("long").alias("message_ref"), F.sha2("body", 256).alias("body"))
+
+
+@query("stream_assemble_parts", """
+SELECT conv_id AS message_ref, count(*) AS held, count(*) = any_value(n) AS complete, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS body
+FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) WHERE conv_id % 5 <> 0 OR turn <> 0 GROUP BY conv_id""")
+def stream_assemble_parts(spark, d):
+    """The parts of messages through a stream with keyed state: later parts come first, every third twice, and every fifth
+    message lacks its first part, so that it leaves when its time has passed. A last part far ahead lets that time pass."""
+    parts = conversation_parts(spark, d).filter("CAST(message_ref AS BIGINT) % 5 <> 0 OR part_no <> 0")
+    later = parts.limit(1).withColumn("message_ref", F.lit("-1")).withColumn("part_count", F.lit(2).cast("long")).withColumn("ts", F.lit(LAST).cast("timestamp"))
+    first = parts.filter("part_no % 2 = 1")
+    rest = parts.filter("part_no % 2 = 0").unionByName(parts.filter("part_no % 3 = 0"))
+    folder = shared_folder(spark, "parts")
+    for rows in (first, rest, later):
+        rows.write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(parts.schema).parquet(folder)
+    whole, side = shared_folder(spark, "messages"), shared_folder(spark, "incomplete")
+    with intake.keyed_state(spark):
+        writer = intake.assemble_stream(stream).writeStream.foreachBatch(intake.store_messages(whole, side)).option("checkpointLocation", shared_folder(spark, "parts-state"))
+        writer.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(whole).unionByName(spark.read.parquet(side))
+    return rows.select(F.col("message_ref").cast("long").alias("message_ref"), "held", "complete", F.sha2("body", 256).alias("body"))
 
 
 def deliveries(spark, d):
@@ -110,4 +137,25 @@ def stream_classify(spark, d):
     twice = rows.unionByName(rows.filter("CAST(message_ref AS BIGINT) % 7 = 0"))
     raw, store = shared_folder(spark, "raw"), shared_folder(spark, "store")
     intake.stream_classify(streamed(spark, twice, "intake"), raw, store, shared_folder(spark, "intake-state")).awaitTermination()
-    return spark.read.parquet(store).select("deliver_key", "category", "action", "reason")
+    return intake.result_store(spark, store).read().select("deliver_key", "category", "action", "reason")
+
+
+#: Stored results with a delivery key, and changes to them: some are new, some bring a message again, some a delivery of another.
+KEYED = "SELECT message_uri, 'd' || message_uri AS deliver_key, action, created_at, 0 AS step FROM store"
+CHANGED = """SELECT msg_id AS message_uri, 'd' || CASE WHEN msg_id % 4 = 0 THEN msg_id + 3 ELSE msg_id END AS deliver_key, 'REVIEW' AS action, msg_id * 1000 + 1 AS created_at, 1 + msg_id % 3 AS step FROM labelled WHERE msg_id % 6 < 4
+UNION ALL SELECT -msg_id, 'd' || msg_id, 'INBOX', msg_id * 1000 + 2, 3 FROM labelled WHERE msg_id % 7 = 0"""
+
+
+@query("classification_versions", f"""
+SELECT message_uri, deliver_key, action, created_at FROM (SELECT *, max(place) OVER (PARTITION BY message_uri) AS by_uri, max(place) OVER (PARTITION BY deliver_key) AS by_key
+  FROM (SELECT *, step::BIGINT * 1000000000000 + created_at AS place FROM ({KEYED} UNION ALL {CHANGED})))
+WHERE place = by_uri AND place = by_key""", "store", "labelled")
+def classification_versions(spark, d):
+    """The result store in four commits, the last one repeated: a message and a delivery have one row each, the latest put in."""
+    frames = {n: view(spark, d, n) for n in ("store", "labelled")}
+    known, changes = (spark.sql(text.replace("FROM store", "FROM {store}").replace("FROM labelled", "FROM {labelled}"), **{n: f for n, f in frames.items() if n in text}) for text in (KEYED, CHANGED))
+    table = VersionedTable(spark, shared_folder(spark, "versions"), [["message_uri"], ["deliver_key"]], buckets=8)
+    columns = ["message_uri", "deliver_key", "action", "created_at"]
+    for step, rows in enumerate([known, *(changes.filter(F.col("step") == k) for k in (1, 2, 3, 3))]):
+        table.upsert(rows.select(*columns), "created_at", ("query", min(step, 3)))
+    return table.read()

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.audits import upsert
 from textloom.operators.splits import leakage_audit
-from textloom.places import delete, has_data, shared_folder
 from textloom.schema import ANNOTATION_FIELDS, MESSAGE
 
 
@@ -28,22 +26,3 @@ def write_splits_gated(rows: DataFrame, path: str) -> DataFrame:
         raise ValueError("splits leak: " + ", ".join(f"{r.kind} {r.n}" for r in audit.collect()))
     rows.write.partitionBy("split").option("ignoreNullFields", False).json(path)
     return audit
-
-
-def upsert_table(changes: DataFrame, path: str, key: str, order: str, buckets: int = 64) -> None:
-    """Insert-or-replace into a Parquet table partitioned by ``_bucket``: only buckets with changes are rewritten.
-
-    A table keeps the number of buckets that it was begun with; a few thousand rows a bucket and upsert suit.
-    """
-    spark = changes.sparkSession
-    marked = changes.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    if has_data(spark, path):
-        touched = marked.select("_bucket").distinct()  # at most ``buckets`` rows
-        old = spark.read.parquet(path).join(F.broadcast(touched), "_bucket", "left_semi").select(*marked.columns)
-    else:
-        old = marked.limit(0)
-    # What is read is about to be replaced, so the new rows are written beside it first.
-    staged = shared_folder(spark, "upsert")
-    upsert(old, marked, key, order).write.parquet(staged)
-    spark.read.schema(marked.schema).parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
-    delete(spark, staged)

@@ -2,31 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import StructType
 
 from textloom.functions.text import deliver_key
 from textloom.operators.classify import classify_messages
-from textloom.places import has_data
-from textloom.sources.writers import upsert_table
+from textloom.places import create_once, names_in, read_text
+from textloom.sources.versions import VersionedTable
+
 
+PARTS = "message_ref string, part_no long, part_count long, address string, ts timestamp, body string, subscription string"
+MESSAGES = "message_ref string, address string, ts timestamp, body string, subscription string, held long, part_count long, complete boolean"
 
-def assemble_parts(parts: DataFrame, watermark: str | None = "1 hour") -> DataFrame:
-    """Messages from parts (message_ref, part_no, part_count, address, ts, body, subscription).
 
-    Bodies are joined in part order; address and time are those of the first part. On a stream, parts of a
-    message belong together if each follows another within ``watermark``; a message whose parts are not all there when the
-    watermark passes them is not emitted.
+def assemble_parts(parts: DataFrame) -> DataFrame:
+    """Whole messages from a table of parts (message_ref, part_no, part_count, address, ts, body, subscription).
+
+    Bodies are joined in part order; address, time and subscription are those of the first part. Of parts with one number the
+    earliest holds, then the least body. A null body counts as empty. Messages whose parts aren't all there are left out.
     """
-    if watermark and parts.isStreaming:
-        parts = parts.withWatermark("ts", watermark)
-        keys = [F.session_window("ts", watermark), "message_ref"]
-    else:
-        keys = ["message_ref"]
-    held = parts.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("part_no", "address", "ts", "body", "subscription"))).alias("parts"), F.max("part_count").alias("part_count"))
+    first = F.struct("ts", F.coalesce("body", F.lit("")).alias("body"), "address", "subscription")
+    once = parts.groupBy("message_ref", "part_no").agg(F.min(first).alias("part"), F.max("part_count").alias("part_count"))
+    held = once.groupBy("message_ref").agg(F.array_sort(F.collect_list(F.struct("part_no", "part.*"))).alias("parts"), F.max("part_count").alias("part_count"))
     whole = held.filter(F.size("parts") == F.col("part_count"))
-    first = F.get("parts", F.lit(0))
-    return whole.select("message_ref", first["address"].alias("address"), first["ts"].alias("ts"), F.array_join(F.transform("parts", lambda p: F.coalesce(p["body"], F.lit(""))), "").alias("body"), first["subscription"].alias("subscription"))
+    start = F.get("parts", F.lit(0))
+    return whole.select("message_ref", start["address"].alias("address"), start["ts"].alias("ts"), F.array_join(F.transform("parts", lambda p: p["body"]), "").alias("body"), start["subscription"].alias("subscription"))
+
+
+class PartAssembler(StatefulProcessor):
+    """Holds the parts of one message; it leaves when the last part comes, or as it is when the time for it has passed.
+
+    A message that has left is remembered until that time, so repeats of its parts open nothing anew.
+    """
+
+    def __init__(self, wait_ms: int, late_ms: int):
+        self.wait_ms, self.late_ms = wait_ms, late_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "part_no long", "address string, ts timestamp, body string, subscription string")
+        self.progress = handle.getValueState("progress", "part_count long, left boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        known, begun = self.progress.get(), timerValues.getCurrentWatermarkInMs() + self.late_ms
+        count, left = known or (0, False)
+        for row in rows:
+            count = max(count, row.part_count or 0)
+            begun = begun if row.ts is None else max(begun, int(row.ts.timestamp() * 1000))
+            if not left and row.part_no is not None and not self.parts.containsKey((row.part_no,)):
+                self.parts.updateValue((row.part_no,), (row.address, row.ts, row.body, row.subscription))
+        if not known:
+            self.handle.registerTimer(begun + self.wait_ms - self.late_ms)  # the watermark is that much behind
+        if not left and count:
+            held = list(self.parts.iterator())
+            if len(held) >= count:
+                left = True
+                self.parts.clear()
+                yield self._message(key, held, count, True)
+        self.progress.update((count, left))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        count, left = self.progress.get() or (0, True)
+        if not left:
+            yield self._message(key, list(self.parts.iterator()), count, False)
+        self.parts.clear()
+        self.progress.clear()
+
+    def _message(self, key, held, count, complete) -> Row:
+        held.sort(key=lambda pair: pair[0][0])
+        address, ts, _, subscription = held[0][1] if held else (None,) * 4
+        return Row(message_ref=key[0], address=address, ts=ts, body="".join(v[2] or "" for _, v in held), subscription=subscription, held=len(held), part_count=count, complete=complete)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started in this context keep their state in RocksDB, as state with timers needs it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def assemble_stream(parts: DataFrame, delay: str = "1 hour", wait: str = "1 hour", late: str = "30 days") -> DataFrame:
+    """(message_ref, address, ts, body, subscription, held, part_count, complete): messages of a stream of parts.
+
+    A message leaves at once when its last part has come, in whatever order they came; of parts with one number the first to
+    come holds. One that isn't whole a ``wait`` after the parts that opened it leaves as it is with complete false: it goes to
+    a side table, see ``store_messages``. Time is the latest ts seen less ``delay``. State holds the parts of open messages and
+    a mark for those that have left, for no longer than that. A part that comes later still completes its message if that is
+    open, or else leaves in a row of its own after another ``wait``; Spark's watermark, behind which rows are dropped, is
+    ``late`` further back. Null bodies count as empty. The session must be in ``keyed_state`` when the query starts.
+    """
+    rows = parts.select(*(F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(PARTS))).withWatermark("ts", f"{delay} {late}")
+    wait_ms, late_ms = parts.sparkSession.range(1).select(*(F.unix_millis(F.timestamp_seconds(F.lit(0)) + F.expr(f"INTERVAL {x}")) for x in (wait, late))).first()
+    return rows.groupBy("message_ref").transformWithState(PartAssembler(wait_ms, late_ms), MESSAGES, "append", "eventTime")
+
+
+def store_messages(whole_path: str, side_path: str):
+    """foreachBatch: whole messages to one folder, the others to another, each batch to a folder of its own, which a repeat replaces."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for path, complete in ((whole_path, True), (side_path, False)):
+                rows = batch.filter(F.col("complete") == complete)
+                rows.write.mode("overwrite").parquet(f"{path}/_batch={number}")
+        finally:
+            batch.unpersist()
+
+    return run
 
 
 def with_deliver_key(messages: DataFrame) -> DataFrame:
@@ -39,33 +133,55 @@ def first_deliveries(messages: DataFrame, watermark: str = "1 hour") -> DataFram
     return keyed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["deliver_key"]) if keyed.isStreaming else keyed.dropDuplicates(["deliver_key"])
 
 
-def store_batch(raw_path: str, store_path: str):
-    """foreachBatch: raw messages are stored first, then results; a delivery that the store knows is left alone.
+RESULT = ("deliver_key", "message_ref", "ts", "category", "action", "confidence", "reason", "rule_ids")
+
+
+def result_store(spark: SparkSession, path: str, buckets: int = 64) -> VersionedTable:
+    """The table of results: a delivery has one, and so has a message."""
+    return VersionedTable(spark, path, [["deliver_key"], ["message_ref"]], buckets)
+
+
+def raw_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Everything that the intake has taken in whole batches, with _writer and _batch."""
+    batches = [f"{path}/{w}/{b}" for w in names_in(spark, path) if w.startswith("_writer=") for b in names_in(spark, f"{path}/{w}")]
+    return spark.read.option("basePath", path).parquet(*(b for b in batches if "_SUCCESS" in names_in(spark, b)))
 
-    Raw rows go to a partition of their own for each batch, which a repeated batch replaces, so a failure between the two
-    writes leaves nothing twice. A batch that was finished finds its deliveries in the store and changes nothing.
+
+def store_batch(raw_path: str, store_path: str, writer: str = "intake"):
+    """foreachBatch: raw messages are stored first, all of them, then the results of those that the store doesn't know.
+
+    Every step can be the last before a failure, and the batch is then repeated. The raw rows of a batch have a folder of
+    their own, which is done when it says so; a repeat writes it anew only if it isn't, from the same rows. Results become
+    visible with the commit that also notes the batch, so a repeat of a finished batch does nothing, whatever it would find.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["deliver_key"])
-        if has_data(spark, store_path):
-            fresh = fresh.join(spark.read.parquet(store_path).select("deliver_key"), "deliver_key", "left_anti")
-        fresh = fresh.persist()
-        try:
-            rows = fresh.withColumn("_batch", F.lit(number))
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch").parquet(raw_path)
-            results = classify_messages(fresh).select("deliver_key", "message_ref", "ts", "category", "action", "confidence", "reason", F.to_json("rule_ids").alias("rule_ids"))
-            upsert_table(results, store_path, "deliver_key", "ts")
-        finally:
-            fresh.unpersist()
+        raw = f"{raw_path}/_writer={writer}/_batch={number}"
+        if "_SUCCESS" not in names_in(spark, raw):
+            batch.write.mode("overwrite").parquet(raw)
+        store = result_store(spark, store_path)
+        base = store.snapshot()
+        if base.done(writer, number):
+            return
+        fresh = spark.read.schema(batch.schema).parquet(raw).dropDuplicates(["deliver_key"])
+        known = store.read(base)
+        if known is not None:
+            fresh = fresh.join(known.select("deliver_key"), "deliver_key", "left_anti")
+        store.upsert(classify_messages(fresh).withColumn("rule_ids", F.to_json("rule_ids")).select(*RESULT), "ts", (writer, number))
 
     return run
 
 
 def stream_classify(messages: DataFrame, raw_path: str, store_path: str, checkpoint: str):
-    """Starts the intake of a stream of messages; available data is processed, then it stops."""
-    return first_deliveries(messages).writeStream.foreachBatch(store_batch(raw_path, store_path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Starts the intake of a stream of messages; available data is processed, then it stops.
+
+    Batches are numbered for each checkpoint, so a checkpoint keeps the name under which its batches are known.
+    """
+    spark, name = messages.sparkSession, f"{checkpoint}/intake-writer"
+    create_once(spark, name, uuid.uuid4().hex)
+    run = store_batch(raw_path, store_path, read_text(spark, name))
+    return first_deliveries(messages).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def action_counts(results: DataFrame, every: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
