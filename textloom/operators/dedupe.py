@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.text import MAX_LENGTH, normalize_text
+from textloom.operators.key_filter import anti_join
 
 
 def first_per(rows: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -41,11 +42,20 @@ def last_per_id(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
-def drop_eval_overlap(evaluation: DataFrame, train: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """Evaluation rows whose text and id both are not in train: two hash anti joins in place of one with OR.
+def drop_eval_overlap(evaluation: DataFrame, train: DataFrame, text: str = "text", key: str = "id", **options) -> DataFrame:
+    """Evaluation rows whose text and id both are not in train: two anti joins in place of one with OR.
 
-    Texts meet by their digests, so no text is shuffled for another's sake. A null text is in nothing.
+    A filter over the keys of ``train`` goes before each (``options`` as in ``KeyFilter.build``), so of the evaluation rows only
+    those that may be there are shuffled. Texts meet by their digests. A null id or text is in nothing.
     """
-    digest = F.sha2(F.col(text), 256).alias("_text")
-    left = evaluation.join(train.select(key).distinct(), key, "left_anti").withColumn("_text", digest)
-    return left.join(train.select(digest).distinct(), "_text", "left_anti").select(*evaluation.columns)
+    held = free_name(evaluation, "_text")
+    digest = F.sha2(F.col(text), 256).alias(held)
+    left = anti_join(evaluation, train.select(key).filter(F.col(key).isNotNull()), [key], **options)
+    return anti_join(left.withColumn(held, digest), train.select(digest).filter(F.col(held).isNotNull()), [held], **options).drop(held)
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``rows`` doesn't have."""
+    while name in {c.lower() for c in rows.columns}:
+        name = "_" + name
+    return name
