@@ -325,6 +325,6 @@ def test_ngram_join_counts_hot_tokens_by_partial_sums(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(k, " ".join(["same"] * 5 + [f"x{rng.randrange(10)}" for _ in range(10)])) for k in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert ngram_join.hot_cells(ngram_join._shared(frame.select(F.lit(7).cast("long").alias("token"), F.col("doc_id").alias("set"), F.lit(1).alias("least")))) == [7]
-    monkeypatch.setattr(ngram_join, "hot_cells", lambda tokens: list(range(0, ngram_join.CELLS, 2)))
+    assert ngram_join.hot_cells(frame.select(F.lit(7).cast("long").alias("token"))) == {7: 300}
+    monkeypatch.setattr(ngram_join, "hot_cells", lambda tokens: {k: 5 for k in range(0, ngram_join.CELLS, 2)})
     assert Counter(map(tuple, ngram_join.jaccard_components(frame).collect())) == Counter(brute_jaccard(rows))

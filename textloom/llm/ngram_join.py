@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from textloom.llm._common import Scratch, read, text_of, with_groups
 from textloom.llm.components import connected_components
 from textloom.llm.rolling import mixed
+from textloom.operators.key_filter import KeyFilter
 
 SHINGLE = 5
 PERCENT = 80
@@ -66,38 +67,32 @@ def _first_places(n: int, percent: int, further: float) -> tuple[int, int]:
     return n - fewest(n) + shared(n), shared(fewest(n))
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _lists(tokens: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, dtype=np.int64)))
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, percent: int, further: float) -> Iterator[pa.RecordBatch]:
+    """Each text's number of tokens, the 128-bit digest of its set, and the tokens at its first places by hash."""
     for batch in batches:
-        n, k1, k2 = [], [], []
+        n, k1, k2, least, places = [], [], [], [], []
         for text in batch["text"].cast(pa.binary()).to_pylist():
-            tokens = shingle_set(text, size).tobytes()
-            digest = xxhash.xxh3_128_intdigest(tokens)
-            n.append(len(tokens) // 8)
+            found = shingle_set(text, size)
+            digest = xxhash.xxh3_128_intdigest(found.tobytes())
+            n.append(len(found))
             k1.append(digest >> 64)
             k2.append(digest & (1 << 64) - 1)
+            looked_at, shared = _first_places(len(found), percent, further) if len(found) else (0, 0)
+            least.append(shared)
+            places.append(found[:looked_at])
         signed = [pa.array(np.array(k, dtype=np.uint64).view(np.int64)) for k in (k1, k2)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["d1"], batch["d2"], pa.array(n, pa.int64()), *signed], names=["doc_id", "d1", "d2", "n", "k1", "k2"])
-
-
-_TOKENS = "set long, least long, tokens array<long>"
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["d1"], batch["d2"], pa.array(n, pa.int64()), *signed, pa.array(least, pa.int64()), _lists(places)], names=["doc_id", "d1", "d2", "n", "k1", "k2", "least", "tokens"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], size: int, percent: int, further: float | None) -> Iterator[pa.RecordBatch]:
-    """(set, least, tokens): all tokens, or if ``further`` is given those at the first places by hash."""
+def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets, least, tokens = [], [], []
-        given = batch["set"].to_pylist() if "set" in batch.schema.names else None
-        for k, text in enumerate(batch["text"].cast(pa.binary()).to_pylist()):
-            found = shingle_set(text, size)
-            if not len(found):
-                continue
-            sets.append(given[k] if given else np.uint64(xxhash.xxh3_128_intdigest(found.tobytes()) >> 64).view(np.int64).item())
-            places, shared = _first_places(len(found), percent, further) if further is not None else (len(found), 1)
-            least.append(shared)
-            tokens.append(found[:places].view(np.int64))
-        offsets = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens) if tokens else np.empty(0, dtype=np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(sets, pa.int64()), pa.array(least, pa.int64()), lists], names=["set", "least", "tokens"])
+        found = [shingle_set(text, size) for text in batch["text"].cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["set"], _lists(found)], names=["set", "tokens"])
 
 
 CELLS = 1 << 14
@@ -107,28 +102,29 @@ def _cell(token: Column) -> Column:
     return F.pmod(token, F.lit(CELLS)).cast("int")
 
 
-def hot_cells(tokens: DataFrame, share: float = 0.001) -> list[int]:
-    """Cells of tokens that hold over ``share`` of all rows and twice the mean: at most ``1 / share`` numbers for the driver."""
-    cells = tokens.groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n"))
-    whole = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return [r.cell for r in cells.filter((F.col("n") > share * whole) & (F.col("n") > 2 * whole / CELLS)).collect()]
+def hot_cells(tokens: DataFrame, share: float = 0.001) -> dict[int, int]:
+    """Cells of tokens that hold over ``share`` of all rows and twice the mean, with their rows; the driver gets ``CELLS`` numbers."""
+    cells = tokens.groupBy(_cell(F.col("token")).alias("cell")).agg(F.count("*").alias("n")).collect()
+    whole = sum(r.n for r in cells)
+    return {r.cell: r.n for r in cells if r.n > share * whole and r.n > 2 * whole / CELLS}
 
 
 def _shared(tokens: DataFrame) -> DataFrame:
-    """The distinct rows of ``tokens`` (token, set, least) whose token two sets hold at least, with c, the number of sets that do.
+    """The rows of ``tokens`` (token, set) whose token another set may hold, with c, the number of sets that do.
 
-    Tokens of hot cells are held by so many sets that their rows must not meet in one task; they are counted by partial sums
-    and joined as ``with_groups`` does. The others are counted where they meet, in one shuffle.
+    Any numbers make an order, as long as a token that one set holds alone comes first. Tokens of hot cells are held by so
+    many sets that their rows must not meet in one task: they stay where they are and count as their whole cell. The others
+    are counted where they meet, in one shuffle.
     """
     hot = hot_cells(tokens)
-    at_hot = _cell(F.col("token")).isin(hot) if hot else F.lit(False)
-    met = tokens.filter(~at_hot).repartition("token").groupBy("token", "set").agg(F.first("least").alias("least"))
+    cell = _cell(F.col("token"))
+    met = tokens.filter(~cell.isin(*hot)) if hot else tokens
+    met = met.repartition("token").groupBy("token", "set").agg(F.count("*").alias("rows")).drop("rows")
     rare = met.withColumn("c", F.count("*").over(Window.partitionBy("token"))).filter("c > 1")
     if not hot:
         return rare
-    common = tokens.filter(at_hot).groupBy("token", "set").agg(F.first("least").alias("least"))
-    counts = common.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").withColumn("sets", F.col("c"))
-    return rare.unionByName(with_groups(common, counts, ["token"], "sets"))
+    counts = F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))
+    return rare.unionByName(tokens.filter(cell.isin(*hot)).select("token", "set", F.element_at(counts, cell).cast("long").alias("c")))
 
 
 def prefix_length(n: Column, percent: int) -> Column:
@@ -144,23 +140,26 @@ def prefix_sets(documents: DataFrame, scratch: Scratch, size: int = SHINGLE, per
     prefixes under the second and third order, without the tokens that it has alone.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("d1", F.xxhash64("doc_id", "text")).withColumn("d2", F.xxhash64("text", "doc_id"))
-    rows = scratch.table(docs.mapInArrow(lambda b: _sets(b, size), "doc_id long, d1 long, d2 long, n long, k1 long, k2 long"), "rows")
-
-    # First order: by hash.
-    first = docs.select("text").mapInArrow(lambda b: _tokens(b, size, percent, further), _TOKENS).select("set", "least", F.explode("tokens").alias("token"))
-    left = _shared(first).groupBy("set").agg(F.count("*").alias("shared"), F.first("least").alias("least")).filter("shared >= least").select("set")
-
-    # One text of each set left.
-    one = rows.groupBy("k1", "k2").agg(F.min(F.struct("d1", "d2")).alias("d"), F.first("n").alias("n"))
-    one = one.join(left.withColumnRenamed("set", "k1"), "k1", "left_semi").select("k1", "k2", "n", "d.d1", "d.d2")
+    schema = "doc_id long, d1 long, d2 long, n long, k1 long, k2 long, least long, tokens array<long>"
+    wide = scratch.table(docs.mapInArrow(lambda b: _sets(b, size, percent, further), schema), "wide")
+    rows = scratch.table(wide.drop("tokens"), "rows")
+
+    # First order: by hash. Copies of a set repeat its rows.
+    first = wide.select(F.col("k1").alias("set"), F.explode("tokens").alias("token"))
+    counts = _shared(first).groupBy(F.col("set").alias("k1")).agg(F.count_distinct("token").alias("shared"))
+    sets = rows.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.first("least").alias("least"), F.min(F.struct("d1", "d2")).alias("d"))
+    one = sets.join(counts, "k1").filter("shared >= least").select("k1", "k2", "n", "d.d1", "d.d2")
     one = scratch.table(one.withColumn("set", F.monotonically_increasing_id()), "sets")
+    scratch.drop("wide")
+
+    # Second order: rarest first. One text of each set left; others don't pass the filter and aren't shuffled.
     copies = rows.groupBy("d1", "d2").agg(F.count("*").alias("copies"))
     chosen = scratch.table(one.join(copies, ["d1", "d2"]).select("d1", "d2", "set", "copies"), "chosen")
-    texts = with_groups(docs.select("d1", "d2", "text"), chosen, ["d1", "d2"], "copies").select("set", "text")
-
-    # Second order: rarest first.
-    every = texts.mapInArrow(lambda b: _tokens(b, size, percent, None), _TOKENS).select("set", "least", F.explode("tokens").alias("token"))
-    held = _shared(every).groupBy("set").agg(F.collect_list(F.struct("c", "token")).alias("held"))
+    only = KeyFilter.build(chosen, ["d1", "d2"])
+    texts = docs.select("d1", "d2", "text")
+    texts = with_groups(texts if only is None else texts.filter(only.may_hold("d1", "d2")), chosen, ["d1", "d2"], "copies").select("set", "text")
+    every = scratch.table(texts.mapInArrow(lambda b: _tokens(b, size), "set long, tokens array<long>"), "every").select("set", F.explode("tokens").alias("token"))
+    held = _shared(every).groupBy("set").agg(F.collect_set(F.struct("c", "token")).alias("held"))
     held = held.join(one.select("set", "k1", "k2", "n"), "set").withColumn("u", F.col("n") - F.size("held"))
     places = (prefix_length(F.col("n"), percent) - F.col("u")).cast("int")
     held = held.filter(places > 0)
@@ -171,35 +170,37 @@ def prefix_sets(documents: DataFrame, scratch: Scratch, size: int = SHINGLE, per
     second, third = ordered(2, lambda c: c), ordered(3, lambda c: F.floor(F.log2(c)))
     tokens = held.select("set", "k1", "k2", "n", "u", places.alias("places"), F.transform(second, lambda x: x["token"]).alias("tokens"), F.slice(F.transform(third, lambda x: x["token"]), F.lit(1), places).alias("third"))
     found = scratch.table(tokens.withColumn("second", F.slice("tokens", F.lit(1), F.col("places"))).drop("places"), "prefixes")
+    scratch.drop("every", "chosen", "sets")
     return rows, found
 
 
-def _pairs(members: DataFrame, name: str, percent: int) -> DataFrame:
+def _pairs(members: DataFrame, name: str, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b), a < b: sets of different components that share a token of the prefix ``name`` where both could still be similar.
 
     In each group the sets of its largest component are met by all others, not by each other.
     """
-    each = Window.partitionBy("token")
     at = members.select("set", "n", "u", "component", F.posexplode(name).alias("i", "token"))
-    groups = at.groupBy("token", "component").agg(F.count("*").alias("k"))
-    largest = groups.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("components"), F.sum("k").alias("rows")).filter("components > 1").select("token", "largest", "rows")
-    mixed_groups = with_groups(at, largest, ["token"], "rows")
-    others = mixed_groups.filter("component <> largest").select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "u", "component", "i")))
-    met = mixed_groups.join(others, "token").filter("component <> o_component")
+    groups = at.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows"))
+    several = scratch.table(groups.filter("low <> high").select("token", "rows"), "several")
+    met = scratch.table(with_groups(at, several, ["token"], "rows"), "met")
+    parts = met.groupBy("token", "component").agg(F.count("*").alias("k"))
+    largest = scratch.table(parts.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.sum("k").alias("rows")), "largest")
+    others = with_groups(met, largest, ["token"], "rows").filter("component <> largest").select("token", *(F.col(c).alias(f"o_{c}") for c in ("set", "n", "u", "component", "i")))
     # At the first token that two sets share, all that they can still share is what follows in both.
     reach = F.least(F.col("n") - F.col("u") - F.col("i"), F.col("o_n") - F.col("o_u") - F.col("o_i"))
     enough = (reach * (100 + percent) >= percent * (F.col("n") + F.col("o_n"))) & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
-    return met.filter(enough).select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct()
+    pairs = met.join(others, "token").filter((F.col("component") != F.col("o_component")) & enough)
+    return scratch.table(pairs.select(F.least("set", "o_set").alias("a"), F.greatest("set", "o_set").alias("b")).distinct(), f"pairs_{name}")
 
 
-def _stars(members: DataFrame, percent: int) -> DataFrame:
+def _stars(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b): each set and one of its group, of its own length class; the one with the fewest tokens of its own."""
     # A set similar to one of a class is in the class or next to it; what stars miss the pairs find.
-    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent)))
-    at = members.select("set", "u", "component", band.alias("band"), F.explode("second").alias("token"))
-    centre = at.groupBy("token", "band").agg(F.min_by(F.struct("set", "component"), F.struct("u", "set")).alias("centre"), F.count("*").alias("rows")).filter("rows > 1")
-    met = with_groups(at, centre.select("token", "band", "centre", "rows"), ["token", "band"], "rows").filter("component <> centre.component")
-    return met.select(F.least("set", "centre.set").alias("a"), F.greatest("set", "centre.set").alias("b")).distinct()
+    band = F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int")
+    at = members.select("set", "u", band.alias("band"), F.explode("second").alias("token"))
+    centres = at.groupBy("token", "band").agg(F.min(F.struct("u", "set"))["set"].alias("centre"), F.count("*").alias("rows")).filter("rows > 1")
+    met = with_groups(at.drop("u"), scratch.table(centres, "centres"), ["token", "band"], "rows").filter("set <> centre")
+    return met.select(F.least("set", "centre").alias("a"), F.greatest("set", "centre").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
@@ -225,12 +226,13 @@ def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, percent: int =
 
 def jaccard_links(sets: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
     """(u, v): links of ``prefix_sets`` that connect exactly what all links between them connect."""
-    alone = scratch.table(sets.select("set", "n", "u", "second", "third", F.col("set").alias("component")), "alone")
-    links = scratch.table(verified(_stars(alone, percent), sets, scratch, percent), "stars")
+    links = scratch.table(verified(_stars(sets, percent, scratch), sets, scratch, percent), "stars")
+    scratch.drop("centres")
     component = connected_components(links, scratch).select(F.col("node").alias("set"), F.col("component").alias("of"))
-    members = scratch.table(alone.join(component, "set", "left").withColumn("component", F.coalesce("of", "component")).drop("of"), "members")
+    members = sets.select("set", "n", "u", "second", "third").join(component, "set", "left")
+    members = scratch.table(members.withColumn("component", F.coalesce("of", "set")).drop("of"), "members")
     # Under the second and the third order alike.
-    candidates = _pairs(members, "second", percent).join(_pairs(members, "third", percent), ["a", "b"], "left_semi")
+    candidates = _pairs(members, "second", percent, scratch).join(_pairs(members, "third", percent, scratch), ["a", "b"], "left_semi")
     return links.unionByName(verified(candidates, sets, scratch, percent))
 
 
