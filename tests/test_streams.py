@@ -1,9 +1,11 @@
 """Keyed state and timers of the part assembler, through real streams."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from textloom.operators.allowlist import allowed_by_act, stream_allowed_by_act
 from textloom.streaming import intake
 
 
@@ -53,3 +55,43 @@ def test_table_of_parts(spark):
     frame = spark.createDataFrame(rows, intake.PARTS.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
     assert sorted((r.message_ref, r.address, r.body, r.subscription) for r in intake.assemble_parts(frame).collect()) == [("m", "a", "one two", "1"), ("null", None, "", None)]
     assert intake.assemble_parts(frame.limit(0)).collect() == []
+
+
+def random_events(n=400):
+    rng = random.Random(12)
+    start = 1_700_000_000
+    messages = [(k, rng.choice([None, 1, 2, 3]), start + rng.randrange(20_000)) for k in range(n)]
+    acts = [(rng.choice([None, 1, 2, 3]), start + rng.randrange(20_000)) for _ in range(30)]
+    edge = [(n, 9, start + 1800), (n + 1, 9, start + 1801), (n + 2, 9, start - 1), (n + 3, 9, start), (n + 3, 9, start), (n + 4, 9, None)]
+    return messages + edge, [*acts, (9, start), (9, start), (9, None)]
+
+
+def expected_allowed(messages, acts):
+    return sorted((m, u is not None and t is not None and any(a == u and s is not None and t - 1800 <= s <= t for a, s in acts)) for m, u, t in messages)
+
+
+def frames(spark, messages, acts):
+    at = F.timestamp_seconds(F.col("s")).alias("ts")
+    return spark.createDataFrame(messages, "message_id long, user_id long, s long").select("message_id", "user_id", at), spark.createDataFrame(acts, "user_id long, s long").select("user_id", at)
+
+
+def test_acts_allow_messages_for_half_an_hour(spark):
+    messages, acts = random_events()
+    got = allowed_by_act(*frames(spark, messages, acts))
+    assert sorted(map(tuple, got.collect())) == expected_allowed(messages, acts)
+    assert allowed_by_act(*(f.limit(0) for f in frames(spark, messages, acts))).collect() == []
+
+
+def test_two_streams_meet_and_messages_without_an_act_leave_in_time(spark, tmp_path):
+    messages, acts = random_events(60)
+    messages = list(dict.fromkeys(m for m in messages if m[2] is not None))
+    end = 1_700_000_000 + 200_000
+    batches = [(messages[::2], acts[::2]), (messages[1::2], acts[1::2]), ([(-1, -1, end)], [(-2, end)])]
+    for rows in batches:  # acts come before and after the messages they allow
+        for name, frame in zip(("m", "a"), frames(spark, *rows), strict=True):
+            frame.coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        time.sleep(1.1)
+    streams = [spark.readStream.schema(spark.read.parquet(str(tmp_path / n)).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n)) for n in ("m", "a")]
+    stream_allowed_by_act(*streams).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.message_id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [r for r in got if r[0] >= 0] == expected_allowed(messages, acts)

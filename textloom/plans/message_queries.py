@@ -10,6 +10,7 @@ from textloom.operators import classify as C
 from textloom.operators import labels as L
 from textloom.operators import metrics as M
 from textloom.operators import splits as S
+from textloom.operators.allowlist import allowed_by_act
 from textloom.plans.views import query, view
 from textloom.schema import LABELS
 
@@ -338,12 +339,13 @@ def contact_allowlist(spark, d):
 
 @query("temporal_allowlist", "SELECT DISTINCT m.event_id FROM events m JOIN events a ON a.user_id = m.user_id AND a.event_type = 'click' AND a.ts BETWEEN m.ts - INTERVAL 30 MINUTE AND m.ts AND a.event_id <> m.event_id WHERE m.event_type = 'purchase'")
 def temporal_allowlist(spark, d):
-    """The last act before each message, by a window that looks back 30 minutes: no pairs of messages and acts."""
-    from pyspark.sql import Window
+    """Purchases that follow a click of the same user within 30 minutes."""
+    return allowed_by_act(*purchases_and_clicks(spark, d)).filter("allowed").select(F.col("message_id").alias("event_id"))
 
-    events = view(spark, d, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    back = Window.partitionBy("user_id").orderBy("us").rangeBetween(-1_800_000_000, 0)
-    return events.withColumn("acts", F.count_if(F.col("event_type") == "click").over(back)).filter("event_type = 'purchase' AND acts > 0").select("event_id")
+
+def purchases_and_clicks(spark, d):
+    events = view(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return events.filter("event_type = 'purchase'").withColumnRenamed("event_id", "message_id"), events.filter("event_type = 'click'")
 
 
 @query("random_sample_order", "SELECT id FROM labelled ORDER BY md5('9:' || id) LIMIT 64", "labelled")

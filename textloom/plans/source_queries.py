@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.operators import synthesis
+from textloom.operators.allowlist import stream_allowed_by_act
 from textloom.places import shared_folder
-from textloom.plans.message_queries import ROUTED
+from textloom.plans.message_queries import ROUTED, purchases_and_clicks
 from textloom.plans.views import query, view
 from textloom.sources import readers
 from textloom.sources.versions import VersionedTable
@@ -140,6 +141,17 @@ def stream_classify(spark, d):
     return intake.result_store(spark, store).read().select("deliver_key", "category", "action", "reason")
 
 
+@query("stream_temporal_allowlist", "SELECT m.event_id, count(a.ts) > 0 AS allowed FROM events m LEFT JOIN events a ON a.user_id = m.user_id AND a.event_type = 'click' AND a.ts BETWEEN m.ts - INTERVAL 30 MINUTE AND m.ts WHERE m.event_type = 'purchase' GROUP BY m.event_id")
+def stream_temporal_allowlist(spark, d):
+    """Purchases and clicks as two streams joined by user and time; a last pair far ahead lets both watermarks pass."""
+    streams = []
+    for name, rows in zip(("purchases", "clicks"), purchases_and_clicks(spark, d), strict=True):
+        later = rows.limit(1).withColumn("user_id", F.lit(-len(streams) - 1).cast(rows.schema["user_id"].dataType)).withColumn("ts", F.lit(LAST).cast("timestamp"))
+        streams.append(streamed(spark, rows.unionByName(later if streams else later.withColumn("message_id", -F.col("message_id") - 1)), name))
+    found = finished(spark, stream_allowed_by_act(*streams), "allowed")
+    return found.filter("message_id >= 0").select(F.col("message_id").alias("event_id"), "allowed")
+
+
 #: Stored results with a delivery key, and changes to them: some are new, some bring a message again, some a delivery of another.
 KEYED = "SELECT message_uri, 'd' || message_uri AS deliver_key, action, created_at, 0 AS step FROM store"
 CHANGED = """SELECT msg_id AS message_uri, 'd' || CASE WHEN msg_id % 4 = 0 THEN msg_id + 3 ELSE msg_id END AS deliver_key, 'REVIEW' AS action, msg_id * 1000 + 1 AS created_at, 1 + msg_id % 3 AS step FROM labelled WHERE msg_id % 6 < 4
