@@ -11,6 +11,7 @@ from textloom.operators import labels as L
 from textloom.operators import metrics as M
 from textloom.operators import splits as S
 from textloom.operators.allowlist import allowed_by_act
+from textloom.operators.heavy import most_frequent
 from textloom.plans.views import query, view
 from textloom.schema import LABELS
 
@@ -128,6 +129,13 @@ def ngram_vocab(spark, d):
     return vocabulary(view(spark, d, "labelled"))
 
 
+@query("ngram_vocab_sketch", f"SELECT gram, n FROM {VOCAB}", "labelled")
+def ngram_vocab_sketch(spark, d):
+    """The same vocabulary from a sketch of bounded size and a recount of its candidates."""
+    top = most_frequent(T.ngram_rows(view(spark, d, "labelled"), F.col("text")), "gram", 4096)
+    return top.select(F.col("value").alias("gram"), F.col("count").alias("n"))
+
+
 @query("ngram_vectorize", f"SELECT id, gram, count(*) AS n FROM {GRAMS} WHERE gram IN (SELECT gram FROM {VOCAB}) GROUP BY id, gram", "labelled")
 def ngram_vectorize(spark, d):
     rows = view(spark, d, "labelled")
