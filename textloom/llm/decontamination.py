@@ -5,10 +5,10 @@ benchmark, with document frequencies of the whole corpus; words that many items
 the ``rank`` leading right singular vectors of a randomised singular value decomposition, which is fitted once, on a sample of
 the corpus and the items, and whose products are summed over the executors.
 
-A passage leaks an item verbatim if the longest common subsequence of the item and the words about the passage is long. It is
-a paraphrase if its cosine with the item in the projection reaches a cut, the subsequence has a lower length, and the
-item's answer is there. The cosine is taken over the item's words, so what stands around an item doesn't dilute it. The
-tests that need only counts of words come first: they follow from the other ones, so they lose nothing.
+The search is by cosine in the projection: windows of 16, 32 and 64 words of a document against the items' passages, all of
+them, in bounded blocks of a matrix product. Only an item that a window meets is a candidate there; its words about the
+window decide. It is leaked verbatim if the longest common subsequence is long, and as a paraphrase if the subsequence has a
+lower length and enough of the item's answer is there. Counts of words that follow from these tests are asked first.
 
 The benchmark is a query set that every task holds, ``block_items`` items at a time; a block costs one pass over the corpus, the
 document frequencies one more for all blocks. No text is shuffled. All weights are those of the whole benchmark, so the
@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from textloom.llm._common import Scratch, numbered, read, text_of
 
 PASSAGE, STRIDE = 64, 32
+#: Windows of a text that are held against the items, each a half over the next of its size.
+WINDOWS = (16, 32, 64)
+COSINES_AT_ONCE = 1 << 22
 _CUT = bytes.maketrans(b".,;:!?\"'()[]{}", b" " * 14)
 
 
@@ -76,7 +79,6 @@ class Item:
     ids: np.ndarray  # its words, in order
     said: np.ndarray  # distinct words of its answer
     least_said: int  # how many of them a paraphrase has
-    queries: np.ndarray | None = None  # a normed column for each passage
 
 
 @dataclass
@@ -85,8 +87,9 @@ class Benchmark:
 
     vocabulary: dict[bytes, int]
     items: list[Item]
-    projection: np.ndarray | None = None  # weight times right singular vectors, a row for each word
-    squares: np.ndarray | None = None  # squared weight of each word
+    projection: np.ndarray | None = None  # weight times right singular vectors, a row for each word and one for unknown ones
+    queries: np.ndarray | None = None  # a normed column for each passage of the items
+    owner: np.ndarray | None = None  # the item of each column
 
 
 @dataclass
@@ -188,8 +191,8 @@ def words_held(words: np.ndarray, most: np.ndarray, first: np.ndarray, last: np.
     return np.cumsum(np.bincount(start, minlength=size) - np.bincount(end, minlength=size))[:-1]
 
 
-def passages_that_leak(ids: np.ndarray, item: Item, index: Index, number: int, shares: np.ndarray, said: np.ndarray, paraphrase: float) -> Iterator[tuple[int, float, int]]:
-    """(start, lcs, answer words) of each passage about which the item stands.
+def passages_that_leak(ids: np.ndarray, item: Item, index: Index, number: int, near: np.ndarray, shares: np.ndarray, said: np.ndarray, paraphrase: float) -> Iterator[tuple[int, float, int]]:
+    """(start, lcs, answer words) of each passage about which the item stands, of those that ``near`` marks.
 
     Words that the item lacks can't be in the sequence. ``shares`` and ``said`` tell for each word how often it is in the item
     and whether in its answer.
@@ -205,19 +208,50 @@ def passages_that_leak(ids: np.ndarray, item: Item, index: Index, number: int, s
         for place, w in enumerate(item.ids.tolist()):
             places[w] = places.get(w, 0) | 1 << place
         index.masks[number] = places
-    for p in np.flatnonzero((held >= index.least[number]) | (held >= index.least_paraphrase[number]) & (there >= item.least_said)).tolist():
+    for p in np.flatnonzero(near & ((held >= index.least[number]) | (held >= index.least_paraphrase[number]) & (there >= item.least_said))).tolist():
         share = lcs(index.masks[number], n, ids[at[first[p] : last[p]]].tolist()) / n
         if share >= paraphrase:
             yield int(starts[p]), share, int(there[p])
 
 
-def passage_cosine(around: np.ndarray, benchmark: Benchmark, item: Item, shares: np.ndarray) -> float:
-    """Largest cosine of the words about a passage, reduced to the item's words, with one of the item's passages; 0 without words."""
-    words, times = np.unique(around[shares[around] > 0], return_counts=True)
-    if not len(words):
-        return 0.0
-    vector = np.minimum(times, shares[words]) @ benchmark.projection[words]
-    return float(min(1.0, (vector @ item.queries).max() / max(1e-9, math.sqrt(vector @ vector))))
+def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, sum of the words' rows) of the windows of all ``WINDOWS``, each a half over the next.
+
+    The last of ``rows`` is that of unknown words. Words are added up in steps of a half of the smallest window first.
+    """
+    step = WINDOWS[0] // 2
+    cuts = np.arange(0, max(len(ids), 1), step)
+    sums = np.zeros((len(cuts) + 1, rows.shape[1]))
+    if len(ids):
+        np.cumsum(np.add.reduceat(rows[ids], cuts, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+    first, last = [], []
+    for k, size in enumerate(WINDOWS):
+        if k and len(ids) <= WINDOWS[k - 1]:
+            break
+        starts = np.arange(0, max(1, len(cuts) - size // step + size // step // 2), size // step // 2)
+        first.append(starts)
+        last.append(np.minimum(starts + size // step, len(cuts)))
+    low, high = np.concatenate(first), np.concatenate(last)
+    return low * step, np.minimum(high * step, len(ids)), (sums[high] - sums[low]).astype(np.float32)
+
+
+def retrieved(ids: np.ndarray, benchmark: Benchmark, least_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(item, first, last, cosine) of the windows of a text whose cosine with a passage of the item reaches ``least_cosine``.
+
+    The search: every window against every passage of the block, in pieces of bounded size.
+    """
+    first, last, vectors = windows(ids, benchmark.projection)
+    norms = np.linalg.norm(vectors, axis=1)
+    some = np.flatnonzero(norms > 1e-6)
+    at_once = max(1, COSINES_AT_ONCE // max(1, benchmark.queries.shape[1]))
+    for k in range(0, len(some), at_once):
+        piece = some[k : k + at_once]
+        cosines = (vectors[piece] @ benchmark.queries) / norms[piece, None]
+        window, query = np.nonzero(cosines >= least_cosine - 1e-3)
+        # Pair by pair, so that the last digits don't depend on the block.
+        exact = np.einsum("ij,ij->i", vectors[piece[window]], benchmark.queries.T[query], dtype=np.float64) / norms[piece[window]]
+        enough = exact >= least_cosine
+        yield benchmark.owner[query[enough]], first[piece[window[enough]]], last[piece[window[enough]]], exact[enough]
 
 
 def fit_projection(sample: DataFrame, benchmark: Benchmark, weight: np.ndarray, rank: int, seed: int) -> np.ndarray:
@@ -288,7 +322,8 @@ def searched(texts: DataFrame, sample_of: DataFrame, benchmark: DataFrame, scrat
     chosen = drawn.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)  # bounded, so its broadcast is too
     sample = sample_of.join(F.broadcast(chosen), "doc_id").select("text").unionByName(benchmark.filter("text IS NOT NULL").select(F.col("text").cast("string")))
     sample = scratch.table(sample.repartition(8), "sample")  # few partial sums to add up
-    known.projection = (weight[:, None] * fit_projection(sample, known, weight, rank, seed)).astype(np.float32)
+    projection = weight[:, None] * fit_projection(sample, known, weight, rank, seed)
+    known.projection = np.vstack([projection, np.zeros((1, projection.shape[1]))]).astype(np.float32)
     scratch.drop("sample")
     names = list(known.vocabulary)
     for item in known.items:
@@ -296,17 +331,23 @@ def searched(texts: DataFrame, sample_of: DataFrame, benchmark: DataFrame, scrat
             rare = sorted(set(item.ids.tolist()), key=lambda w: (counts[w], names[w]))
             item.said = np.array(rare[: math.ceil(len(rare) / 5)], dtype=np.int32)
             item.least_said = math.ceil(least_answer * len(item.said))
-        _, vectors = passage_vectors(item.ids, known.projection)
-        item.queries = np.ascontiguousarray((vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).T.astype(np.float32))
     out = spark.createDataFrame([], schema)
     for k in range(0, len(known.items), block_items):
         items = known.items[k : k + block_items]
-        block = Benchmark(known.vocabulary, items, known.projection)
+        block = block_of(items, known)
         sent = spark.sparkContext.broadcast((block, index_of(items, len(known.vocabulary), verbatim, min(verbatim, paraphrase))))
         out = out.unionByName(texts.mapInArrow(_search(sent, verbatim, paraphrase, least_cosine), schema))
     return out
 
 
+def block_of(items: list[Item], known: Benchmark) -> Benchmark:
+    """The queries of a block: each passage of each item, projected and normed."""
+    vectors = [passage_vectors(item.ids, known.projection)[1] for item in items]
+    rows = np.concatenate(vectors)
+    queries = (rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    return Benchmark(known.vocabulary, items, known.projection, np.ascontiguousarray(queries.T), np.repeat(np.arange(len(items)), [len(v) for v in vectors]))
+
+
 def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index = sent.value
@@ -315,37 +356,44 @@ def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
         for batch in batches:
             rows = []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                words = words_of(text)
-                found = vocabulary.keys() & set(words)
-                items = index.candidates(np.fromiter(map(vocabulary.__getitem__, found), dtype=np.int64, count=len(found))).tolist()
-                ids = np.fromiter(map(vocabulary.get, words, repeat(-1)), dtype=np.int32, count=len(words)) if items else None
-                for number in items:
-                    item = block.items[number]
+                ids = word_ids(text, vocabulary)
+                hits = [np.concatenate(x) for x in zip(*retrieved(ids, block, least_cosine), strict=True)]
+                if not hits or not len(hits[0]):
+                    continue
+                known = np.unique(ids)
+                # What the tests below need of the whole text's words comes first; it follows from them.
+                possible = np.intersect1d(hits[0], index.candidates(known[known >= 0]))
+                starts = passage_starts(len(ids))
+                for number in possible.tolist():
+                    item, of = block.items[number], hits[0] == number
+                    marks = np.zeros(len(starts) + 1, dtype=np.int64)
+                    np.add.at(marks, np.searchsorted(starts, hits[1][of] - PASSAGE, "right"), 1)
+                    np.add.at(marks, np.searchsorted(starts, hits[2][of], "left"), -1)
                     own, times = np.unique(item.ids, return_counts=True)
                     shares[own], said[item.said] = times, True
-                    best = None
-                    for start, share, there in passages_that_leak(ids, item, index, number, shares, said, min(verbatim, paraphrase)):
+                    best, cosine = None, float(min(1.0, hits[3][of].max()))
+                    for _, share, there in passages_that_leak(ids, item, index, number, np.cumsum(marks)[:-1] > 0, shares, said, min(verbatim, paraphrase)):
                         exact = share >= verbatim
-                        near = passage_cosine(ids[max(0, start - len(item.ids)) : start + PASSAGE + len(item.ids)], block, item, shares)
-                        if exact or there >= item.least_said and near >= least_cosine:
-                            best = max(best or (False, 0.0, 0.0, 0.0), (exact, share, there / len(item.said), near))
+                        if exact or there >= item.least_said:
+                            best = max(best or (False, 0.0, 0.0), (exact, share, there / len(item.said)))
                     shares[own], said[item.said] = 0, False
                     if best:
-                        rows.append((key, item.item_id, best[3], best[1], best[2], "verbatim" if best[0] else "paraphrase"))
+                        rows.append((key, item.item_id, cosine, best[1], best[2], "verbatim" if best[0] else "paraphrase"))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string()), strict=True)], names=["key", "item_id", "cosine", "lcs", "answer", "kind"])
 
     return search
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.4, least_cosine: float = 0.6, least_answer: float = 0.6, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.2, least_cosine: float = 0.65, least_answer: float = 0.2, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, kind) for each document (doc_id, text) and benchmark item that it leaks.
 
     lcs is the share of the item's words in the longest common subsequence of the item and the words about a passage, answer the
-    share of the item's answer found there, cosine that of the two in the projection. The answer is the item's column
-    ``answer`` if there is one, else the fifth of its distinct words that the fewest documents have. A leak is ``verbatim`` if
-    lcs reaches that threshold. It is a ``paraphrase`` if lcs reaches the lower threshold, the cosine ``least_cosine``, and the
-    whole of a given answer is there, or ``least_answer`` of one that was derived.
+    share of the item's answer found there, cosine the largest of a window of the document with the item in the projection. The
+    answer is the item's column ``answer`` if there is one, else the fifth of its distinct words that the fewest documents
+    have. Only items whose cosine reaches ``least_cosine`` are looked at, about the windows where it does. A leak is
+    ``verbatim`` if lcs reaches that threshold. It is a ``paraphrase`` if lcs reaches the lower one and the whole of a given
+    answer is there, or ``least_answer`` of one that was derived.
 
     The decomposition is fitted on the items and on ``fit_documents`` documents, those with the smallest hashes of doc_id; all
     else covers every document. Null texts count as empty; items without words or with a null id can't be found. Repeated
