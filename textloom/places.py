@@ -36,13 +36,13 @@ def delete(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def rename_parts(spark: SparkSession, folder: str, suffix: str) -> None:
-    """Gives the part files of a written folder another suffix."""
+def rename_parts(spark: SparkSession, folder: str, suffix: str, name: str | None = None) -> None:
+    """Gives the part files of a written folder another suffix, and the one of a folder that has one only another name."""
     files, place = _file_system(spark, folder)
     for f in files.listStatus(place):
-        name = f.getPath().getName()
-        if name.startswith("part-"):
-            files.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, name.split(".")[0] + suffix))
+        part = f.getPath().getName()
+        if part.startswith("part-"):
+            files.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, (name or part.split(".")[0]) + suffix))
 
 
 def names_in(spark: SparkSession, folder: str) -> list[str]:

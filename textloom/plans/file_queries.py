@@ -96,15 +96,50 @@ def read_annotation_csv(spark, d):
     return readers.read_annotation_csv(spark, folder).select("id", "text", "label", "orig_label", "annotator", "notes")
 
 
-@query("read_csv_encoding_fallback", "SELECT id, '验证码' || id || '您好' AS text FROM annotations", "annotations")
+@query("read_csv_encoding_fallback", "SELECT id, CASE hash % 3 WHEN 0 THEN '验证码' || id || '您好' WHEN 1 THEN 'é𠀀' || id ELSE '验证码' || id || chr(10) || 'ü' END AS text FROM (SELECT id, length(id) + ascii(right(id, 1)) AS hash FROM annotations)", "annotations")
 def read_csv_encoding_fallback(spark, d):
-    """A pack in GBK: the encoding is found by what it leaves unreadable."""
-    folder = shared_folder(spark, "gbk")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK is a Java charset
-    view(spark, d, "annotations").select("id", F.concat(F.lit("验证码"), "id", F.lit("您好")).alias("text")).write.option("header", True).option("encoding", "GBK").csv(folder)
+    """A folder of packs in GBK, GB18030 and UTF-8: each file is read in the encoding that reads all of it."""
+    folder, kind = shared_folder(spark, "mixed"), (F.length("id") + F.ascii(F.right("id", F.lit(1)))) % 3
+    texts = (("GBK", F.concat(F.lit("验证码"), "id", F.lit("您好"))), ("GB18030", F.concat(F.lit("é𠀀"), "id")), ("UTF-8", F.concat(F.lit("验证码"), "id", F.lit("\nü"))))
+    with readers.java_charsets(spark):
+        for k, (name, text) in enumerate(texts):
+            view(spark, d, "annotations").filter(kind == k).select("id", text.alias("text")).write.mode("append").option("header", True).option("encoding", name).csv(folder)
     return readers.read_csv_encoding_fallback(spark, folder).select("id", "text")
 
 
+@query("bad_message_lines", "SELECT (row_number() OVER (ORDER BY o_orderkey)) * 3 - 1 AS line, '{' || o_orderkey AS text FROM orders")
+def bad_message_lines(spark, d):
+    """One file of orders, for each a good line, a bad one and a blank one: the numbers of the bad lines."""
+    folder, key = shared_folder(spark, "bad"), F.col("o_orderkey").cast("string")
+    good = F.to_json(F.struct(key.alias("id"), F.lit("t").alias("text")))
+    lines = view(spark, d, "orders").orderBy("o_orderkey").select(F.concat_ws("\n", good, F.concat(F.lit("{"), key), F.lit(" ")).alias("value"))
+    lines.coalesce(1).write.text(folder)
+    return readers.bad_lines(spark, folder).select("line", "text")
+
+
+@query("read_corrections", "SELECT id, old, new, reason, 'fix_' || k % 3 AS source, CASE k % 3 WHEN 0 THEN 80 WHEN 1 THEN 50 ELSE 0 END AS priority FROM (SELECT id, label AS old, 'FRAUD' AS new, 'r' || msg_id AS reason, msg_id AS k FROM labelled WHERE msg_id % 5 = 0)", "labelled")
+def read_corrections(spark, d):
+    """Changes in files of three names, two of which have a priority."""
+    folder, rows = shared_folder(spark, "corrections"), view(spark, d, "labelled").filter("msg_id % 5 = 0")
+    change = F.struct("id", F.col("label").alias("old"), F.lit("FRAUD").alias("new"), F.concat(F.lit("r"), F.col("msg_id").cast("string")).alias("reason"))
+    for k in range(3):
+        part = f"{folder}/fix_{k}"
+        rows.filter(F.col("msg_id") % 3 == k).agg(F.collect_list(change).alias("changes")).coalesce(1).write.json(part)
+        rename_parts(spark, part, ".json", f"fix_{k}")
+    return readers.read_corrections(spark, f"{folder}/*/*.json", {"fix_0": 80, "fix_1": 50}).select("id", "old", "new", "reason", "source", "priority")
+
+
+@query("read_labelled_text_dirs", "SELECT CASE WHEN c_custkey % 4 = 0 THEN 'spam' ELSE 'ham' END AS label, 'Dear ' || c_name AS text FROM customer WHERE c_custkey % 4 < 3")
+def read_labelled_text_dirs(spark, d):
+    """A message to each customer, a file each, in folders named by label; the folder of another name is left out."""
+    folder, key = shared_folder(spark, "text-dirs"), F.col("c_custkey") % 4
+    label = F.when(key == 0, "spam").when(key == 3, "other").otherwise("ham")
+    rows = view(spark, d, "customer").select(label.alias("label"), F.concat(F.lit("  Dear "), "c_name", F.lit(" ")).alias("value"))
+    for name in ("spam", "ham", "other"):
+        rows.filter(F.col("label") == name).select("value").write.option("maxRecordsPerFile", 1).text(f"{folder}/{name}")
+    return readers.read_labelled_text_dirs(spark, folder).select("label", "text")
+
+
 @query("read_labelled_tsv", "SELECT CASE WHEN msg_id % 3 = 0 THEN 'spam' ELSE 'ham' END AS label, trim(body) AS text FROM messages WHERE msg_id % 11 <> 0", "messages")
 def read_labelled_tsv(spark, d):
     folder, key = shared_folder(spark, "tsv"), F.col("msg_id")

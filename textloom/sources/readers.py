@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom.places import shared_folder
 from textloom.schema import ANNOTATION_FIELDS, MESSAGE, SPLITS
 
 BAD = "_corrupt_record"
@@ -27,6 +31,54 @@ def read_messages_jsonl(spark: SparkSession, path: str | list[str], strict: bool
     return out.filter(F.col(BAD).isNull()).drop(BAD) if strict else out
 
 
+def bad_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line, text): lines of JSON lines files that are no message record, lines counted from 1, blank ones too.
+
+    Spark reads long files in pieces. One pass counts the lines of each piece and notes bad ones by their place in it; the
+    counts of the pieces before, a row for each piece, then give the line in the file.
+    """
+    schema = T.StructType([*MESSAGE.fields, T.StructField(BAD, T.StringType())])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("piece"))
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    marked = lines.select("file", "piece", F.when((F.trim("value") != "") & parsed[BAD].isNotNull(), F.col("value")).alias("bad"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n = None, 0
+        for batch in batches:
+            out = []
+            for file, piece, bad in zip(*(batch[c].to_pylist() for c in ("file", "piece", "bad")), strict=True):
+                if (file, piece) != now:
+                    if now:
+                        out.append((*now, n, None))
+                    now, n = (file, piece), 0
+                n += 1
+                if bad is not None:
+                    out.append((file, piece, n, bad))
+            yield _pieces(out)
+        if now:
+            yield _pieces([(*now, n, None)])
+
+    folder = shared_folder(spark, "bad-lines")
+    marked.mapInArrow(counted, "file string, piece long, n long, bad string").write.parquet(folder)
+    found = spark.read.schema("file string, piece long, n long, bad string").parquet(folder)
+    upto = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = found.filter("bad IS NULL").select("file", "piece", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    return found.filter("bad IS NOT NULL").join(before, ["file", "piece"]).select("file", (F.col("before") + F.col("n")).alias("line"), F.col("bad").alias("text"))
+
+
+def _pieces(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["file", "piece", "n", "bad"])
+
+
+def checked_messages_jsonl(spark: SparkSession, path: str | list[str], shown: int = 5) -> DataFrame:
+    """Message records, after a pass that finds bad lines: an error names the first of them as file:line."""
+    bad = bad_lines(spark, path).orderBy("file", "line").limit(shown).collect()
+    if bad:
+        raise ValueError("bad lines: " + "; ".join(f"{r['file']}:{r['line']}: {r['text'][:100]}" for r in bad))
+    return read_messages_jsonl(spark, path)
+
+
 def read_raw_dir(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.jsonl`` of a folder."""
     return read_messages_jsonl(spark, f"{folder.rstrip('/')}/*.jsonl")
@@ -56,19 +108,70 @@ def read_annotation_csv(spark: SparkSession, path: str | list[str], encoding: st
     return rows.select(*(F.coalesce(c, F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in ANNOTATION_FIELDS))
 
 
-def best_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ("UTF-8", "GBK", "GB18030")) -> str:
-    """The first encoding under which the text has the fewest replacement characters."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # GBK and its kin are Java charsets
-    counts = []
-    for name in encodings:
-        lines = spark.read.option("encoding", name).option("lineSep", "\n").csv(path, sep="\x01", quote="")
-        text = F.concat_ws("", *lines.columns) if lines.columns else F.lit("")
-        counts.append(lines.agg(F.coalesce(F.sum(F.regexp_count(text, F.lit("\ufffd"))), F.lit(0)).alias("n")).first()["n"])
-    return encodings[counts.index(min(counts))]
+#: Encodings in the order in which they are tried, by Python's names, with those of Java.
+ENCODINGS = {"utf-8": "UTF-8", "gbk": "GBK", "gb18030": "GB18030"}
 
 
-def read_csv_encoding_fallback(spark: SparkSession, path: str) -> DataFrame:
-    return read_annotation_csv(spark, path, best_encoding(spark, path))
+def file_encodings(spark: SparkSession, path: str | list[str], encodings: Sequence[str] = tuple(ENCODINGS)) -> DataFrame:
+    """(file, encoding): for each file the first encoding that reads every byte of it, null if none does.
+
+    Lines come as bytes, cut at line feeds, which are no part of a character in any of these encodings, so long files are
+    read in pieces. Each line is decoded strictly; of a file's lines only the bits that say who can read them are brought together.
+    """
+
+    def readable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = []
+            for line in batch["line"].to_pylist():
+                found = 0
+                for k, name in enumerate(encodings):
+                    try:
+                        line.decode(name)
+                        found |= 1 << k
+                    except UnicodeDecodeError:
+                        pass
+                bits.append(found)
+            yield pa.RecordBatch.from_arrays([batch["file"], pa.array(bits, pa.int32())], names=["file", "bits"])
+
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    bits = lines.mapInArrow(readable, "file string, bits int").groupBy("file").agg(F.expr("bit_and(bits)").alias("bits"))
+    first = F.coalesce(*(F.when(F.col("bits").bitwiseAND(1 << k) > 0, name) for k, name in enumerate(encodings)))
+    return bits.select("file", first.alias("encoding"))
+
+
+@contextmanager
+def java_charsets(spark: SparkSession) -> Iterator[None]:
+    """In this context Spark takes all charsets of Java, GBK and its kin too."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
+def read_csv_encoding_fallback(spark: SparkSession, path: str | list[str], encodings: Sequence[str] = tuple(ENCODINGS)) -> DataFrame:
+    """Annotation rows of files each in an encoding of its own; a file that none of ``encodings`` reads is an error.
+
+    The driver learns one name a file. Files in UTF-8 are read as they are, the others once into the shared folder.
+    """
+    found: dict[str, list[str]] = {}
+    for row in file_encodings(spark, path, encodings).toLocalIterator():
+        found.setdefault(row["encoding"], []).append(row["file"])
+    if None in found:
+        raise ValueError(f"no encoding of {', '.join(encodings)} reads {', '.join(sorted(found[None])[:5])}")
+    parts = []
+    for name, files in sorted(found.items()):
+        if name == "utf-8":
+            parts.append(read_annotation_csv(spark, files))
+            continue
+        with java_charsets(spark):
+            folder = shared_folder(spark, "decoded")
+            rows = read_annotation_csv(spark, files, ENCODINGS.get(name, name))
+            rows.write.parquet(folder)
+        parts.append(spark.read.schema(rows.schema).parquet(folder))
+    return reduce(DataFrame.unionByName, parts) if parts else read_annotation_csv(spark, path)
 
 
 def read_labelled_tsv(spark: SparkSession, path: str, labels: Sequence[str], blank_separated: bool = False) -> DataFrame:
