@@ -40,6 +40,23 @@ def apply_corrections(rows: DataFrame, merged: DataFrame, annotator: str = "fix"
     return out.select(*rows.columns, "changed")
 
 
+def apply_repairs(rows: DataFrame, decided: DataFrame, tag: str = "fix", annotator: str = "qa_fix_v1", overwrite: bool = False) -> DataFrame:
+    """``rows`` with the labels of ``decided`` (id, label, reason) set, as a pass over a whole pack leaves its traces.
+
+    The note ``[tag:reason old->new]`` stands in front of an older one; the annotator is filled if empty, or set by ``overwrite``.
+    Old labels count in upper case without blanks; a decision without a label or for the same one changes nothing.
+    """
+    fix = decided.filter("label IS NOT NULL AND label <> ''").groupBy("id").agg(F.min(F.struct("label", "reason")).alias("_fix"))
+    old = F.upper(F.trim(F.coalesce("label", F.lit(""))))
+    changed = F.col("_fix").isNotNull() & (F.col("_fix.label") != old)
+    note = F.concat(F.lit(f"[{tag}:"), F.coalesce("_fix.reason", F.lit("")), F.lit(" "), old, F.lit("->"), F.col("_fix.label"), F.lit("]"))
+    notes = F.concat_ws(" ", note, F.nullif(F.trim(F.coalesce("notes", F.lit(""))), F.lit("")))
+    by = F.lit(True) if overwrite else F.trim(F.coalesce("annotator", F.lit(""))) == ""
+    joined = rows.join(fix, "id", "left").withColumn("changed", changed)
+    out = joined.withColumn("notes", F.when(changed, notes).otherwise(F.col("notes"))).withColumn("annotator", F.when(changed & by, annotator).otherwise(F.col("annotator")))
+    return out.withColumn("label", F.when(changed, F.col("_fix.label")).otherwise(F.col("label"))).select(*rows.columns, "changed")
+
+
 def apply_hand_labels(rows: DataFrame, hand: DataFrame, auto: str | None = None, default: str = NEEDS_REVIEW) -> DataFrame:
     """``rows`` with label and note by id: hand label, else the automatic one, else ``default``."""
     given = hand.groupBy("id").agg(F.max(F.struct("label", "note")).alias("_hand"))

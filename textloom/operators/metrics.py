@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +102,12 @@ def class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return dense.select("label", (total / (len(LABELS) * F.greatest(F.col("n"), F.lit(1)))).alias("weight"))
 
 
+def topped_up(rows: DataFrame, extra: DataFrame, key: str, least: int) -> DataFrame:
+    """``rows``, and if they are fewer than ``least`` as many of ``extra`` as are missing, in the order of ``key``."""
+    short = least - rows.count()
+    return rows if short <= 0 else rows.unionByName(extra.orderBy(key).limit(short).select(*rows.columns))
+
+
 def prediction_agreement(a: DataFrame, b: DataFrame, key: str, gate: float = 0.99) -> DataFrame:
     """(n, agreement, status): how often the first maxima of two score tables (key, probs) are the same label."""
 
@@ -129,3 +138,28 @@ def latency_summary(rows: DataFrame, value: str, ranges: int = 256) -> DataFrame
     return found.filter("upto > index").groupBy().pivot("name", list(shares)).agg(F.min("v")).crossJoin(sums.agg(F.sum("held").alias("n"))).select("n", *shares)
 
 
+
+
+def quantile_buckets(rows: DataFrame, at: str, value: str, by: str, every: str = "1 hour", accuracy: float = 0.01) -> DataFrame:
+    """(window_start, by, sign, bucket, n): a mergeable sketch of ``value`` for each span of time and each ``by``.
+
+    Buckets grow by the factor (1 + accuracy) / (1 - accuracy), so any value is within ``accuracy`` of its bucket's, and a sketch
+    holds as many buckets as the logarithm of its values has steps, however many rows there are. Nulls are left out.
+    """
+    step = math.log((1 + accuracy) / (1 - accuracy))
+    x = F.col(value).cast("double")
+    kept = rows.filter(F.col(value).isNotNull()).select(F.window(F.col(at).cast("timestamp"), every)["start"].alias("window_start"), by, F.signum(x).cast("int").alias("sign"), F.when(x != 0, F.ceil(F.log(F.abs(x)) / step)).otherwise(0).alias("bucket"))
+    return kept.groupBy("window_start", by, "sign", "bucket").agg(F.count("*").alias("n"))
+
+
+def merged_quantiles(buckets: DataFrame, by: str, accuracy: float = 0.01, shares: Mapping[str, float] = {"p50": 0.5, "p95": 0.95, "p99": 0.99}) -> DataFrame:  # noqa: B006
+    """(by, n, p50, p95, p99) of the sketches in ``buckets``, of whatever spans: each within ``accuracy`` of the exact value.
+
+    The exact one stands at index floor((n - 1) * p) of the sorted values. Windows run over merged buckets, never over rows.
+    """
+    factor = (1 + accuracy) / (1 - accuracy)
+    merged = buckets.groupBy(by, "sign", "bucket").agg(F.sum("n").alias("n")).withColumn("value", F.col("sign") * 2 * F.pow(F.lit(factor), F.col("bucket")) / (factor + 1))
+    order = Window.partitionBy(by).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = merged.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy(by)))
+    picked = (F.min(F.when(F.col("upto") > F.floor((F.col("all") - 1) * p), F.col("value"))).alias(name) for name, p in shares.items())
+    return upto.groupBy(by).agg(F.sum("n").alias("n"), *picked)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.key_filter import KeyFilter
 from textloom.schema import SPLITS
 
 
@@ -56,17 +57,28 @@ def known_split(split: Column) -> Column:
     return F.when(split.isin(*SPLITS), split).otherwise("train")
 
 
+def can_be_shared(keyed: DataFrame, largest: str = SPLITS[0]) -> DataFrame:
+    """The rows of ``keyed`` (value, split) whose value may stand in two splits: all but those of the largest split that a
+    filter over the values of the others stops. Without a filter, which is made only up to a size, all rows."""
+    others = keyed.filter(F.col("split") != largest)
+    found = KeyFilter.build(others.select("value").distinct(), ["value"])
+    return keyed if found is None else others.unionByName(keyed.filter(F.col("split") == largest).filter(found.may_hold("value")))
+
+
 def shared_between_splits(rows: DataFrame, key: Column, name: str) -> DataFrame:
     """(kind, left_split, right_split, value) of each value of ``key`` that stands in two splits."""
-    held = rows.groupBy(key.alias("value")).agg(F.array_sort(F.collect_set(known_split(F.col("split")))).alias("splits")).filter(F.size("splits") > 1)
+    keyed = can_be_shared(rows.select(key.alias("value"), known_split(F.col("split")).alias("split")))
+    held = keyed.groupBy("value").agg(F.array_sort(F.collect_set("split")).alias("splits")).filter(F.size("splits") > 1)
     a, b = held.select("value", "splits", F.explode("splits").alias("left_split")), F.explode("splits").alias("right_split")
     return a.select("value", "left_split", b).filter("left_split < right_split").select(F.lit(name).alias("kind"), "left_split", "right_split", "value")
 
 
 def leaked_parents(rows: DataFrame) -> DataFrame:
     """Rows of test whose parent stands in another split; of several parents of one id the last by split counts."""
-    parents = rows.groupBy(F.col("id").alias("parent_id")).agg(F.max(known_split(F.col("split"))).alias("parent_split"))
     children = rows.filter(known_split(F.col("split")) == "test").filter("parent_id IS NOT NULL AND parent_id <> ''").select("id", "parent_id")
+    named = rows.select(F.col("id").alias("parent_id"), known_split(F.col("split")).alias("split"))
+    found = KeyFilter.build(children.select("parent_id").distinct(), ["parent_id"])
+    parents = (named if found is None else named.filter(found.may_hold("parent_id"))).groupBy("parent_id").agg(F.max("split").alias("parent_split"))
     return children.join(parents, "parent_id").filter("parent_split <> 'test'").select(F.lit("parent").alias("kind"), F.col("parent_split").alias("left_split"), F.lit("test").alias("right_split"), F.col("id").alias("value"))
 
 
@@ -108,7 +120,8 @@ def freeze_sample(rows: DataFrame, cell: Sequence[str], template: str, key: str,
     """``target`` rows of each cell, in turn from its templates: every template's first row comes before any second."""
     drawn = rows.withColumn("_digest", order_digest(seed, F.col(key))).withColumn("_template", order_digest(seed, F.col(template)))
     turn = F.row_number().over(Window.partitionBy(*cell, template).orderBy("_digest"))
-    return top_of_each(drawn.withColumn("_turn", turn), cell, [F.col("_turn"), F.col("_template"), F.col("_digest")], target).drop("_rank", "_turn", "_digest", "_template")
+    # A row behind ``target`` of its own template is behind as many in its cell, so partitions keep their first rows only.
+    return top_of_each(drawn.withColumn("_turn", turn).filter(F.col("_turn") <= target), cell, [F.col("_turn"), F.col("_template"), F.col("_digest")], target).drop("_rank", "_turn", "_digest", "_template")
 
 
 def shortfall(sample: DataFrame, cells: DataFrame, cell: Sequence[str], target: int) -> DataFrame:

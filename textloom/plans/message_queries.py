@@ -8,10 +8,12 @@ from textloom.functions import text as T
 from textloom.operators import audits as A
 from textloom.operators import classify as C
 from textloom.operators import labels as L
+from textloom.operators import manifest
 from textloom.operators import metrics as M
 from textloom.operators import splits as S
 from textloom.operators.allowlist import allowed_by_act
 from textloom.operators.heavy import most_frequent
+from textloom.places import shared_folder
 from textloom.plans.views import query, view
 from textloom.schema import LABELS
 
@@ -225,6 +227,31 @@ def prediction_agreement(spark, d):
     return M.prediction_agreement(a, b, "id").withColumn("agreement", F.round("agreement", 9))
 
 
+@query("prediction_agreement_topped_up", f"""
+WITH a AS (SELECT id, cust, row_number() OVER (ORDER BY msg_id % 10 < 9, id) AS k, count(*) FILTER (msg_id % 10 = 9) OVER () AS held FROM labelled),
+b AS (SELECT {RAW} AS z, [(cust % 7)::DOUBLE, (cust % 5)::DOUBLE, (cust % 4)::DOUBLE, 1.0::DOUBLE] AS y FROM a WHERE k <= greatest(held, 1000))
+SELECT count(*) AS n, round(avg((list_position(z, list_max(z)) = list_position(y, list_max(y)))::INT), 9) AS agreement FROM b""", "labelled")
+def prediction_agreement_topped_up(spark, d):
+    """A test set of a tenth, topped up from the rest to 1,000 rows where it is smaller."""
+    rows = view(spark, d, "labelled")
+    checked = M.topped_up(rows.filter("msg_id % 10 = 9"), rows.filter("msg_id % 10 < 9"), "id", 1000)
+    a = scores(checked).select("id", F.col("scores").alias("probs"))
+    b = checked.select("id", F.array(*((F.col("cust") % k).cast("double") for k in (7, 5, 4)), F.lit(1.0)).alias("probs"))
+    return M.prediction_agreement(a, b, "id").select("n", F.round("agreement", 9).alias("agreement"))
+
+
+@query("latency_over_time", """
+WITH s AS (SELECT event_type, sign(value)::INT AS s, CASE WHEN value <> 0 THEN ceil(ln(abs(value)) / ln(1.01::DOUBLE / 0.99::DOUBLE)) ELSE 0 END AS b, count(*) AS c FROM events WHERE value IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, s * 2 * pow(1.01::DOUBLE / 0.99::DOUBLE, b) / (1.01::DOUBLE / 0.99::DOUBLE + 1) AS v FROM s),
+u AS (SELECT *, sum(c) OVER (PARTITION BY event_type ORDER BY v) AS upto, sum(c) OVER (PARTITION BY event_type) AS n FROM v)
+SELECT event_type, max(n)::BIGINT AS n, round(min(v) FILTER (upto > floor((n - 1) * 0.5)), 6) AS p50, round(min(v) FILTER (upto > floor((n - 1) * 0.95)), 6) AS p95, round(min(v) FILTER (upto > floor((n - 1) * 0.99)), 6) AS p99 FROM u GROUP BY event_type""")
+def latency_over_time(spark, d):
+    """Sketches of each hour and action, written and merged over the whole span."""
+    folder = shared_folder(spark, "sketches")
+    M.quantile_buckets(view(spark, d, "events"), "ts", "value", "event_type").write.parquet(folder)
+    return M.merged_quantiles(spark.read.parquet(folder), "event_type").select("event_type", "n", *(F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")))
+
+
 @query("latency_summary", "WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS k, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT max(n) AS n, max(value) FILTER (k = floor((n - 1) * 0.5)) AS p50, max(value) FILTER (k = floor((n - 1) * 0.95)) AS p95, max(value) FILTER (k = floor((n - 1) * 0.99)) AS p99 FROM r")
 def latency_summary(spark, d):
     return M.latency_summary(view(spark, d, "events"), "value")
@@ -302,6 +329,22 @@ def dataset_manifest(spark, d):
     return A.content_manifest(view(spark, d, "splits"), "id", "text", "label")
 
 
+@query("manifest_changes", """
+WITH a AS (SELECT split, sha256(id || chr(31) || text || chr(31) || label) AS h, count(*) AS n FROM splits GROUP BY ALL),
+b AS (SELECT split, sha256(id || chr(31) || text || chr(31) || label) AS h, count(*) AS n FROM (SELECT split, id, CASE WHEN hash THEN text || '!' ELSE text END AS text, label FROM (SELECT *, right(id, 2) = '33' AS hash FROM splits) WHERE right(id, 3) <> '777') GROUP BY ALL)
+SELECT split, h, coalesce(a.n, 0) AS n_before, coalesce(b.n, 0) AS n_after FROM a FULL JOIN b USING (split, h) WHERE a.n IS DISTINCT FROM b.n""", "splits")
+def manifest_changes(spark, d):
+    """Two versions of the splits, one with changed and missing rows: which rows differ, from their stored trees."""
+    before, columns = view(spark, d, "splits").select("split", "id", "text", "label"), ("id", "text", "label")
+    after = before.filter(F.right("id", F.lit(3)) != "777").withColumn("text", F.when(F.right("id", F.lit(2)) == "33", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    trees = []
+    for rows in (before, after):
+        folder = shared_folder(spark, "manifest")
+        manifest.tree(manifest.leaves(rows, *columns)).write.parquet(folder)
+        trees.append(spark.read.parquet(folder))
+    return manifest.differing_rows(before, after, manifest.differing(*trees), *columns)
+
+
 @query("queue_view", "SELECT s.message_uri, s.action, s.created_at, m.body FROM store s JOIN messages m ON s.message_uri = m.msg_id WHERE s.action = 'REVIEW'", "store")
 def queue_view(spark, d):
     return A.queue_view(view(spark, d, "store"), view(spark, d, "messages"), ("REVIEW",)).select("message_uri", "action", "created_at", "body")

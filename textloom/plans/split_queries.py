@@ -214,6 +214,25 @@ def apply_corrections(spark, d):
     return L.apply_corrections(view(spark, d, "annotations"), merged).select("id", "label", "changed", "notes", "annotator")
 
 
+REPAIRS = "SELECT id, CASE length(id) % 3 WHEN 0 THEN 'FRAUD' WHEN 1 THEN 'AD' ELSE '' END AS label, 'r' || right(id, 1) AS reason FROM annotations"
+
+
+def repaired_sql(before: str, tag: str, annotator: str, overwrite: str) -> str:
+    return f"""SELECT a.id, CASE WHEN c THEN r.label ELSE a.label END AS label, CASE WHEN c THEN trim('[{tag}:' || r.reason || ' ' || old || '->' || r.label || '] ' || trim(a.notes)) ELSE a.notes END AS notes,
+  CASE WHEN c AND {overwrite} THEN '{annotator}' ELSE a.annotator END AS annotator
+FROM (SELECT *, upper(trim(label)) AS old FROM ({before})) a JOIN (SELECT b.id, b.label, b.reason FROM ({REPAIRS}) b) r ON r.id = a.id, LATERAL (SELECT r.label <> '' AND r.label <> a.old AS c)"""
+
+
+@query("apply_repairs", repaired_sql(repaired_sql("SELECT id, label, notes, annotator FROM annotations", "fix", "qa_fix_v1", "trim(a.annotator) = ''").replace("'FRAUD'", "'HARASS'"), "fix_v2", "audit_fixpass_en", "true"), "annotations")
+def apply_repairs(spark, d):
+    """Two passes over a pack: the first fills annotators, the second overwrites them; notes pile up in front."""
+    rows = view(spark, d, "annotations").select("id", "label", "notes", "annotator")
+    kind = F.length("id") % 3
+    decided = rows.select("id", F.when(kind == 0, "FRAUD").when(kind == 1, "AD").otherwise("").alias("label"), F.concat(F.lit("r"), F.right("id", F.lit(1))).alias("reason"))
+    first = L.apply_repairs(rows, decided.replace("FRAUD", "HARASS", subset=["label"])).drop("changed")
+    return L.apply_repairs(first, decided, "fix_v2", "audit_fixpass_en", overwrite=True).select("id", "label", "notes", "annotator")
+
+
 @query("apply_hand_labels", "SELECT l.id, coalesce(h.new, 'NEEDS_REVIEW') AS label, coalesce(h.source, '') AS note FROM labelled l LEFT JOIN (SELECT id, new, source FROM corrections WHERE source = 'agent') h ON l.id = h.id", "labelled", "corrections")
 def apply_hand_labels(spark, d):
     hand = view(spark, d, "corrections").filter("source = 'agent'").select("id", F.col("new").alias("label"), F.col("source").alias("note"))
