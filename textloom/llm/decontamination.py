@@ -385,7 +385,7 @@ def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
     return search
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.2, least_cosine: float = 0.65, least_answer: float = 0.2, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.25, least_cosine: float = 0.6, least_answer: float = 0.4, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, kind) for each document (doc_id, text) and benchmark item that it leaks.
 
     lcs is the share of the item's words in the longest common subsequence of the item and the words about a passage, answer the
