@@ -5,7 +5,7 @@ benchmark, with document frequencies of the whole corpus; words that many items
 the ``rank`` leading right singular vectors of a randomised singular value decomposition, which is fitted once, on a sample of
 the corpus and the items, and whose products are summed over the executors.
 
-The search is by cosine in the projection: windows of 16, 32 and 64 words of a document against the items' passages, all of
+The search is by cosine in the projection: windows of 32 and 64 words of a document against the items' passages, all of
 them, in bounded blocks of a matrix product. Only an item that a window meets is a candidate there; its words about the
 window decide. It is leaked verbatim if the longest common subsequence is long, and as a paraphrase if the subsequence has a
 lower length and enough of the item's answer is there. Counts of words that follow from these tests are asked first.
@@ -31,7 +31,7 @@ from textloom.llm._common import Scratch, numbered, read, text_of
 
 PASSAGE, STRIDE = 64, 32
 #: Windows of a text that are held against the items, each a half over the next of its size.
-WINDOWS = (16, 32, 64)
+WINDOWS = (32, 64)
 COSINES_AT_ONCE = 1 << 22
 _CUT = bytes.maketrans(b".,;:!?\"'()[]{}", b" " * 14)
 
@@ -235,23 +235,34 @@ def windows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low * step, np.minimum(high * step, len(ids)), (sums[high] - sums[low]).astype(np.float32)
 
 
-def retrieved(ids: np.ndarray, benchmark: Benchmark, least_cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def retrieved(ids: np.ndarray, benchmark: Benchmark, index: Index, least_cosine: float) -> tuple[np.ndarray, ...]:
     """(item, first, last, cosine) of the windows of a text whose cosine with a passage of the item reaches ``least_cosine``.
 
-    The search: every window against every passage of the block, in pieces of bounded size.
+    The search: every window against every passage of the block, in pieces of bounded size. Of what it finds, items that the
+    tests could not confirm, from the words of the whole text, are left out before the cosines are taken exactly, pair by
+    pair, so that their last digits don't depend on the block.
     """
     first, last, vectors = windows(ids, benchmark.projection)
     norms = np.linalg.norm(vectors, axis=1)
     some = np.flatnonzero(norms > 1e-6)
+    units = vectors[some] / norms[some, None]
     at_once = max(1, COSINES_AT_ONCE // max(1, benchmark.queries.shape[1]))
+    window, query = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for k in range(0, len(some), at_once):
-        piece = some[k : k + at_once]
-        cosines = (vectors[piece] @ benchmark.queries) / norms[piece, None]
-        window, query = np.nonzero(cosines >= least_cosine - 1e-3)
-        # Pair by pair, so that the last digits don't depend on the block.
-        exact = np.einsum("ij,ij->i", vectors[piece[window]], benchmark.queries.T[query], dtype=np.float64) / norms[piece[window]]
-        enough = exact >= least_cosine
-        yield benchmark.owner[query[enough]], first[piece[window[enough]]], last[piece[window[enough]]], exact[enough]
+        found = np.flatnonzero(units[k : k + at_once] @ benchmark.queries >= least_cosine - 1e-3)
+        window.append(some[k + found // benchmark.queries.shape[1]])
+        query.append(found % benchmark.queries.shape[1])
+    window, query = np.concatenate(window), np.concatenate(query)
+    if len(query):
+        words = np.unique(ids)
+        possible = np.zeros(len(benchmark.items), dtype=bool)
+        possible[index.candidates(words[words >= 0])] = True
+        kept = possible[benchmark.owner[query]]
+        window, query = window[kept], query[kept]
+    exact = np.einsum("ij,ij->i", vectors[window], benchmark.queries.T[query], dtype=np.float64) / norms[window]
+    enough = exact >= least_cosine
+    window = window[enough]
+    return benchmark.owner[query[enough]], first[window], last[window], exact[enough]
 
 
 def fit_projection(sample: DataFrame, benchmark: Benchmark, weight: np.ndarray, rank: int, seed: int) -> np.ndarray:
@@ -357,14 +368,9 @@ def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
             rows = []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
                 ids = word_ids(text, vocabulary)
-                hits = [np.concatenate(x) for x in zip(*retrieved(ids, block, least_cosine), strict=True)]
-                if not hits or not len(hits[0]):
-                    continue
-                known = np.unique(ids)
-                # What the tests below need of the whole text's words comes first; it follows from them.
-                possible = np.intersect1d(hits[0], index.candidates(known[known >= 0]))
+                hits = retrieved(ids, block, index, least_cosine)
                 starts = passage_starts(len(ids))
-                for number in possible.tolist():
+                for number in np.unique(hits[0]).tolist():
                     item, of = block.items[number], hits[0] == number
                     marks = np.zeros(len(starts) + 1, dtype=np.int64)
                     np.add.at(marks, np.searchsorted(starts, hits[1][of] - PASSAGE, "right"), 1)
@@ -385,7 +391,7 @@ def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
     return search
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.25, least_cosine: float = 0.6, least_answer: float = 0.4, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.25, least_cosine: float = 0.5, least_answer: float = 0.4, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, kind) for each document (doc_id, text) and benchmark item that it leaks.
 
     lcs is the share of the item's words in the longest common subsequence of the item and the words about a passage, answer the
