@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from textloom.operators import keyword_cascade
 from textloom.sources import readers
 
 
@@ -64,3 +65,13 @@ def test_bad_lines_have_the_number_of_their_line(spark, tmp_path, piece):
 def test_good_files_pass(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text(json.dumps({"id": "1"}) + "\n\n")
     assert readers.bad_lines(spark, str(tmp_path)).collect() == [] and readers.checked_messages_jsonl(spark, str(tmp_path)).count() == 1
+
+
+def test_word_lists_from_files_decide(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("zubereitung\n\n  neu im  angebot \nzubereitung\n")
+    (tmp_path / "b.txt").write_text("b-word\n")
+    words = readers.read_words(spark, str(tmp_path))
+    assert words == ("zubereitung", "neu im  angebot", "b-word")
+    rows = spark.createDataFrame([("1", "Zubereitung!"), ("2", "nothing else"), ("3", "you won mobile")], "id string, text string")
+    got = {r.id: r.label for r in keyword_cascade.keyword_hi(rows, ad_words=words).collect()}
+    assert got == {"1": "AD", "2": "NEEDS_REVIEW", "3": "FRAUD"}

@@ -14,20 +14,23 @@ from textloom.schema import NEEDS_REVIEW
 HI_FRAUD = (
     "won", "winner", "claim award", "lottery", "congratulations won", "number won", "number selected", "chevron", "coca cola prize", "yahoo lottery", "msn lottery", "hot diamond", "british diamond", "free car", "selected 650,000",
     "selected 700,000", "selected 365,000", "selected 500,000", "contact claim", "email claim", "claim contact", "claim email", "ur number chosen", "prize call rs", "/sms win rs", "rs /sms win", "cocacolaclaim", "msndept22",
-    "chevroinoil74", "britishdiamond", "cocacolaprize", "ticket to thailand", "extended till", "qualifiars", "6.50lac", "wfp", "what your number", "get15grams", "15grams silver", "prize worth", "cash prize", "prize winner",
-    "lucky draw winner", "lucky winner", "congratulations! you are lucky", "congratulations on winning", "you have been awarded", "you have been selected", "your number has been awarded", "your number has been selected",
-    "your mobile number has been awarded", "your mobile number has been selected",
+    "chevroinoil74", "britishdiamond", "cocacolaprize", "ticket to thailand", "extended till", "qualifiars", "6.50lac", "wfp", "what your number", "get15grams", "15grams silver", "won mobile", "won phone", "won laptop", "won bike", "won car", "won trip", "won cash", "won gold",
+    "won silver", "won diamond", "won watch", "won voucher", "prize worth", "cash prize", "prize winner",
+    "lucky draw winner", "lucky winner", "congratulations! you are lucky", "congratulations!u have won", "congratulations! you have won", "congratulations! u have won", "congratulations on winning", "you have been awarded",
+    "you have been selected", "your number has won", "your mobile number won", "your number has been awarded", "your number has been selected", "your mobile number has won", "your mobile number has been awarded",
+    "your mobile number has been selected",
 )
 HI_INTERACTIVE = r"reply within 24|reply.*24 hrs|reply.*24 hours|blyk|aircel.*free|all your replies.*free|all your interactions.*free|all your.*free.*blyk"
 HI_TRANSACTION = (
     "pnr", "train detail", "pnr status", "policy due", "premium due", "bill due", "request timed out", "code=", "tid=", "please complete registration", "settings delivered", "mobile office active", "recharge alert", "validity expired",
-    "data card expired", "activate 3g", "3g activate", "settings successfully", "thanks for being", "thanks for your", "you are enjoying", "pack expires", "you have been charged", "service has been activated", "info call 121", "dial 121",
+    "data card expired", "thanks for being a valued member", "thanks for being a member", "thanks for your support", "activate 3g", "3g activate", "Mobile Office active", "settings successfully", "thanks for being", "thanks for your", "you are enjoying", "pack expires", "you have been charged", "service has been activated", "info call 121", "dial 121",
     "balance information", "*121#", "*122*", "*123*5#",
 )
 HI_HARASS = (
     "work from home", "earn per day", "earn daily", "earn per month", "earn from home", "income per day", "income per month", "per month income", "part time income", "full time income", "rs. 15000", "rs. 30000", "rs 15000", "rs 30000",
-    "mobile/laptop repairing", "hi-tech se", "per month", "per day", "daily income", "monthly income", "cyberjob", "cyber job", "160by2", "sent 4rm", "sent from", "sent by", "send your resume", "email your resume", "homejobsindya",
+    "mobile/laptop repairing", "hi-tech se", "per month", "per day", "daily income", "monthly income", "work from home earn", "work from home&earn", "work from home & earn", "cyberjob", "cyber job", "160by2", "160by2.com", "sent 4rm", "sent from", "sent by", "send your resume", "email your resume", "homejobsindya",
     "home jobs", "work at home", "earn extra income", "business opportunity", "no investment", "free joining", "free training", "natural aloe vera", "bee honey", "network marketing", "mlm", "franchise opportunity",
+    "rs. 15000/ se rs. 30000/", "rs 15000/ se rs 30000/",
 )
 
 # Reasons of each label, the words of which decide. A list in a list: one of its words as well.
@@ -206,3 +209,19 @@ def counts_zh(text: Column, variant: int = 3) -> Column:
         value = F.struct(F.lit(label).alias("label"), F.lit(confidence).alias("confidence"), F.lit(why).alias("rationale"))
         out = F.when(when, value) if out is None else out.when(when, value)
     return out.otherwise(F.struct(F.lit(NEEDS_REVIEW).alias("label"), F.lit("低").alias("confidence"), F.lit("无法明确归类，需人工判断").alias("rationale")))
+
+
+# The label of bad messages, words of services that show such a label to be wrong, and what is said then.
+ZH_BLACK = "黑短信"
+ZH_SERVICE = ("快递", "包裹", "取件", "验证码", "还款", "账单", "到账")
+ZH_MISLABELLED = "原标签为黑短信但内容为正常服务: "
+
+
+def counts_zh_of(rows: DataFrame, text: str, original: str, *keep: str, variant: int = 3) -> DataFrame:
+    """(*keep, label, confidence, rationale) by ``counts_zh``; where a text of a service was labelled as bad before and isn't so by
+    its words, the rationale says that. The struct passes a generator, so the plan holds its conditions once.
+    """
+    found = rows.select(*keep, F.col(text).alias("_text"), F.col(original).alias("_original"), F.inline(F.array(counts_zh(F.col(text), variant))))
+    wrong = (F.col("_original") == ZH_BLACK) & any_of(F.coalesce("_text", F.lit("")), ZH_SERVICE) & F.col("label").isin("TRANSACTION", NEEDS_REVIEW)
+    why = F.when(wrong, F.concat(F.lit(ZH_MISLABELLED), "rationale")).otherwise(F.col("rationale"))
+    return found.select(*keep, "label", "confidence", why.alias("rationale"))

@@ -240,6 +240,12 @@ def read_corrections(spark: SparkSession, path: str | list[str], priorities: Map
     return rows.withColumn("priority", F.coalesce(known[F.col("source")], F.lit(0)))
 
 
+def read_words(spark: SparkSession, path: str | list[str]) -> tuple[str, ...]:
+    """A word list, a word a line, for the cascades that take one; blank lines and repeats are left out, the order is by file and line."""
+    rows = spark.read.text(path).select(F.trim("value").alias("word"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    return tuple(dict.fromkeys(r["word"] for r in rows.filter("word <> ''").orderBy("file", "n").toLocalIterator()))
+
+
 def read_eval_samples(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a JSON array or of an object with ``samples``; body or text, expectedCategory or label; blanks are null."""
     sample = "struct<id string, sender string, body string, text string, expectedCategory string, label string, expectedAction string>"
