@@ -65,7 +65,7 @@ def random_turns(seed, conversations, most):
     for conv in range(conversations):
         for turn in range(rng.randrange(most + 1)):
             role = rng.choice(["user", "assistant", "user", "assistant", "system", "tool", ""])
-            rows.append((conv, turn * 2 + rng.choice([0, 1]), role, rng.choice(["Yes.", "No", "", " \n", f"What {turn}?", "é。", "fine! \t"]), 7, "x"))
+            rows.append((conv, turn * 2 + rng.choice([0, 1]), role, rng.choice(["Yes.", "No", "", " \n", f"What {turn}?", "é。", "fine! \t", "end.\u2028", "end.\x85"]), 7, "x"))
     return rows
 
 

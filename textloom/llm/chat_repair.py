@@ -202,7 +202,7 @@ def ordered_turns(turns: DataFrame, scratch: Scratch) -> DataFrame:
     rows = rows.withColumn("k1", F.xxhash64("role", "text")).withColumn("k2", F.xxhash64("text", "role")).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("nameless"), F.col("conv"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("k1"), F.col("k2"), F.col("row")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("row").withColumn("n", F.monotonically_increasing_id())
-    last = F.regexp_extract(F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), r"(.)$", 1)
+    last = F.right(F.rtrim(F.translate("text", "\t\n\x0b\x0c\r", "     ")), F.lit(1))
     blank = ~F.col("text").rlike(WORDS)
     rows = scratch.table(rows.withColumn("blank", blank).withColumn("cut", ~last.isin(".", "!", "?")), "turns")
     keys = ["nameless", "conv", "k1", "k2"]

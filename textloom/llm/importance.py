@@ -33,8 +33,6 @@ BLOCK = 1 << 20
 
 _DELIMITERS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _PLAIN = bytes(32 if b in _DELIMITERS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words in the regular expressions of Java and RE2, on texts whose A-Z are lower-cased.
-WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @lru_cache(maxsize=1)
