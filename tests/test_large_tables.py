@@ -34,3 +34,12 @@ def test_a_larger_table_is_dealt_over_more_tasks_by_its_key(spark, monkeypatch):
     assert orders.rdd.getNumPartitions() == -(-views.size_of(spark, "/root/testdata/sf0.001/orders.parquet") // 4096) > 4
     labelled = views.view(spark, "/root/testdata/sf0.001", "labelled")
     assert labelled.count() == 1500 and labelled.select("msg_id").distinct().count() == 1500
+
+
+def test_ngrams_are_counted_where_they_arise(spark):
+    rows = spark.createDataFrame([(k % 40, f"code {k} code") for k in range(200)], "id long, text string")
+    words = T.ngram_rows(rows, F.col("text")).groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(50)
+    counts = T.ngram_counts(rows, "text", "id", words, at_once=10)
+    wanted = T.ngram_rows(rows, F.col("text"), "id").join(words, "gram").groupBy("id", "gram").agg(F.count("*").alias("n"))
+    assert counts.rdd.getNumPartitions() == 20
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, wanted.collect()))
