@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans import views
+from textloom.plans import file_queries, views
 
 
 def windows(raw, sizes=(2, 3)):
@@ -43,3 +43,10 @@ def test_ngrams_are_counted_where_they_arise(spark):
     wanted = T.ngram_rows(rows, F.col("text"), "id").join(words, "gram").groupBy("id", "gram").agg(F.count("*").alias("n"))
     assert counts.rdd.getNumPartitions() == 20
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_one_file_in_order_is_written_without_a_sort_in_its_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"))
+    got = file_queries.in_order(spark, rows, "id", 5)
+    assert [r.id for r in got.coalesce(1).collect()] == list(range(1000))
+    assert "Sort" not in got.coalesce(1)._jdf.queryExecution().executedPlan().toString()

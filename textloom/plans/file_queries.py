@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.places import rename_parts, shared_folder
-from textloom.plans.views import query, view
+from textloom.places import names_in, rename_parts, shared_folder
+from textloom.plans.views import pieces, query, view
 from textloom.sources import readers, writers
 
 
@@ -107,13 +110,24 @@ def read_csv_encoding_fallback(spark, d):
     return readers.read_csv_encoding_fallback(spark, folder).select("id", "text")
 
 
+def in_order(spark, rows, key: str, n: int):
+    """``rows`` in the order of ``key`` from the first partition to the last, sorted and stored in ``n`` parts.
+
+    Whoever reads them through one task, for one file, sorts nothing there and holds a batch of rows at a time.
+    """
+    folder = shared_folder(spark, "in-order")
+    rows.repartitionByRange(n, key).sortWithinPartitions(key).write.parquet(folder)
+    parts = sorted(name for name in names_in(spark, folder) if name.startswith("part-"))
+    return reduce(DataFrame.union, (spark.read.schema(rows.schema).parquet(f"{folder}/{part}") for part in parts))
+
+
 @query("bad_message_lines", "SELECT (row_number() OVER (ORDER BY o_orderkey)) * 3 - 1 AS line, '{' || o_orderkey AS text FROM orders")
 def bad_message_lines(spark, d):
     """One file of orders, for each a good line, a bad one and a blank one: the numbers of the bad lines."""
     folder, key = shared_folder(spark, "bad"), F.col("o_orderkey").cast("string")
     good = F.to_json(F.struct(key.alias("id"), F.lit("t").alias("text")))
-    lines = view(spark, d, "orders").orderBy("o_orderkey").select(F.concat_ws("\n", good, F.concat(F.lit("{"), key), F.lit(" ")).alias("value"))
-    lines.coalesce(1).write.text(folder)
+    lines = view(spark, d, "orders").select("o_orderkey", F.concat_ws("\n", good, F.concat(F.lit("{"), key), F.lit(" ")).alias("value"))
+    in_order(spark, lines, "o_orderkey", pieces(spark, f"{d}/orders.parquet", 8 << 20)).select("value").coalesce(1).write.text(folder)
     return readers.bad_lines(spark, folder).select("line", "text")
 
 
