@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans import file_queries, views
+from textloom.plans import file_queries, source_queries, views
 
 
 def windows(raw, sizes=(2, 3)):
@@ -50,3 +50,13 @@ def test_one_file_in_order_is_written_without_a_sort_in_its_task(spark):
     got = file_queries.in_order(spark, rows, "id", 5)
     assert [r.id for r in got.coalesce(1).collect()] == list(range(1000))
     assert "Sort" not in got.coalesce(1)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_batches_of_several_files_are_whole(spark, tmp_path):
+    folder = str(tmp_path / "f")
+    for rows in (spark.range(100), spark.range(100, 102), spark.range(0), spark.range(200, 260)):
+        source_queries.write_files(spark, rows, folder, 3, "id")
+    assert source_queries.parts_in(spark, folder) == 12
+    stream, seen = spark.readStream.schema("id long").option("maxFilesPerTrigger", 3).parquet(folder), []
+    stream.writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r.id for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [list(range(100)), [100, 101], [], list(range(200, 260))]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import synthesis
 from textloom.operators.allowlist import stream_allowed_by_act
-from textloom.places import shared_folder
+from textloom.places import names_in, shared_folder, size_of
 from textloom.plans.message_queries import ROUTED, purchases_and_clicks
 from textloom.plans.views import query, view
 from textloom.sources import readers
@@ -113,6 +113,18 @@ def deliveries(spark, d):
     return events.unionByName(events.filter("event_id % 10 = 0"))
 
 
+def write_files(spark, rows, folder: str, files: int, key: str) -> None:
+    """Adds ``rows`` to a folder as exactly ``files`` files, by the hash of ``key``: a stream of so many files at once takes them as one batch."""
+    wanted = parts_in(spark, folder) + files
+    rows.repartition(files, key).write.mode("append").parquet(folder)
+    for _ in range(wanted - parts_in(spark, folder)):  # a file that no row fell to isn't written
+        rows.limit(0).coalesce(1).write.mode("append").parquet(folder)
+
+
+def parts_in(spark, folder: str) -> int:
+    return sum(name.startswith("part-") for name in names_in(spark, folder))
+
+
 KEYS = "(SELECT DISTINCT user_id::VARCHAR || '|' || (epoch_us(ts) // 1000)::VARCHAR || '|' || event_type || '|' || CASE WHEN event_id % 2 = 0 THEN '1' ELSE '' END AS k FROM events)"
 
 
@@ -123,9 +135,10 @@ def stream_idempotent(spark, d):
     rows = deliveries(spark, d)
     first, last = rows.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     part, folder = F.floor((F.unix_micros("ts") - first) * 4 / F.lit(max(1, last - first + 1))), shared_folder(spark, "deliveries")
+    files = max(1, size_of(spark, f"{d}/events.parquet") // (8 << 20))
     for k in range(4):
-        rows.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        write_files(spark, rows.filter(part == k), folder, files, "event_id")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
     return finished(spark, intake.first_deliveries(stream), "first").select("deliver_key")
 
 
