@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from textloom.operators.classify import RULES, Rule, match_rules
-from textloom.operators.rule_table import RuleTable, fold, literal_choices, match_rule_table, needed_literals
+from textloom.operators.rule_table import RuleTable, fold, join_rule_table, literal_choices, match_rule_table, needed_literals
 from textloom.plans.rule_queries import SPOKEN
 
 
@@ -56,3 +56,15 @@ def test_rules_that_need_no_literal_always_run(spark):
     rows = spark.createDataFrame([("77",), ("abc",)], "text string")
     table = RuleTable(spark, [rule(1, "[0-9]+"), rule(2, "[a-z]+", 5)])
     assert [r[0] for r in rows.select(table.match(F.col("text"))).collect()] == [["R1"], ["R2"]]
+
+
+def test_a_table_of_rules_joined_equals_each_expression_by_itself(spark):
+    rng = random.Random(9)
+    pieces = ["win", "Prize", r"\s+", "[0-9]{2,3}", "(?:now|LATER)", "free?", "(?:a|[b-d])", "短信", r"\d", "ı", ".{0,5}", r"\.", "(?:x|)"]
+    rules = [rule(k, "".join(rng.choices(pieces, k=rng.randrange(1, 5))), rng.randrange(5)) for k in range(300)]
+    words = ["Win", "prize", "12", "345", "NOW", "later", "fre", "Free", "a", "c", "短信", "I", ".", "x", "  "]
+    rows = spark.createDataFrame([(k, "".join(rng.choices(words + [" "], k=rng.randrange(12)))) for k in range(200)] + [(200, None)], "k long, text string")
+    table = spark.createDataFrame([(r.id, r.pattern, r.priority, k) for k, r in enumerate(rules)], "id string, pattern string, priority int, seq int")
+    wanted = {r.k: r.ids for r in rows.select("k", match_rules(F.col("text"), tuple(rules)).alias("ids")).collect()} | {200: None}
+    assert {r.k: r.rule_ids for r in join_rule_table(rows, table, "text", "k").collect()} == wanted
+    assert {len(r.rule_ids) for r in join_rule_table(rows.limit(3), table.limit(0), "text", "k").collect()} == {0}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import classify as C
-from textloom.operators.rule_table import match_rule_table
+from textloom.operators.rule_table import join_rule_table
 from textloom.places import shared_folder
 from textloom.plans.message_queries import MATCHES
 from textloom.plans.views import VIEWS, query, view
@@ -48,11 +48,11 @@ def rule_file(spark, d) -> str:
     """A folder of rule files: the fixed rules, and for each part one that finds orders of its number; every seventh is disabled."""
     fixed = spark.createDataFrame([(r.id, r.language, r.type, r.priority, r.pattern, r.category, r.action, r.reason, True) for r in C.RULES], "id string, language string, type string, priority int, pattern string, categoryHint string, action string, reasonCode string, enabled boolean")
     part = F.col("p_partkey").cast("string")
-    parts = view(spark, d, "part").select(F.concat(F.lit("PART_"), part).alias("id"), F.lit("en").alias("language"), F.lit("TRANSACTION_HINT").alias("type"), F.lit(1).alias("priority"), F.concat(F.lit(r"order\s+"), part, F.lit(r"\b")).alias("pattern"), F.lit("TRANSACTION").alias("categoryHint"), F.lit("INBOX").alias("action"), F.lit(None).cast("string").alias("reasonCode"), F.when(F.col("p_partkey") % 7 == 0, False).alias("enabled"))
+    parts = view(spark, d, "part").select(F.concat(F.lit("PART_"), part).alias("id"), F.lit("en").alias("language"), F.lit("TRANSACTION_HINT").alias("type"), F.lit(1).alias("priority"), F.concat(F.lit(r"order\s+"), part, F.lit(r"\b")).alias("pattern"), F.lit("TRANSACTION").alias("categoryHint"), F.lit("INBOX").alias("action"), F.lit(None).cast("string").alias("reasonCode"), F.when(F.col("p_partkey") % 7 == 0, False).alias("enabled"), "p_partkey")
     folder = shared_folder(spark, "rules")
     fields = F.struct(*fixed.columns)
-    for rows in (fixed, parts):
-        rows.groupBy(F.spark_partition_id()).agg(F.collect_list(fields).alias("rules")).select(F.lit("2.0.0").alias("version"), "rules").write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    for rows, at in ((fixed.coalesce(1), F.lit("fixed")), (parts, F.floor(F.col("p_partkey") / 10_000))):  # 10,000 rules a file at most
+        rows.groupBy(at).agg(F.collect_list(fields).alias("rules")).select(F.lit("2.0.0").alias("version"), "rules").write.mode("append").option("maxRecordsPerFile", 1).json(folder)
     return folder
 
 
@@ -67,7 +67,9 @@ def read_rules(spark, d):
 SELECT msg_id, array_to_string(list_concat({MATCHES}, CASE WHEN k IN (SELECT p_partkey FROM part WHERE p_partkey % 7 <> 0) THEN ['PART_' || k] ELSE [] END), ',') AS rule_ids
 FROM (SELECT *, nullif(regexp_extract(body, '(?i)order\s+([0-9]+)', 1), '')::BIGINT AS k FROM messages)""", "messages")
 def match_rule_table_(spark, d):
-    """All rules of the files over all messages; texts are normalized first."""
-    rules = readers.rules_of(readers.read_rules(spark, rule_file(spark, d)))
+    """All rules of the files over all messages; texts are normalized first. Of equal priority the fixed rules' order holds."""
+    rules, order = readers.read_rules(spark, rule_file(spark, d)), F.array(*(F.lit(r.id) for r in C.RULES))
+    place = F.array_position(order, F.col("id"))
+    rules = rules.withColumn("seq", F.when(place > 0, place).otherwise(len(C.RULES) + 1))
     rows = view(spark, d, "messages").select("msg_id", T.normalize_text(F.col("body")).alias("text"))
-    return match_rule_table(rows, rules, "text").select("msg_id", F.array_join("rule_ids", ",").alias("rule_ids"))
+    return join_rule_table(rows, rules, "text", "msg_id").select("msg_id", F.array_join("rule_ids", ",").alias("rule_ids"))
