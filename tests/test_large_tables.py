@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.plans import file_queries, source_queries, views
+from textloom.plans import file_queries, source_queries, split_queries, views
 
 
 def windows(raw, sizes=(2, 3)):
@@ -60,3 +60,10 @@ def test_batches_of_several_files_are_whole(spark, tmp_path):
     stream, seen = spark.readStream.schema("id long").option("maxFilesPerTrigger", 3).parquet(folder), []
     stream.writeStream.foreachBatch(lambda batch, k: seen.append(sorted(r.id for r in batch.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert seen == [list(range(100)), [100, 101], [], list(range(200, 260))]
+
+
+def test_validation_deals_rows_over_more_tasks_as_the_table_grows(spark, monkeypatch):
+    monkeypatch.setattr(views.pieces, "__defaults__", (4096,))
+    errors = split_queries.validate_messages(spark, "/root/testdata/sf0.001")
+    n = views.pieces(spark, "/root/testdata/sf0.001/orders.parquet")
+    assert n > 4 and "hashpartitioning(id#" in (plan := errors._jdf.queryExecution().executedPlan().toString()) and f", {n})" in plan

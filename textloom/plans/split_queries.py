@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.operators import labels as L
 from textloom.operators import splits as S
-from textloom.plans.views import query, view
+from textloom.plans.views import pieces, query, view
 from textloom.schema import LABELS
 
 IN_LABELS = "('TRANSACTION', 'AD', 'HARASS', 'FRAUD')"
@@ -182,8 +182,9 @@ SELECT id, e AS error FROM (SELECT id, unnest([CASE WHEN text = '' THEN 'text is
 FROM (SELECT a.id, a.text, a.label, a.template_group, s.split FROM annotations a JOIN splits s ON a.id = s.id)) WHERE e IS NOT NULL
 UNION ALL SELECT id, 'duplicate id: ' || id FROM (SELECT id, row_number() OVER (PARTITION BY id) AS k FROM splits) WHERE k > 1""", "annotations", "splits")
 def validate_messages(spark, d):
-    rows = view(spark, d, "annotations").join(view(spark, d, "splits").select("id", "split", "sender_group"), "id").withColumn("source_license", F.lit(""))
-    return L.validation_errors(rows)
+    n = pieces(spark, f"{d}/orders.parquet")  # a fixed number of rows for a task, whatever their sum
+    rows, splits = view(spark, d, "annotations").repartition(n, "id"), view(spark, d, "splits").select("id", "split", "sender_group").repartition(n, "id")
+    return L.validation_errors(rows.join(splits, "id").withColumn("source_license", F.lit("")))
 
 
 @query("label_domain_check", "SELECT label, count(*) AS n FROM annotations WHERE label NOT IN ('TRANSACTION', 'AD', 'HARASS', 'FRAUD', 'NEEDS_REVIEW') GROUP BY label", "annotations")
