@@ -69,3 +69,16 @@ def test_odd_rows(spark):
     got = train_descent(rows, 3, 2, rounds=3)
     assert np.abs(got - plain(np.array([[0, 0, 0], [0, 2.0, 0], [0, 0, 0]]), np.array([0, 1, 1]), 2, 3)).max() < 1e-12
     assert train_descent(rows.limit(0), 3, 2, rounds=3).shape == (4, 2)
+
+
+def test_blocks_hold_rows_exactly_and_in_less_room(spark, monkeypatch):
+    rows = [(list(range(k % 7)), [float(j % 3) for j in range(k % 7)], k % 4) for k in range(50)] + [([70_000], [0.1], 1), ([], [], 0), ([3], [-2.0], 2)]
+    monkeypatch.setattr(descent, "BLOCK", 8)
+    table = spark.createDataFrame(rows, "at array<int>, value array<double>, label int").coalesce(1)
+    got = []
+    for batch in descent.blocks(table).toArrow().to_batches():
+        for row, at, value, label in descent._unpacked(batch):
+            got += [(at[row == k].tolist(), value[row == k].tolist(), int(label[k])) for k in range(len(label))]
+    assert got == rows
+    small = descent.blocks(table.limit(48)).collect()
+    assert all(r.types[1:] == ["|u1", "|u1", "|u1"] for r in small) and sum(r.rows for r in small) == 48
