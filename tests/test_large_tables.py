@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.plans import file_queries, source_queries, split_queries, views
+from textloom.sources import readers, writers
 
 
 def windows(raw, sizes=(2, 3)):
@@ -67,3 +68,30 @@ def test_validation_deals_rows_over_more_tasks_as_the_table_grows(spark, monkeyp
     errors = split_queries.validate_messages(spark, "/root/testdata/sf0.001")
     n = views.pieces(spark, "/root/testdata/sf0.001/orders.parquet")
     assert n > 4 and "hashpartitioning(id#" in (plan := errors._jdf.queryExecution().executedPlan().toString()) and f", {n})" in plan
+
+
+def test_texts_in_folders_are_listed_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    """The same files, names and texts as Spark's own reader gives, by tasks of a bounded number of files."""
+    monkeypatch.setattr(readers, "FILES_AT_ONCE", 30)
+    root = tmp_path / "é x%20"
+    rows = spark.createDataFrame([(k // 50, ("ham", "spam", "other")[k % 3], k, f"  té\n{k} " if k % 7 else " ") for k in range(400)], "part long, label string, name long, text string")
+    writers.write_labelled_text_dirs(rows, str(root))
+    (root / "_hidden" / "ham").mkdir(parents=True)
+    (root / "a" / "b=1" / "_c=2" / "spam").mkdir(parents=True)
+    for path in ("_hidden/ham/1.txt", "0/ham/.2.txt", "0/ham/_3.txt", "0/ham/4.csv", "a/b=1/_c=2/spam/5 ü.txt", "ham.txt"):
+        (root / path).write_bytes(b"x\xff")
+    got = readers.read_labelled_text_dirs(spark, str(root))
+    assert got.rdd.getNumPartitions() == -(-402 // 30)
+    found = sorted(map(tuple, got.collect()))
+    with monkeypatch.context() as m:
+        m.setattr(readers, "mounted", lambda *a: None)
+        assert found == sorted(map(tuple, readers.read_labelled_text_dirs(spark, str(root)).collect()))
+    assert len(found) == 1 + sum(k % 3 < 2 and k % 7 > 0 for k in range(400))
+    assert all(text.startswith("té\n") for _, _, text in found if text[0] == "t")
+    (tmp_path / "empty").mkdir()
+    assert readers.read_labelled_text_dirs(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_samples_may_be_spread_over_lines(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[\n {"id": "1",\n  "body": "x"}\n]\n')
+    assert [(r.id, r.body) for r in readers.read_eval_samples(spark, str(tmp_path)).collect()] == [("1", "x")]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from functools import reduce
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.places import shared_folder
+from textloom.places import mounted, shared_folder
 from textloom.schema import ANNOTATION_FIELDS, MESSAGE, SPLITS
 
 BAD = "_corrupt_record"
@@ -184,11 +187,82 @@ def read_labelled_tsv(spark: SparkSession, path: str, labels: Sequence[str], bla
     return rows.filter(F.col("label").isin(*labels) & (F.col("text") != ""))
 
 
+#: What is dropped at both ends of a text that has a file of its own, as Python's ``strip`` does.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+#: Files that one task reads.
+FILES_AT_ONCE = 20_000
+_FILE = pa.schema([(c, pa.string()) for c in ("file", "label", "value")])
+_ENTRY = "folder string, name string, is_folder boolean"
+
+
+def text_files(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, name) of all ``*.txt`` below ``root``, a folder of a mounted file system; hidden ones are left out as Spark does.
+
+    Folders are listed in tasks, one level after the other, and names go from there to a table: the driver sees none.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for above, inner in zip(batch["folder"].to_pylist(), batch["name"].to_pylist(), strict=True):
+                folder, out = os.path.join(above, inner), []
+                with os.scandir(folder) as entries:
+                    for entry in entries:
+                        hidden = entry.name.startswith((".", "_")) and not (entry.name.startswith("_") and "=" in entry.name)
+                        if not hidden and ((inside := entry.is_dir()) or entry.name.endswith(".txt")):
+                            out.append((folder, entry.name, inside))
+                        if len(out) == 10_000:
+                            yield _entries(out)
+                            out = []
+                yield _entries(out)
+
+    table, level, found = shared_folder(spark, "text-files"), 0, spark.createDataFrame([(root.rstrip("/") or "/", "", True)], _ENTRY)
+    while n := found.count():
+        dealt = found.repartition(min(n, 8 * spark.sparkContext.defaultParallelism))
+        dealt.select("folder", "name").mapInArrow(listed, _ENTRY).write.parquet(f"{table}/level={level}")
+        found = spark.read.schema(_ENTRY).parquet(f"{table}/level={level}").filter("is_folder")
+        level += 1
+    return spark.read.schema(_ENTRY).parquet(*(f"{table}/level={k}" for k in range(level))).filter("NOT is_folder").select("folder", "name")
+
+
+def _uri(path: str) -> str:
+    """A path as Spark names it: only what no URI may hold is escaped."""
+    return "file:" + re.sub(r"[^A-Za-z0-9_\-!.~'()*,;:$&+=/@\x80-\U0010ffff]|[\x80-\xa0\s]", lambda m: quote(m[0]), path)
+
+
+def _entries(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], names=["folder", "name", "is_folder"])
+
+
 def read_labelled_text_dirs(spark: SparkSession, folder: str, labels: Sequence[str] = ("ham", "spam")) -> DataFrame:
-    """(file, label, text): a message a file, labelled by its folder."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder)
-    path = F.col("_metadata.file_path")
-    return rows.select(path.alias("file"), F.element_at(F.split(path, "/"), -2).alias("label"), F.trim("value").alias("text")).filter(F.col("label").isin(*labels) & (F.col("text") != ""))
+    """(file, label, text): a message a file, labelled by its folder.
+
+    On a mounted file system tasks list the folders and read the files, ``FILES_AT_ONCE`` each, so that neither the driver's
+    memory nor the number of tasks follows the files. Elsewhere Spark's reader lists them.
+    """
+    root, schema = mounted(spark, folder), "file string, label string, value string"
+    if root is None:
+        rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+        path = F.col("_metadata.file_path")
+        rows = rows.select(path.alias("file"), F.element_at(F.split(path, "/"), -2).alias("label"), "value")
+    else:
+
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out, size = [], 0
+                for above, name in zip(batch["folder"].to_pylist(), batch["name"].to_pylist(), strict=True):
+                    above = above.rstrip("/")
+                    with open(f"{above}/{name}", "rb") as file:
+                        text = file.read().decode(errors="replace")
+                    out.append((_uri(f"{above}/{name}"), above.rsplit("/", 1)[-1], text))
+                    if (size := size + len(text)) > 4 << 20:
+                        yield pa.RecordBatch.from_pylist([dict(zip(("file", "label", "value"), row, strict=True)) for row in out], _FILE)
+                        out, size = [], 0
+                yield pa.RecordBatch.from_pylist([dict(zip(("file", "label", "value"), row, strict=True)) for row in out], _FILE)
+
+        files = text_files(spark, root)
+        rows = files.repartition(max(spark.sparkContext.defaultParallelism, -(-files.count() // FILES_AT_ONCE))).mapInArrow(opened, schema)
+    return rows.select("file", "label", F.trim("value", F.lit(BLANKS)).alias("text")).filter(F.col("label").isin(*labels) & (F.col("text") != ""))
 
 
 def read_vendor_corpus(rows: DataFrame, text: Sequence[str], label: Sequence[str], recode: Mapping[str, str]) -> DataFrame:
@@ -249,7 +323,7 @@ def read_words(spark: SparkSession, path: str | list[str]) -> tuple[str, ...]:
 def read_eval_samples(spark: SparkSession, path: str) -> DataFrame:
     """Samples of a JSON array or of an object with ``samples``; body or text, expectedCategory or label; blanks are null."""
     sample = "struct<id string, sender string, body string, text string, expectedCategory string, label string, expectedAction string>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     both = F.coalesce(F.from_json("value", f"struct<samples array<{sample}>>")["samples"], F.from_json("value", f"array<{sample}>"))
     rows = whole.select(F.posexplode(both).alias("i", "s")).select("i", "s.*")
 
