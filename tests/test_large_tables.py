@@ -2,10 +2,13 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators import candidates
 from textloom.plans import file_queries, source_queries, split_queries, views
+from textloom.schema import LABELS
 from textloom.sources import readers, writers
 
 
@@ -95,3 +98,32 @@ def test_texts_in_folders_are_listed_and_read_in_tasks(spark, tmp_path, monkeypa
 def test_samples_may_be_spread_over_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('[\n {"id": "1",\n  "body": "x"}\n]\n')
     assert [(r.id, r.body) for r in readers.read_eval_samples(spark, str(tmp_path)).collect()] == [("1", "x")]
+
+
+@pytest.mark.parametrize("at_once", [1 << 20, 7])
+def test_ngram_totals_and_table_equal_plain_windows(spark, monkeypatch, at_once):
+    """Counted some texts at a time, once for each different text; nothing runs again when a model reads the table."""
+    monkeypatch.setattr(T, "AT_ONCE", at_once)
+    texts = ["é\n\r x" * 50, "", None, "x", "ab", "abcabc", "\x00\x00\x00", "code 1", "code 1"] * 3
+    rows = spark.createDataFrame([(t, ("AD", "FRAUD", "NEEDS_REVIEW")[k % 3], k) for k, t in enumerate(texts)], "text string, label string, k long").coalesce(2)
+    wanted = {}
+    for t in texts:
+        for gram in windows((t or "").encode()):
+            wanted[gram] = wanted.get(gram, 0) + 1
+    totals = T.ngram_totals(rows, "text")
+    assert dict(map(tuple, totals.collect())) == wanted
+    words = totals.orderBy(F.desc("n"), "gram").limit(20).persist()
+    names, table = [r.gram for r in words.collect()], candidates.ngram_table(rows, words)
+    got = {r.k: (r.text, r.label_index, r.features) for r in table.collect()}
+    assert sorted(got) == [k for k in range(len(texts)) if k % 3 < 2] and "MapInArrow" not in table._jdf.queryExecution().executedPlan().toString()
+    for k, (text, at, features) in got.items():
+        held = windows((text or "").encode())
+        assert text == texts[k] and at == LABELS.index(("AD", "FRAUD")[k % 3]) and features.toArray().tolist() == [held.count(g) for g in names]
+    assert candidates.ngram_table(rows, words.limit(0)).count() == len(got)
+
+
+def test_equal_rows_are_fitted_once_with_their_number(spark):
+    rows = spark.createDataFrame([("win now", "FRAUD")] * 30 + [("sale", "AD")] * 5 + [("sale", "FRAUD"), ("x", "HARASS")], "text string, label string")
+    model, table = candidates.train_ngram_logistic(rows, T.ngram_totals(rows, "text").limit(10), iterations=5)
+    assert sorted((r.text, r.label, r.weight) for r in table.collect()) == [("sale", "AD", 5), ("sale", "FRAUD", 1), ("win now", "FRAUD", 30), ("x", "HARASS", 1)]
+    assert model.summary.totalIterations > 0

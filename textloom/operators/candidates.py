@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.operators.cascade import cascade
 from textloom.operators.splits import order_digest, top_of_each
+from textloom.places import shared_folder
 from textloom.schema import LANGUAGES, NEEDS_REVIEW
 
 # Hints of harassment, and words by which Indonesian rows are suggested.
@@ -93,26 +99,51 @@ def representative_sample(rows: DataFrame, order: str, n: int, text: str = "text
 
 
 def ngram_table(rows: DataFrame, vocabulary: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
-    """``rows`` that have a trainable label, with ``features`` (counts of the vocabulary's byte n-grams) and ``label_index``."""
-    from pyspark.ml.feature import CountVectorizerModel
+    """``rows`` that have a trainable label, with ``features`` (counts of the vocabulary's byte n-grams) and ``label_index``.
+
+    Counts are made once, some texts at a time, and kept in a table, since who fits a model reads them more than once.
+    """
+    from pyspark.ml.linalg import VectorUDT
 
-    from textloom.functions.text import byte_ngrams
+    from textloom.functions.text import gram_code, window_codes
     from textloom.schema import LABELS
 
-    known = rows.filter(F.col(label).isin(*LABELS)).withColumn("_grams", byte_ngrams(F.col(text)))
-    words = [r["gram"] for r in vocabulary.toLocalIterator()]  # a fixed number of n-grams
-    vectors = CountVectorizerModel.from_vocabulary(words, inputCol="_grams", outputCol="features").transform(known)
+    spark = rows.sparkSession
+    known = rows.filter(F.col(label).isin(*LABELS))
     at = F.array_position(F.array(*(F.lit(x) for x in LABELS)), F.col(label)).cast("double") - 1
-    return vectors.withColumn("label_index", at).drop("_grams")
+    codes = np.array([gram_code(r["gram"]) for r in vocabulary.toLocalIterator()], np.int32)  # a fixed number of n-grams
+    size, order = len(codes), np.argsort(codes, kind="stable")
+    ordered, names = codes[order], [*known.columns, "label_index"]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, row, code in window_codes(batch[text]):
+                place = np.minimum(np.searchsorted(ordered, code), max(0, size - 1))
+                held = ordered[place] == code if size else np.zeros(len(code), bool)
+                kind = np.int32 if n * size < 1 << 31 else np.int64  # the smaller sorts faster
+                key, count = np.unique(row[held].astype(kind) * size + order[place[held]].astype(kind), return_counts=True)
+                ends = pa.array(np.searchsorted(key, np.arange(n + 1) * size).astype(np.int32))
+                indices, values = pa.array((key % max(1, size)).astype(np.int32)), pa.array(count.astype(np.float64))
+                vectors = pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)), pa.ListArray.from_arrays(ends, indices), pa.ListArray.from_arrays(ends, values)], names=["type", "size", "indices", "values"]
+                )
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, n).columns, vectors], names=[*names, "features"])
+
+    marked, folder = known.withColumn("label_index", at), shared_folder(spark, "ngram-table")
+    sparse = T.StructType.fromDDL("features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>")
+    marked.mapInArrow(counted, T.StructType([*marked.schema.fields, *sparse.fields])).write.parquet(folder)
+    return spark.read.schema(T.StructType([*marked.schema.fields, T.StructField("features", VectorUDT())])).parquet(folder)
 
 
 def train_ngram_logistic(rows: DataFrame, vocabulary: DataFrame, text: str = "text", label: str = "label", iterations: int = 100):
     """Multinomial logistic regression over byte n-gram counts; returns (model, the table it was fitted on).
 
-    Only trainable rows are used, so features and labels stay aligned.
+    Only trainable rows are used, so features and labels stay aligned. Rows of equal text and label are one row with their
+    number as its weight: the loss is the same sum, and each round goes over fewer.
     """
     from pyspark.ml.classification import LogisticRegression
 
-    table = ngram_table(rows, vocabulary, text, label)
-    model = LogisticRegression(family="multinomial", regParam=0.0, maxIter=iterations, featuresCol="features", labelCol="label_index").fit(table)
+    weighted = rows.groupBy(text, label).agg(F.count("*").cast("double").alias("weight"))
+    table = ngram_table(weighted, vocabulary, text, label)
+    model = LogisticRegression(family="multinomial", regParam=0.0, maxIter=iterations, featuresCol="features", labelCol="label_index", weightCol="weight").fit(table)
     return model, table

@@ -61,8 +61,8 @@ def representative_sample(spark, d):
 @query("train_ngram_logistic", None)
 def train_ngram_logistic(spark, d):
     """Share of right labels among the rows that the model was not trained on: 4,096 n-grams, 100 iterations."""
-    labelled = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'")
-    words = vocabulary(labelled)
+    labelled = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'").select("id", "msg_id", "text", "label")
+    words = vocabulary(labelled).persist()  # 4,096 rows, read twice
     model, _ = C.train_ngram_logistic(labelled.filter("msg_id % 4 <> 1"), words)
     held = C.ngram_table(labelled.filter("msg_id % 4 = 1"), words)
     scored = model.setPredictionCol("predicted").transform(held)
@@ -72,8 +72,8 @@ def train_ngram_logistic(spark, d):
 @query("train_ngram_descent", "SELECT id, label AS predicted FROM labelled WHERE label <> 'NEEDS_REVIEW' AND msg_id % 4 = 1", "labelled")
 def train_ngram_descent(spark, d):
     """What the model of 200 rounds says of the rows it wasn't trained on: it finds the label that their template has."""
-    labelled = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'")
-    words = vocabulary(labelled)
+    labelled = view(spark, d, "labelled").filter("label <> 'NEEDS_REVIEW'").select("id", "msg_id", "text", "label")
+    words = vocabulary(labelled).persist()  # 4,096 rows, read three times
     size = words.count()
     weights = train_descent(sparse_rows(C.ngram_table(labelled.filter("msg_id % 4 <> 1"), words)), size, len(LABELS))
     found = predict_descent(C.ngram_table(labelled.filter("msg_id % 4 = 1"), words), weights, "id")
