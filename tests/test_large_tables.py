@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import candidates
+from textloom.operators import candidates, classify
 from textloom.plans import file_queries, source_queries, split_queries, views
 from textloom.schema import LABELS
 from textloom.sources import readers, writers
@@ -127,3 +127,16 @@ def test_equal_rows_are_fitted_once_with_their_number(spark):
     model, table = candidates.train_ngram_logistic(rows, T.ngram_totals(rows, "text").limit(10), iterations=5)
     assert sorted((r.text, r.label, r.weight) for r in table.collect()) == [("sale", "AD", 5), ("sale", "FRAUD", 1), ("win now", "FRAUD", 30), ("x", "HARASS", 1)]
     assert model.summary.totalIterations > 0
+
+
+def test_rules_run_only_on_texts_that_can_match(spark):
+    """The same ids as every expression on every text gives, whatever the case and script; few expressions run on a plain text."""
+    odd = classify.Rule("X", "en", "AD_HINT", 1, r"[0-9]{3}|\bfree\b", "AD", "SUSPECT", "X")
+    rules = (*classify.RULES, odd, classify.Rule("Y", "en", "AD_HINT", 2, "STRASSE|Kelvin", "AD", "SUSPECT", "Y"))
+    texts = ["VERIFICATION Code: 1234", "click", "Verify  immediately clIcK", "verİfy İmmedİately lİnk", "unſubſcribe", "Keep calling", "kelvin", "KELVIN 5", "验证码: 1234", "退订 td", "otp 123456", "ओटीपी 1234", "bit.ly/A", "", None, "123", "FREE", "x" * 5000, "Special\tOFFER", "transaction T.CO/9"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.array_compact(F.array(*(F.when(F.col("t").rlike(f"(?iu){r.pattern}"), r.id) for r in classify.rules_by_priority(rules))))
+    got = rows.select("t", classify.match_rules(F.col("t"), rules).alias("a"), every.alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(bool(r.b) for r in got) > 10
+    tried = classify.match_rules(F.col("t"), (classify.Rule("Z", "en", "AD_HINT", 1, "(?:needle)[0-9]", "AD", "SUSPECT", "Z"),))
+    assert "contains" in rows.select(tried)._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,8 +59,21 @@ def rules_by_priority(rules: tuple[Rule, ...] = RULES) -> list[Rule]:
 
 
 def match_rules(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Ids of all rules found in a text, highest priority first. Patterns are literals, so each compiles once a task."""
-    return F.array_compact(F.array(*(F.when(text.rlike(f"(?iu){r.pattern}"), r.id) for r in rules_by_priority(rules))))
+    """Ids of all rules found in a text, highest priority first. Patterns are literals, so each compiles once a task.
+
+    Of an ASCII text an expression sees only what is left of it in lower case, so it runs on those alone that hold one of the
+    literals that it needs; on any other text every expression runs.
+    """
+    from textloom.operators.rule_table import needed_literals
+
+    ordered, low, wide = rules_by_priority(rules), F.lower(text), F.octet_length(text) != F.length(text)
+    found = []
+    for r, literals in zip(ordered, needed_literals([r.pattern for r in ordered]), strict=True):
+        hit = text.rlike(f"(?iu){r.pattern}")
+        if literals:
+            hit = reduce(or_, [*(F.contains(low, F.lit(x)) for x in sorted(literals) if x.isascii()), wide]) & hit
+        found.append(F.when(hit, r.id))
+    return F.array_compact(F.array(*found))
 
 
 def rule_signals(rule_ids: Column, rules: tuple[Rule, ...] = RULES) -> Column:
