@@ -172,3 +172,21 @@ def test_a_store_that_was_removed_is_built_from_the_raw_batch(spark, tmp_path):
     shutil.rmtree(store)
     intake.store_batch(raw, store)(batch.limit(0), 0)  # whatever the repeat brings, the stored batch counts
     assert intake.raw_messages(spark, raw).count() == 200 and intake.result_store(spark, store).read().count() == 200
+
+
+def test_what_changes_are_made_of_runs_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    table = VersionedTable(spark, str(tmp_path / "t"), [["a"], ["b"]], buckets=4)
+    for step in range(3):
+        changes = spark.range(20).selectExpr(f"id + {5 * step} AS a", "concat('b', id % 15) AS b", f"{step} AS step", "id AS place")
+        table.upsert(changes.mapInArrow(counted, changes.schema), "place", ("w", step))
+        assert made.value == 20 * (step + 1)
+    assert names_in(spark, f"{tmp_path}/t/staged") == [] and table.read().count() == 15
+    table.upsert(changes.mapInArrow(counted, changes.schema), "place", ("w", 2))
+    assert made.value == 60

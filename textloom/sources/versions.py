@@ -97,16 +97,27 @@ class VersionedTable:
         return self._commit(base, rows.schema, folders, batch)
 
     def upsert(self, changes: DataFrame, order: str, batch: tuple[str, int] | None = None, attempts: int = 5) -> Snapshot:
-        """Puts ``changes`` in, in the order of ``order``, after what is there. A lost race is run again on the new version."""
-        for attempt in range(attempts):
-            base = self.snapshot()
-            if batch and base.done(*batch):
-                return base
-            try:
-                return self._upsert(base, changes, order, batch)
-            except CommitConflict:
-                if attempt + 1 == attempts:
-                    raise
+        """Puts ``changes`` in, in the order of ``order``, after what is there. A lost race is run again on the new version.
+
+        Changes are read several times, so what they are made of runs once, into a folder that is gone afterwards.
+        """
+        if batch and (base := self.snapshot()).done(*batch):
+            return base
+        staged = f"{self.path}/staged/{uuid.uuid4().hex}"
+        try:
+            changes.write.parquet(staged)
+            stored = self.spark.read.schema(changes.schema).parquet(staged)
+            for attempt in range(attempts):
+                base = self.snapshot()
+                if batch and base.done(*batch):
+                    return base
+                try:
+                    return self._upsert(base, stored, order, batch)
+                except CommitConflict:
+                    if attempt + 1 == attempts:
+                        raise
+        finally:
+            delete(self.spark, staged)
         raise AssertionError
 
     def _upsert(self, base: Snapshot, changes: DataFrame, order: str, batch: tuple[str, int] | None) -> Snapshot:
