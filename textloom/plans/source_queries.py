@@ -8,7 +8,7 @@ from textloom.operators import synthesis
 from textloom.operators.allowlist import stream_allowed_by_act
 from textloom.places import names_in, shared_folder, size_of
 from textloom.plans.message_queries import ROUTED, purchases_and_clicks
-from textloom.plans.views import query, view
+from textloom.plans.views import pieces, query, view
 from textloom.sources import readers
 from textloom.sources.versions import VersionedTable
 from textloom.streaming import intake
@@ -185,7 +185,8 @@ def classification_versions(spark, d):
     """The result store in four commits, the last one repeated: a message and a delivery have one row each, the latest put in."""
     frames = {n: view(spark, d, n) for n in ("store", "labelled")}
     known, changes = (spark.sql(text.replace("FROM store", "FROM {store}").replace("FROM labelled", "FROM {labelled}"), **{n: f for n, f in frames.items() if n in text}) for text in (KEYED, CHANGED))
-    table = VersionedTable(spark, shared_folder(spark, "versions"), [["message_uri"], ["deliver_key"]], buckets=8)
+    buckets = max(8, pieces(spark, f"{d}/orders.parquet"))  # a bucket is written by one task
+    table = VersionedTable(spark, shared_folder(spark, "versions"), [["message_uri"], ["deliver_key"]], buckets)
     columns = ["message_uri", "deliver_key", "action", "created_at"]
     for step, rows in enumerate([known, *(changes.filter(F.col("step") == k) for k in (1, 2, 3, 3))]):
         table.upsert(rows.select(*columns), "created_at", ("query", min(step, 3)))
