@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.operators.heavy import candidates, error_bound, most_frequent
 
@@ -46,3 +47,19 @@ def test_evenly_spread_values_are_all_counted(spark, monkeypatch):
     rows = [f"t{k}" for k in range(3000)] * 2
     assert candidates(frame(spark, rows), "v", 5, 16) is None
     assert [tuple(r) for r in most_frequent(frame(spark, rows), "v", 5, 16).collect()] == plain(rows, 5)
+
+
+def test_rows_are_counted_with_the_sketch_and_totals_add_up(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    values = spark.range(3000).selectExpr("concat('v', CAST(sqrt(id) AS INT)) AS v").coalesce(1)
+    found, bound = candidates(values.mapInArrow(counted, values.schema), "v", 5, tracked=1024)
+    assert made.value == 3000 and bound == 0
+    parts = values.groupBy("v").agg(F.count("*").alias("n"))
+    wanted = [tuple(r) for r in most_frequent(values, "v", 5).collect()]
+    assert [tuple(r) for r in most_frequent(values, "v", 5, totals=parts.unionByName(parts.limit(0))).collect()] == wanted
