@@ -174,6 +174,29 @@ def test_repeat_removal_data(spark, data):
     assert got == expected
 
 
+def test_repeat_removal_of_planted_passages(spark, data):
+    """Passages of 51 words in two documents each: one of 400 bytes goes whole, a shorter one stays, other documents are left alone."""
+    random.seed(19)
+    texts = dict(pairs(read(spark, data, "documents")))
+
+    def removed():
+        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+        return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeat_removal.remove_repeats(frame).collect()}
+
+    before = removed()
+    words = sorted({w for t in texts.values() for w in re.findall(WORD, t)})
+    clean = random.sample(sorted(d for d, r in before.items() if r[1] == 0), 40)
+    expected = dict(before)
+    for k in range(20):
+        passage = " ".join(random.choices([w for w in words if (len(w.encode()) >= 8) == (k % 2 == 0)], k=51))
+        assert (len(passage.encode()) >= 400) == (k % 2 == 0)
+        for d, seam in zip(clean[2 * k : 2 * k + 2], "AB", strict=True):
+            texts[d] += seam + passage
+            whole, gone = texts[d].encode(), len(passage.encode()) if k % 2 == 0 else 0
+            expected[d] = (len(whole), gone, int(gone > 0), whole[: len(whole) - gone])
+    assert removed() == expected
+
+
 def test_repeat_removal_slices(spark):
     """Texts longer than a slice: the borders of slices make no difference."""
     random.seed(5)
