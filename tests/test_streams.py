@@ -95,3 +95,43 @@ def test_two_streams_meet_and_messages_without_an_act_leave_in_time(spark, tmp_p
     stream_allowed_by_act(*streams).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = sorted((r.message_id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert [r for r in got if r[0] >= 0] == expected_allowed(messages, acts)
+
+
+def arrive(spark, tmp_path, n, rows):
+    """Rows of batch ``n``, (message_ref, ts or None), from one sender with one body for all."""
+    frame = spark.createDataFrame(rows, "message_ref string, at string").select("message_ref", F.lit("a").alias("address"), F.col("at").cast("timestamp").alias("ts"), F.lit("b").alias("body"), F.lit(None).cast("string").alias("subscription"))
+    frame.coalesce(1).write.mode("append").parquet(str(tmp_path / f"in-{n}"))
+    time.sleep(1.1)
+    return frame.schema
+
+
+def test_first_deliveries_that_come_late_are_kept_and_old_repeats_are_not(spark, tmp_path):
+    """A run of its own has none of the state of those before, as after the watermark; then only the store knows a delivery."""
+    store = str(tmp_path / "store")
+    runs = [
+        [[("m1", "2024-01-02 00:00:00"), ("m1 again", "2024-01-02 00:00:00")], [("m1 again", "2024-01-02 00:00:00")], [("late", "2024-01-01 00:00:00"), ("m1 again", "2024-01-02 00:00:00")], [("no time", None), ("no time again", None)]],
+        [[("m1 old", "2024-01-02 00:00:00"), ("late old", "2024-01-01 00:00:00"), ("m2", "2023-01-01 00:00:00")], [("no time old", None)]],
+    ]
+    for k, batches in enumerate(runs):
+        for rows in batches:
+            schema = arrive(spark, tmp_path, k, rows)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"in-{k}"))
+        with intake.keyed_state(spark):
+            writer = intake.first_deliveries(stream).writeStream.foreachBatch(intake.store_deliveries(store, f"run-{k}", 4))
+            writer.option("checkpointLocation", str(tmp_path / f"c-{k}")).trigger(availableNow=True).start().awaitTermination()
+    table = intake.VersionedTable(spark, store, [["deliver_key"]])
+    kept = sorted(r.message_ref.removesuffix(" again") for r in table.read().collect())
+    assert kept == ["late", "m1", "m2", "no time"] and table.read().columns == [*schema.names, "deliver_key"]
+    # A batch that is known adds nothing, whatever it brings.
+    before = table.versions()
+    intake.store_deliveries(store, "run-0", 4)(intake.with_deliver_key(spark.read.parquet(str(tmp_path / "in-1")).limit(1)), 0)
+    assert table.versions() == before
+
+
+def test_messages_that_come_late_are_classified(spark, tmp_path):
+    """The watermark drops rows from the second batch after the one that moves it."""
+    for rows in ([("m1", "2024-01-02 00:00:00")], [("m2", "2024-01-02 00:00:01")], [("late", "2024-01-01 00:00:00"), ("m1", "2024-01-02 00:00:00")]):
+        schema = arrive(spark, tmp_path, 0, rows)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in-0"))
+    intake.stream_classify(stream, str(tmp_path / "raw"), str(tmp_path / "store"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(r.message_ref for r in intake.result_store(spark, str(tmp_path / "store")).read().collect()) == ["late", "m1", "m2"]

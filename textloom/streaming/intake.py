@@ -128,9 +128,37 @@ def with_deliver_key(messages: DataFrame) -> DataFrame:
 
 
 def first_deliveries(messages: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Drops repeats of a delivery within the watermark: a prefilter with bounded state; the store has the last word."""
+    """Drops repeats of a delivery that come within ``watermark`` of it: a prefilter with bounded state; the store has the last word.
+
+    Time is when a batch comes, not ``ts``: a first delivery that comes long after its ts, or has none, is no repeat, and must
+    not be behind the watermark. A clock that is set back must stay within ``watermark``.
+    """
     keyed = with_deliver_key(messages)
-    return keyed.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["deliver_key"]) if keyed.isStreaming else keyed.dropDuplicates(["deliver_key"])
+    if not keyed.isStreaming:
+        return keyed.dropDuplicates(["deliver_key"])
+    return keyed.withColumn("_came", F.current_timestamp()).withWatermark("_came", watermark).dropDuplicatesWithinWatermark(["deliver_key"]).drop("_came")
+
+
+def unknown(deliveries: DataFrame, known: DataFrame | None) -> DataFrame:
+    """``deliveries``, each once, whose key isn't among the ``known``, however old these are."""
+    fresh = deliveries.dropDuplicates(["deliver_key"])
+    return fresh if known is None else fresh.join(known.select("deliver_key"), "deliver_key", "left_anti").select(*deliveries.columns)
+
+
+def store_deliveries(store_path: str, writer: str = "intake", buckets: int = 64):
+    """foreachBatch: deliveries that the store doesn't have are added to it, so each is there as it first came.
+
+    A batch becomes visible whole with the commit that notes it, and a repeat of it then does nothing. Of two writers that
+    meet one fails, and its batch is repeated when it is started again.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        store = VersionedTable(batch.sparkSession, store_path, [["deliver_key"]], buckets)
+        base = store.snapshot()
+        if not base.done(writer, number):
+            store.append(unknown(batch, store.read(base)), (writer, number), base)
+
+    return run
 
 
 RESULT = ("deliver_key", "message_ref", "ts", "category", "action", "confidence", "reason", "rule_ids")
@@ -164,10 +192,7 @@ def store_batch(raw_path: str, store_path: str, writer: str = "intake"):
         base = store.snapshot()
         if base.done(writer, number):
             return
-        fresh = spark.read.schema(batch.schema).parquet(raw).dropDuplicates(["deliver_key"])
-        known = store.read(base)
-        if known is not None:
-            fresh = fresh.join(known.select("deliver_key"), "deliver_key", "left_anti")
+        fresh = unknown(spark.read.schema(batch.schema).parquet(raw), store.read(base))
         store.upsert(classify_messages(fresh).withColumn("rule_ids", F.to_json("rule_ids")).select(*RESULT), "ts", (writer, number))
 
     return run
