@@ -82,3 +82,26 @@ def test_blocks_hold_rows_exactly_and_in_less_room(spark, monkeypatch):
     assert got == rows
     small = descent.blocks(table.limit(48)).collect()
     assert all(r.types[1:] == ["|u1", "|u1", "|u1"] for r in small) and sum(r.rows for r in small) == 48
+
+
+def test_what_the_rows_of_a_run_share_is_held_once(spark, monkeypatch):
+    monkeypatch.setattr(descent, "BLOCK", 16)
+    monkeypatch.setattr(descent, "RUN", 8)
+    rows = [([*range(20), 20 + k], [*map(float, range(1, 20)), float(1 + k % 2), 1.5], k % 3, 1 + k % 4) for k in range(42)]
+    table = spark.createDataFrame(rows, "at array<int>, value array<double>, label int, times long").coalesce(1)
+    batches, got, entries = descent.blocks(table).toArrow().to_batches(), [], 0
+    for batch in batches:
+        for row, at, value, label in descent._unpacked(batch):
+            got += [(at[row == k].tolist(), value[row == k].tolist(), int(label[k])) for k in range(len(label))]
+        entries += sum(len(part[0]) for part in descent._parts(batch))
+    assert got == [r[:3] for r in rows] and sum(sum(b["rows"].to_pylist()) for b in batches) == sum(r[3] for r in rows)
+    assert entries == 42 * 2 + 6 * 19  # 42 * 21 in all
+    x, y = np.zeros((42, 62)), np.array([r[2] for r in rows])
+    for k, (at, value, *_) in enumerate(rows):
+        x[k, at] = value
+    often = np.repeat(np.arange(42), [r[3] for r in rows])
+    assert np.abs(descent.train_descent(table, 62, 3, rounds=5) - plain(x[often], y[often], 3, 5)).max() < 1e-12
+    # Places that repeat or don't ascend come back as they were.
+    odd = spark.createDataFrame([([5, 3, 3], [1.0, 1.0, 1.0], 0), ([5], [1.0], 1)] * 4, "at array<int>, value array<double>, label int").coalesce(1)
+    back = [(at[row == k].tolist(), int(label[k])) for batch in descent.blocks(odd).toArrow().to_batches() for row, at, _, label in descent._unpacked(batch) for k in range(len(label))]
+    assert back == [([5, 3, 3], 0), ([5], 1)] * 4
