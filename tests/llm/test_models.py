@@ -543,3 +543,39 @@ def test_run_on_an_empty_table(spark, no_documents, tmp_path):
         read(spark, "/root/testdata/sf0.001", name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     no_documents.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_projection_is_fitted_on_every_document(spark, monkeypatch):
+    seen, fit = [], decontamination.fit_projection
+    monkeypatch.setattr(decontamination, "fit_projection", lambda documents, *a: seen.append(documents.count()) or fit(documents, *a))
+    docs = spark.range(2_600).selectExpr("id AS doc_id", "concat('alpha beta ', id) AS text")
+    items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta beta")], "item_id long, text string")
+    assert decontamination.find_leaks(docs, items).count() == 0
+    assert seen == [2_602]
+
+
+def test_products_of_strides_equal_those_of_passages():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(40, 6))
+    texts = [rng.integers(-1, 40, n).astype(np.int32) for n in (0, 1, 31, 32, 33, 64, 65, 96, 97, 300)]
+    pieces = list(decontamination.word_pieces(iter(texts)))
+    many = list(decontamination.word_pieces(iter([texts[-1]] * 220)))
+    assert len(pieces) == 1 and [len(x[2]) for x in many] == [110 * 10, 110 * 10]
+    passages, back = decontamination.piece_products(*pieces[0], rows)
+    wanted, total, got = [], np.zeros((40, 6)), np.zeros((40, 6))
+    for ids in texts:
+        some, sums = decontamination.passage_vectors(ids, rows)
+        wanted += [*sums]
+        for start, product in zip(decontamination.passage_starts(len(ids))[some], sums, strict=True):
+            known = ids[start : start + 64]
+            np.add.at(total, known[known >= 0], product)
+    np.add.at(got, pieces[0][0], back[pieces[0][1]])
+    assert np.abs(passages[np.abs(passages).sum(axis=1) > 0] - np.array(wanted)).max() < 1e-9 and np.abs(got - total).max() < 1e-9
+    for ids, kind, n in (([0, 3, -1], np.uint16, 4), ([0, 70_000, -1], np.int32, 70_001)):
+        assert decontamination.decoded(np.array(ids).astype(kind).tobytes(), n).tolist() == ids
+
+
+def test_verbatim_leaks_that_a_fit_on_a_sample_missed(spark):
+    docs, items = (read(spark, "/root/testdata/sf0.1", n) for n in ("documents", "benchmark"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(docs, items).collect() if r.kind == "verbatim"}
+    assert got >= {(1137, 155), (9859, 36), (6118, 155), (8531, 102)}

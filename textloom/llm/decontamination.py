@@ -2,16 +2,17 @@
 
 Items and documents are cut into passages of 64 words, every 32 words. Passages are TF-IDF vectors over the words of the
 benchmark, with document frequencies of the whole corpus; words that many items share weigh less. They are projected on
-the ``rank`` leading right singular vectors of a randomised singular value decomposition, which is fitted once, on a sample of
-the corpus and the items, and whose products are summed over the executors.
+the ``rank`` leading right singular vectors of a randomised singular value decomposition, which is fitted once, on the whole
+corpus and the items, and whose products are summed over the executors.
 
 The search is by cosine in the projection: windows of 32 and 64 words of a document against the items' passages, all of
 them, in bounded blocks of a matrix product. Only an item that a window meets is a candidate there; its words about the
 window decide. It is leaked verbatim if the longest common subsequence is long, and as a paraphrase if the subsequence has a
 lower length and enough of the item's answer is there. Counts of words that follow from these tests are asked first.
 
-The benchmark is a query set that every task holds, ``block_items`` items at a time; a block costs one pass over the corpus, the
-document frequencies one more for all blocks. No text is shuffled. All weights are those of the whole benchmark, so the
+Texts are read once: the numbers of their words are kept in a table, and document frequencies, the two rounds of the fit and the
+search read that. The benchmark is a query set that every task holds, ``block_items`` items at a time; a block costs one pass
+over the table, the frequencies and the fit three more for all blocks. No text is shuffled. All weights are those of the whole benchmark, so the
 result does not depend on the blocks.
 """
 
@@ -33,6 +34,7 @@ PASSAGE, STRIDE = 64, 32
 #: Windows of a text that are held against the items, each a half over the next of its size.
 WINDOWS = (32, 64)
 COSINES_AT_ONCE = 1 << 22
+WORDS_AT_ONCE = 1 << 15
 _CUT = bytes.maketrans(b".,;:!?\"'()[]{}", b" " * 14)
 
 
@@ -152,28 +154,51 @@ def benchmark_of(rows: list[tuple[int, str, str | None]]) -> Benchmark:
     return Benchmark(vocabulary, items)
 
 
-def document_frequencies(texts: DataFrame, vocabulary: dict[bytes, int]) -> tuple[np.ndarray, int]:
-    """In how many of all documents each word of the benchmark is, and the number of documents."""
-    sent = texts.sparkSession.sparkContext.broadcast(vocabulary)
+def coded(texts: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
+    """(key, ids) of ``texts`` (text, maybe key): the number of each word, in the smallest type that holds them; see ``decoded``."""
+    sent, kind = texts.sparkSession.sparkContext.broadcast(vocabulary), _kind(len(vocabulary))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = sent.value
+        for batch in batches:
+            ids = [word_ids(text, numbers).astype(kind).tobytes() for text in batch["text"].cast(pa.binary()).to_pylist()]  # -1 becomes the largest
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(ids, pa.binary())], names=["key", "ids"])
+
+    key = F.col("key") if "key" in texts.columns else F.lit(None).cast("long").alias("key")
+    return texts.select(key, "text").mapInArrow(code, "key long, ids binary")
+
+
+def _kind(words: int) -> type:
+    return np.uint16 if words < 1 << 16 else np.int32
+
+
+def decoded(ids: bytes, words: int) -> np.ndarray:
+    """Numbers of words as ``word_ids`` gives them, from a row of ``coded`` over a vocabulary of so many ``words``."""
+    out = np.frombuffer(ids, dtype=_kind(words)).astype(np.int32)
+    out[out >= words] = -1
+    return out
+
+
+def document_frequencies(documents: DataFrame, words: int) -> tuple[np.ndarray, int]:
+    """In how many of all documents, as ``coded`` gives them, each word of the benchmark is, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, counts, documents = sent.value, np.zeros(len(sent.value), dtype=np.int64), 0
+        counts, rows = np.zeros(words + 1, dtype=np.int64), 0
         for batch in batches:
-            for text in batch["text"].cast(pa.binary()).to_pylist():
-                found = np.fromiter(map(numbers.__getitem__, numbers.keys() & set(words_of(text))), dtype=np.int64)
-                counts[found] += 1
-                documents += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], documents))], names=["word", "n"])
-
-    total = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    out, documents = np.zeros(len(vocabulary), dtype=np.int64), 0
+            for ids in batch["ids"].to_pylist():
+                counts[np.unique(decoded(ids, words))] += 1
+                rows += 1
+        some = np.flatnonzero(counts[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], names=["word", "n"])
+
+    total = documents.select("ids").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    out, rows = np.zeros(words, dtype=np.int64), 0
     for row in total.toLocalIterator():
         if row["word"] < 0:
-            documents = row["n"]
+            rows = row["n"]
         else:
             out[row["word"]] = row["n"]
-    return out, documents
+    return out, rows
 
 
 def words_held(words: np.ndarray, most: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -265,42 +290,75 @@ def retrieved(ids: np.ndarray, benchmark: Benchmark, index: Index, least_cosine:
     return benchmark.owner[query[enough]], first[window], last[window], exact[enough]
 
 
-def fit_projection(sample: DataFrame, benchmark: Benchmark, weight: np.ndarray, rank: int, seed: int) -> np.ndarray:
-    """Randomised singular value decomposition of the TF-IDF passages of ``sample`` and of the items.
+def word_pieces(documents: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word, stride, document of each stride) of the known words of some documents at a time, ``WORDS_AT_ONCE`` or one more document."""
+    words, strides, owners, held, number = [], [], [], 0, 0
+    for ids in documents:
+        at, n = np.flatnonzero(ids >= 0), max(1, -(-len(ids) // STRIDE))
+        words.append(ids[at])
+        strides.append(number + at // STRIDE)
+        owners.append(np.full(n, len(owners)))
+        held, number = held + len(ids), number + n
+        if held >= WORDS_AT_ONCE:
+            yield np.concatenate(words), np.concatenate(strides), np.concatenate(owners)
+            words, strides, owners, held, number = [], [], [], 0, 0
+    if owners:
+        yield np.concatenate(words), np.concatenate(strides), np.concatenate(owners)
+
+
+def piece_products(word: np.ndarray, stride: np.ndarray, owner: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each stride: the sum of the words' rows over the passage that begins there (none: zero), and over all passages that it is in.
+
+    A passage is two strides, or the only one of a document.
+    """
+    sums = np.zeros((len(owner), rows.shape[1]), dtype=rows.dtype)
+    if len(word):
+        first = np.flatnonzero(np.diff(stride, prepend=-1))
+        sums[stride[first]] = np.add.reduceat(rows[word], first, axis=0)
+    goes_on = owner[1:] == owner[:-1]
+    next_too, last_too = np.append(goes_on, False), np.append(False, goes_on)
+    passages = sums.copy()
+    passages[next_too] += sums[last_too]
+    passages[last_too & ~next_too] = 0
+    back = passages.copy()
+    back[last_too] += passages[next_too]
+    return passages, back
+
+
+def fit_projection(documents: DataFrame, benchmark: Benchmark, weight: np.ndarray, rank: int, seed: int) -> np.ndarray:
+    """Randomised singular value decomposition of the TF-IDF passages of all ``documents``, texts or what ``coded`` makes of them.
 
     The passages stay where they are. Each partition multiplies its own by a random matrix and back; the sums of these
     products, words times rank, are added up in a tree over the executors. A second round does the same in the subspace
     found and gives the singular vectors.
     """
     size = min(rank + 16, max(1, len(weight)))
-    context = sample.sparkSession.sparkContext
+    context, words = documents.sparkSession.sparkContext, len(benchmark.vocabulary)
+    documents = documents if "ids" in documents.columns else coded(documents, benchmark.vocabulary)
 
     def summed(left: np.ndarray, back: bool) -> np.ndarray:
-        sent = context.broadcast((benchmark.vocabulary, weight, left))
+        sent = context.broadcast((weight, left))
 
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, weights, matrix = sent.value
+            weights, matrix = sent.value
             rows = (weights[:, None] * matrix).astype(np.float32)
             out = np.zeros((len(weights) if back else matrix.shape[1], matrix.shape[1]))
-            for batch in batches:
-                for text in batch["text"].cast(pa.binary()).to_pylist():
-                    found = word_ids(text, vocabulary)
-                    add(out, found, *passage_vectors(found, rows), weights, back)
+            for word, stride, owner in word_pieces(decoded(ids, words) for batch in batches for ids in batch["ids"].to_pylist()):
+                passages, of_strides = piece_products(word, stride, owner, rows)
+                if not back:
+                    passages = passages.astype(np.float64)
+                    out += passages.T @ passages
+                elif len(word):
+                    order = np.argsort(word, kind="stable")
+                    first = np.flatnonzero(np.diff(word[order], prepend=-1))
+                    found = word[order[first]]
+                    out[found] += weights[found, None] * np.add.reduceat(of_strides.astype(np.float64)[stride[order]], first, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
 
         shape = (len(weight) if back else left.shape[1], left.shape[1])
-        parts = sample.select("text").mapInArrow(partial, "sums binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape))
+        parts = documents.select("ids").mapInArrow(partial, "sums binary").rdd.map(lambda r: np.frombuffer(r[0]).reshape(shape))
         return parts.treeReduce(np.add) if parts.getNumPartitions() else np.zeros(shape)
 
-    def add(out: np.ndarray, ids: np.ndarray, some: np.ndarray, products: np.ndarray, weights: np.ndarray, back: bool) -> None:
-        if not back:
-            out += products.T @ products
-            return
-        for start, product in zip(passage_starts(len(ids))[some], products, strict=True):
-            known = ids[start : start + PASSAGE]
-            known = known[known >= 0]
-            np.add.at(out, known, weights[known, None] * product)
-
     random = np.random.default_rng(seed).standard_normal((len(weight), size))
     base, _ = np.linalg.qr(summed(random, True))
     _, vectors = np.linalg.eigh(summed(base, False))
@@ -310,7 +368,7 @@ def fit_projection(sample: DataFrame, benchmark: Benchmark, weight: np.ndarray,
 LEAKS = "cosine double, lcs double, answer double, kind string"
 
 
-def searched(texts: DataFrame, sample_of: DataFrame, benchmark: DataFrame, scratch: Scratch, verbatim: float, paraphrase: float, least_cosine: float, least_answer: float, rank: int, fit_documents: int, block_items: int, seed: int) -> DataFrame:
+def searched(texts: DataFrame, benchmark: DataFrame, scratch: Scratch, verbatim: float, paraphrase: float, least_cosine: float, least_answer: float, rank: int, block_items: int, seed: int) -> DataFrame:
     """(key, item_id, cosine, lcs, answer, kind) for each row of ``texts`` (key long, text) and item that it leaks."""
     spark = texts.sparkSession
     schema = "key long, item_id long, " + LEAKS
@@ -320,22 +378,17 @@ def searched(texts: DataFrame, sample_of: DataFrame, benchmark: DataFrame, scrat
     known = benchmark_of(sorted(rows, key=lambda r: (r[0], r[1], r[2] or "")))
     if not known.items:
         return spark.createDataFrame([], schema)
-    counts, documents = document_frequencies(texts, known.vocabulary)
+    words = scratch.table(coded(texts, known.vocabulary), "words")
+    counts, documents = document_frequencies(words, len(known.vocabulary))
     # Over the different texts of the benchmark, so that repeats of an item make no difference.
     of_items, different = np.zeros(len(known.vocabulary), dtype=np.int64), {x.ids.tobytes(): x.ids for x in known.items}
     for ids in different.values():
         of_items[np.unique(ids)] += 1
     weight = np.maximum(np.log((documents + 1) / (counts + 1)), 1.5)
     weight *= np.maximum(np.log((len(different) + 1) / np.maximum(of_items, 1)) / np.log(len(different) + 1), 0.1)
-    # A cut by hash leaves a few more ids than are wanted, so that the ordered limit never sees the whole table.
-    share = min(1.0, (1.5 * fit_documents + 1000) / max(1, documents))
-    drawn = sample_of.select("doc_id").filter(F.xxhash64("doc_id") <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
-    chosen = drawn.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)  # bounded, so its broadcast is too
-    sample = sample_of.join(F.broadcast(chosen), "doc_id").select("text").unionByName(benchmark.filter("text IS NOT NULL").select(F.col("text").cast("string")))
-    sample = scratch.table(sample.repartition(8), "sample")  # few partial sums to add up
-    projection = weight[:, None] * fit_projection(sample, known, weight, rank, seed)
+    of_benchmark = coded(benchmark.filter("text IS NOT NULL").select(F.col("text").cast("string")).coalesce(1), known.vocabulary)
+    projection = weight[:, None] * fit_projection(words.unionByName(of_benchmark), known, weight, rank, seed)
     known.projection = np.vstack([projection, np.zeros((1, projection.shape[1]))]).astype(np.float32)
-    scratch.drop("sample")
     names = list(known.vocabulary)
     for item in known.items:
         if not len(item.said):
@@ -347,7 +400,7 @@ def searched(texts: DataFrame, sample_of: DataFrame, benchmark: DataFrame, scrat
         items = known.items[k : k + block_items]
         block = block_of(items, known)
         sent = spark.sparkContext.broadcast((block, index_of(items, len(known.vocabulary), verbatim, min(verbatim, paraphrase))))
-        out = out.unionByName(texts.mapInArrow(_search(sent, verbatim, paraphrase, least_cosine), schema))
+        out = out.unionByName(words.mapInArrow(_search(sent, verbatim, paraphrase, least_cosine), schema))
     return out
 
 
@@ -362,12 +415,12 @@ def block_of(items: list[Item], known: Benchmark) -> Benchmark:
 def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, index = sent.value
-        vocabulary, size = block.vocabulary, len(block.vocabulary)
+        size = len(block.vocabulary)
         shares, said = np.zeros(size + 1, dtype=np.int64), np.zeros(size + 1, dtype=bool)  # the last: a word that no item has
         for batch in batches:
             rows = []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), strict=True):
-                ids = word_ids(text, vocabulary)
+            for key, coded_ids in zip(batch["key"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                ids = decoded(coded_ids, size)
                 hits = retrieved(ids, block, index, least_cosine)
                 starts = passage_starts(len(ids))
                 for number in np.unique(hits[0]).tolist():
@@ -391,7 +444,7 @@ def _search(sent, verbatim: float, paraphrase: float, least_cosine: float):
     return search
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.25, least_cosine: float = 0.5, least_answer: float = 0.4, rank: int = 64, fit_documents: int = 2_000, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8, paraphrase: float = 0.25, least_cosine: float = 0.5, least_answer: float = 0.4, rank: int = 64, block_items: int = 20_000, seed: int = 7, scratch: Scratch | None = None, key: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, kind) for each document (doc_id, text) and benchmark item that it leaks.
 
     lcs is the share of the item's words in the longest common subsequence of the item and the words about a passage, answer the
@@ -401,15 +454,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, verbatim: float = 0.8
     ``verbatim`` if lcs reaches that threshold. It is a ``paraphrase`` if lcs reaches the lower one and the whole of a given
     answer is there, or ``least_answer`` of one that was derived.
 
-    The decomposition is fitted on the items and on ``fit_documents`` documents, those with the smallest hashes of doc_id; all
-    else covers every document. Null texts count as empty; items without words or with a null id can't be found. Repeated
+    The decomposition is fitted on the items and all documents, as all else. Null texts count as empty; items without words or with a null id can't be found. Repeated
     rows and items are each reported. Empty tables give an empty result; other columns are ignored. ``key`` names a long column
     that takes the place of doc_id in the result.
     """
     scratch = scratch or Scratch(documents.sparkSession)
-    named = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     texts = documents.select(F.col(key or "doc_id").cast("long").alias("key"), text_of().alias("text"))
-    found = searched(texts, named, benchmark, scratch, verbatim, paraphrase, least_cosine, least_answer, rank, fit_documents, block_items, seed)
+    found = searched(texts, benchmark, scratch, verbatim, paraphrase, least_cosine, least_answer, rank, block_items, seed)
     return found.withColumnRenamed("key", "row" if key else "doc_id")
 
 
@@ -422,7 +473,9 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, scratch: Scratch |
     scratch = scratch or Scratch(documents.sparkSession)
     rows, row = numbered(documents, scratch, "numbered")
     leaks = find_leaks(rows, benchmark, scratch=scratch, key=row, **options).select(F.col("row").alias(row)).distinct()
-    return rows.join(scratch.table(leaks, "leaks"), row, "left_anti").select(*documents.columns)
+    leaks = scratch.table(leaks, "leaks")
+    scratch.drop("words")
+    return rows.join(leaks, row, "left_anti").select(*documents.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
